@@ -80,7 +80,7 @@ def _window_tokens(windows: DataFrame) -> tuple[DataFrame, list[int]]:
     for size in sizes:
         lists = windows.where(F.col("size") == size).withColumn("folded", _folded(F.col("words")))
         lists = lists.withColumn("tokens", F.slice(_shingles(F.col("folded"), size), F.lit(1), F.size("words") - size + 1))
-        one = lists.select("window_id", "words", F.posexplode("tokens").alias("offset", "token"))
+        one = lists.select("window_id", "words", F.posexplode_outer("tokens").alias("offset", "token"))
         out = one if out is None else out.unionByName(one)
     return settle(out), sizes
 
@@ -93,7 +93,9 @@ def _places(docs: DataFrame, tokens: DataFrame, sizes: list[int], window: int) -
     rows = _with_key(docs, "text").select("doc_id", "text_hash", raw_words(F.col("text")).alias("raw"))
     rows = rows.withColumn("folded", _folded(F.col("raw")))
     rows = rows.select("doc_id", "text_hash", "raw", F.concat(F.array(F.lit(_WHOLE).cast("bigint")), *(_shingles(F.col("folded"), s) for s in sizes)).alias("tokens"))
-    rows = rows.select("doc_id", "text_hash", "raw", F.posexplode("tokens").alias("nth", "token")).join(known, "token")
+    # The outer form drops no rows; for the inner one the optimizer would add a filter on the array's size and
+    # push it below, where it computes all the nested expressions once more in each other.
+    rows = rows.select("doc_id", "text_hash", "raw", F.posexplode_outer("tokens").alias("nth", "token")).join(known, "token")
     n = F.size("raw")
     pos = F.when(F.col("nth") > 0, (F.col("nth") - 1) % n)
     first = F.greatest(pos - (window - 1), F.lit(0))

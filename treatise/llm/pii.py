@@ -89,6 +89,11 @@ def _byte(part: Column) -> Column:
     return (F.length(digits) <= 3) & (F.coalesce(digits.try_cast("int"), F.lit(0)) <= 255)
 
 
+def _may_hold(text: Column) -> Column:
+    """A cheap test that every text with a base span passes."""
+    return F.rlike(text, F.lit("[@0-9]"))
+
+
 def base_spans(text: Column) -> Column:
     """Array of (kind, start, end, value) of the base kinds, by kind as listed and then by start."""
     among = lambda low, high: lambda s: F.length(_digits(s["value"])).between(low, high)
@@ -105,7 +110,7 @@ def base_spans(text: Column) -> Column:
         where(F.rlike(text, F.lit(r"[0-9](?:[\x20\-]?[0-9]){12}")), card),
         where(F.rlike(text, F.lit(r"\+[0-9]")), phone),
     ]
-    return where(F.rlike(text, F.lit("[@0-9]")), F.concat(*kinds))
+    return where(_may_hold(text), F.concat(*kinds))
 
 
 def spans_text(spans: Column) -> Column:
@@ -114,7 +119,7 @@ def spans_text(spans: Column) -> Column:
 
 def _near(docs: DataFrame, reach: int) -> DataFrame:
     """(doc, entity, context, term) for the distinct terms beside each entity, within its line."""
-    one = docs.where(F.size("spans") > 0).select("doc", "text", F.explode("spans").alias("span"))
+    one = docs.where(_may_hold(F.col("text"))).select("doc", "text", F.explode_outer("spans").alias("span")).where("span IS NOT NULL")
     before = F.substring("text", F.greatest(F.col("span.start") - reach, F.lit(0)) + 1, F.least(F.col("span.start"), F.lit(reach)))
     after = F.substring("text", F.col("span.end") + 1, F.lit(reach))
     # Cut at the line's ends, and drop the word that the window itself may have cut.
@@ -123,22 +128,23 @@ def _near(docs: DataFrame, reach: int) -> DataFrame:
     entity = F.xxhash64(F.lower("span.value"))
     context = F.concat_ws("\n", before, after)
     terms = F.array_distinct(F.regexp_extract_all(F.lower(context), F.lit(_TERM), F.lit(0)))
-    return one.select("doc", entity.alias("entity"), F.xxhash64(context).alias("context"), F.explode(terms).alias("term"))
+    return one.select("doc", entity.alias("entity"), F.xxhash64(context).alias("context"), F.explode_outer(terms).alias("term"))
 
 
 def disclosing_terms(docs: DataFrame, reach: int = REACH, min_contexts: int = MIN_CONTEXTS, disclosure: float = DISCLOSURE) -> DataFrame:
     """(term, entity, pmi) of the terms that disclose an entity; docs has doc, text and spans."""
     near = _near(docs, reach)
+    near = near.where("term IS NOT NULL")
     contexts = near.select("entity", "term", "context").distinct().groupBy("entity", "term").agg(F.count("*").alias("contexts")).where(F.col("contexts") >= min_contexts)
     # Copies of one document are one context, but each is a document that holds both.
     both = near.select("entity", "term", "doc").distinct().groupBy("entity", "term").agg(F.count("*").alias("both"))
     pairs = settle(contexts.join(both, ["entity", "term"]))
-    entities = docs.where(F.size("spans") > 0).select("doc", F.explode("spans").alias("span")).select("doc", F.xxhash64(F.lower("span.value")).alias("entity"))
+    entities = docs.where(_may_hold(F.col("text"))).select("doc", F.explode_outer("spans").alias("span")).where("span IS NOT NULL").select("doc", F.xxhash64(F.lower("span.value")).alias("entity"))
     held = entities.distinct().groupBy("entity").agg(F.count("*").alias("held"))
     terms = pairs.select("term").distinct()
     if pairs.count() <= BROADCAST_TERMS:
         terms = F.broadcast(terms)
-    words = docs.select(F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{Nd}]+"))).alias("term"))
+    words = docs.select(F.explode_outer(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{Nd}]+"))).alias("term"))
     spread = words.join(terms, "term", "left_semi").groupBy("term").agg(F.count("*").alias("spread"))
     total = docs.agg(F.greatest(F.count("*"), F.lit(2)).alias("n"))
     scored = pairs.join(spread, "term").join(held, "entity").join(F.broadcast(total))
@@ -153,7 +159,7 @@ def find_personal_data(docs: DataFrame, reach: int = REACH, min_contexts: int =
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("text")).select(F.xxhash64("doc_id", "text").alias("doc"), "doc_id", "text", base_spans(F.col("text")).alias("spans"))
     found = settle(disclosing_terms(rows, reach, min_contexts, disclosure).groupBy("term").agg(F.max("pmi").alias("pmi")))
     n = found.count()
-    words = rows.select("doc", F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{Nd}]+"))).alias("term"))
+    words = rows.select("doc", F.explode_outer(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{Nd}]+"))).alias("term"))
     if n == 0:
         return rows.select("doc_id", "text", F.col("spans").alias("base"), "spans")
     mine = words.join(F.broadcast(found) if n <= BROADCAST_TERMS else found, "term").groupBy("doc").agg(F.sort_array(F.collect_set("term")).alias("terms"))

@@ -1,2 +1,452 @@
-"""placeholder"""
-def repeat_digests(docs): raise NotImplementedError
+"""Suffix-array dedup: removes every byte under a string of LENGTH bytes that also starts earlier.
+
+Sorting every suffix of a corpus would exchange many times its size, so suffixes are sorted from anchors on. The
+anchor of a LENGTH-byte string is the start of the K-byte gram in it with the smallest hash (the leftmost of
+equals); equal strings have equal anchors, and neighbouring strings mostly share theirs (one anchor for about 35
+bytes). The passes:
+
+1. Texts go into compressed blocks, which are checkpointed with the number of their task: the later passes meet
+   the same blocks again. Each task sends the 47-bit hashes of its blocks' anchors, each once a block with a flag
+   "more than once", to the partition of the hash, and gets back one bit for each: does it stand anywhere else?
+   Most anchors of a corpus are unique and end here.
+2. For the others a task makes runs: the suffix from the anchor on, sorted and front-coded (length of the prefix
+   shared with the suffix before, then the rest), with the bytes before the anchor. Equal strings of a run are one
+   entry, the earliest; the later ones are already known to be repeats.
+3. A partition merges its runs with a loser tree. A contender keeps the length of the prefix it shares with the
+   last output; the longer one wins without a comparison, and equal ones are compared beyond that length only. The
+   merged order with its shared lengths gives the groups of equal anchors. Inside a group the LENGTH-byte strings
+   around the anchors are compared by two independent 64-bit hashes, and all but the earliest are repeats.
+4. The repeated strings return to their blocks as intervals; their union is cut out.
+
+A group that holds a third of all documents reaches pass 3 as one entry per run, so no task sees all its members.
+
+Defined cases: null text is empty; texts under LENGTH bytes keep all bytes; documents are ordered by doc_id, those
+without one last; rows that repeat a doc_id are ordered by a hash of the text; rows that repeat doc_id and text are
+one document and stay alike; an empty table gives an empty result; only doc_id and text are read.
+"""
+
+from __future__ import annotations
+
+import hashlib
+import pickle
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import zstandard
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ._bytes import PrefixHash, mix, pieces, powers, utf8
+from ._store import settle, shuffle_width
+
+LENGTH, K = 100, 32
+GRAMS = LENGTH - K + 1
+#: Bytes of strings in one run, and of text in one block.
+RUN_BYTES, BLOCK_BYTES = 8 << 20, 1 << 20
+_POSITION_BITS = np.uint64(27)
+_NO_ID = np.int64(2**63 - 1)
+_SECOND_BASE = 0xD6E8FEB86659FD93
+
+
+def _shut(value) -> bytes:
+    return zstandard.compress(pickle.dumps(value, protocol=5), 3)
+
+
+def _open(blob: bytes):
+    return pickle.loads(zstandard.decompress(blob))
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    from pyspark import TaskContext
+
+    task = TaskContext.get().partitionId()
+    number = first = 0
+    for batch in pieces(batches, limit=BLOCK_BYTES):
+        data, offsets = utf8(batch.column("text"))
+        order = batch.column("order_id").to_numpy(), batch.column("text_hash").to_numpy()
+        blob = _shut((first, data.tobytes(), offsets, *order))
+        yield pa.RecordBatch.from_arrays([pa.array([task], pa.int64()), pa.array([number], pa.int64()), pa.array([blob], pa.binary())], names=["task", "number", "blob"])
+        number, first = number + 1, first + batch.num_rows
+
+
+def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
+    """For each anchor: its position, its hash, the first and the last start of the strings that it is the anchor of."""
+    none = np.zeros(0, np.int64)
+    if len(data) < LENGTH:
+        return none, none.astype(np.uint64), none, none
+    at = np.arange(len(data) - K + 1)
+    h = PrefixHash(data).span(at, at + K)
+    low = h >> _POSITION_BITS << _POSITION_BITS | at.astype(np.uint64)
+    width = 1
+    while 2 * width <= GRAMS:
+        low = np.minimum(low[:-width], low[width:])
+        width *= 2
+    if width < GRAMS:
+        low = np.minimum(low[: len(low) - (GRAMS - width)], low[GRAMS - width :])
+    anchor = (low & np.uint64((1 << int(_POSITION_BITS)) - 1)).astype(np.int64)
+    # A start counts if its string ends inside its row.
+    row_end = np.repeat(offsets[1:], np.diff(offsets))[: len(anchor)]
+    start = np.flatnonzero(np.arange(len(anchor)) + LENGTH <= row_end)
+    anchor = anchor[start]
+    if not len(start):
+        return none, none.astype(np.uint64), none, none
+    new = np.ones(len(start), bool)
+    new[1:] = (anchor[1:] != anchor[:-1]) | (start[1:] != start[:-1] + 1)
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(start)) - 1
+    return anchor[first], h[anchor[first]], start[first], start[last]
+
+
+def _short(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct 47-bit hashes of a block's anchors, whether each is there more than once, and each anchor's place among them."""
+    distinct, inverse, counts = np.unique(h >> np.uint64(17), return_inverse=True, return_counts=True)
+    return distinct, counts > 1, inverse
+
+
+def _part(short: np.ndarray, width: int) -> np.ndarray:
+    return (mix(short) % np.uint64(width)).astype(np.int64)
+
+
+def _probe(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, sent, count = None, [[] for _ in range(width)], 0
+        for batch in batches:
+            for task, blob in zip(batch.column("task").to_pylist(), batch.column("blob").to_pylist()):
+                _, raw, offsets, _, _ = _open(blob)
+                distinct, more, _ = _short(anchors(np.frombuffer(raw, np.uint8), offsets)[1])
+                part = _part(distinct, width)
+                order = np.argsort(part, kind="stable")
+                edge = np.searchsorted(part[order], np.arange(width + 1))
+                told = (distinct << np.uint64(1) | more.astype(np.uint64))[order]
+                light = np.ascontiguousarray(told.view(np.uint8).reshape(-1, 8)[:, :6])
+                for p in range(width):
+                    if edge[p] < edge[p + 1]:
+                        sent[p].append(light[edge[p] : edge[p + 1]].tobytes())
+        rows = [(p, task, b"".join(x)) for p, x in enumerate(sent) if x]
+        for at in range(0, len(rows), 500):
+            part, tasks, blobs = zip(*rows[at : at + 500])
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(tasks, pa.int64()), pa.array(blobs, pa.binary())], names=["part", "task", "blob"])
+
+    return run
+
+
+def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For the hashes that each task sent, one bit each: there more than once."""
+    held: dict[int, list[tuple[int, np.ndarray]]] = {}
+    for batch in batches:
+        for part, task, blob in zip(*(batch.column(c).to_pylist() for c in ("part", "task", "blob"))):
+            full = np.zeros((len(blob) // 6, 8), np.uint8)
+            full[:, :6] = np.frombuffer(blob, np.uint8).reshape(-1, 6)
+            held.setdefault(part, []).append((task, full.view("<u8").ravel()))
+    for part, members in held.items():
+        told = np.concatenate([m for _, m in members])
+        _, inverse, counts = np.unique(told >> np.uint64(1), return_inverse=True, return_counts=True)
+        often = counts > 1
+        often |= np.bincount(inverse, told & np.uint64(1), len(counts)) > 0
+        bits = often[inverse]
+        edge = np.cumsum([0] + [len(m) for _, m in members])
+        blobs = [np.packbits(bits[a:b]).tobytes() for a, b in zip(edge, edge[1:])]
+        yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in members], pa.int64()), pa.array([0] * len(members), pa.int32()), pa.array([part] * len(members), pa.int64()), pa.array(blobs, pa.binary())], names=["task", "kind", "number", "blob"])
+
+
+def shared_length(a: bytes, b: bytes, known: int = 0) -> int:
+    """Length of the common prefix, looked for beyond the `known` bytes."""
+    n = min(len(a), len(b))
+    x, y = a[known:n], b[known:n]
+    if x == y:
+        return n
+    return n - (((int.from_bytes(x, "big") ^ int.from_bytes(y, "big")).bit_length() + 7) >> 3)
+
+
+class LoserTree:
+    """Merge of sorted runs of (shared length with the one before in the run, bytes)."""
+
+    def __init__(self, runs: list[tuple[list[int], list[bytes]]]) -> None:
+        self.runs, self.at = runs, [0] * len(runs)
+        self.leaves = 1
+        while self.leaves < len(runs):
+            self.leaves *= 2
+        self.now: list[bytes | None] = [r[1][0] if r[1] else None for r in runs] + [None] * (self.leaves - len(runs))
+        self.shared = [0] * self.leaves
+        self.tree = [0] * self.leaves
+        self.tree[0] = self._build(1)
+
+    def _build(self, node: int) -> int:
+        if node >= self.leaves:
+            return node - self.leaves
+        return self._play(node, self._build(2 * node), self._build(2 * node + 1))
+
+    def _play(self, node: int, a: int, b: int) -> int:
+        """The winner of a and b goes on, the loser stays at the node with what it shares with the winner."""
+        x, y = self.now[a], self.now[b]
+        if y is None or x is None:
+            winner, loser = (a, b) if x is not None else (b, a)
+        elif self.shared[a] != self.shared[b]:
+            winner, loser = (a, b) if self.shared[a] > self.shared[b] else (b, a)
+        else:
+            n = shared_length(x, y, self.shared[a])
+            winner, loser = (a, b) if x[n:] <= y[n:] else (b, a)
+            self.shared[loser] = n
+        self.tree[node] = loser
+        return winner
+
+    def __iter__(self) -> Iterator[tuple[int, int, int]]:
+        """(shared length with the output before, run, number in the run)."""
+        while self.now[self.tree[0]] is not None:
+            run = self.tree[0]
+            yield self.shared[run], run, self.at[run]
+            self.at[run] += 1
+            lengths, values = self.runs[run]
+            if self.at[run] < len(values):
+                self.now[run], self.shared[run] = values[self.at[run]], lengths[self.at[run]]
+            else:
+                self.now[run] = None
+            node, winner = (run + self.leaves) // 2, run
+            while node:
+                winner = self._play(node, winner, self.tree[node])
+                node //= 2
+            self.tree[0] = winner
+
+
+def front_code(values: list[bytes]) -> tuple[list[int], list[bytes]]:
+    """Shared lengths with the one before, and the rests, of sorted values."""
+    lengths = [0] + [shared_length(a, b) for a, b in zip(values, values[1:])]
+    return lengths, [v[n:] for n, v in zip(lengths, values)]
+
+
+def front_decode(lengths: list[int], rests: list[bytes]) -> list[bytes]:
+    out, before = [], b""
+    for n, rest in zip(lengths, rests):
+        before = before[:n] + rest
+        out.append(before)
+    return out
+
+
+class _Runs:
+    """Buffers the repeated anchors of a task and gives runs per partition and intervals of known repeats."""
+
+    def __init__(self, task: int, width: int) -> None:
+        self.task, self.width = task, width
+        self._clear()
+
+    def _clear(self) -> None:
+        self.columns: list[tuple[np.ndarray, ...]] = []
+        self.texts: list[tuple[bytes, np.ndarray, np.ndarray]] = []
+        self.size = 0
+
+    def add(self, first: int, data: np.ndarray, raw: bytes, offsets: np.ndarray, ids: np.ndarray, hashes: np.ndarray, found: tuple[np.ndarray, ...], short: np.ndarray) -> None:
+        anchor, _, begin, last = found
+        row = np.searchsorted(offsets, begin, "right") - 1
+        whole = PrefixHash(data).span(begin, last + LENGTH) ^ mix(((last - begin) << 8 | (anchor - begin)).astype(np.uint64))
+        self.columns.append((whole, ids[row], hashes[row], begin - offsets[row], last - begin + 1, anchor - begin, row + first, short, np.full(len(row), len(self.texts)), begin))
+        self.texts.append((raw,))
+        self.size += int((last - begin + LENGTH).sum())
+
+    def flush(self) -> Iterator[tuple[int, int, bytes]]:
+        """(kind, key, blob): kind 0 is a run for partition key, kind 1 has intervals for task key."""
+        if not self.columns:
+            return
+        whole, ids, hashes, pos, n, left, doc, short, text, begin = (np.concatenate(c) for c in zip(*self.columns))
+        order = np.lexsort((pos, hashes, ids))
+        _, index, inverse = np.unique(whole[order], return_index=True, return_inverse=True)
+        head = np.zeros(len(order), bool)
+        head[index] = True
+        # A row that repeats doc_id and text is no earlier one.
+        lead = order[index[inverse]]
+        same = (ids[lead] == ids[order]) & (hashes[lead] == hashes[order]) & (pos[lead] == pos[order])
+        again = order[~head & ~same]
+        if len(again):
+            yield 1, self.task, _shut((doc[again].astype(np.int64), pos[again], pos[again] + n[again] - 1 + LENGTH))
+        keep = order[head | same]
+        part = _part(short[keep], self.width)
+        for p in np.unique(part).tolist():
+            mine = keep[part == p]
+            spans = [self.texts[t][0][b : b + k - 1 + LENGTH] for t, b, k in zip(text[mine].tolist(), begin[mine].tolist(), n[mine].tolist())]
+            lefts = left[mine].tolist()
+            rights = [s[k:] for s, k in zip(spans, lefts)]
+            rank = sorted(range(len(mine)), key=rights.__getitem__)
+            lengths, rests = front_code([rights[i] for i in rank])
+            before = [spans[i][: lefts[i]] for i in rank]
+            sorted_ = mine[rank]
+            meta = np.stack([ids[sorted_], hashes[sorted_], pos[sorted_], n[sorted_], doc[sorted_]])
+            yield 0, p, _shut((self.task, np.array(lengths, np.uint8), [len(r) for r in rests], b"".join(rests), [len(x) for x in before], b"".join(before), meta))
+        self._clear()
+
+
+def _make_runs(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def emit(rows):
+            for kind, key, blob in rows:
+                yield pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([key], pa.int64()), pa.array([blob], pa.binary())], names=["kind", "key", "blob"])
+
+        task, masks, used, runs = None, {}, {}, None
+        for batch in batches:
+            for t, kind, number, blob in zip(*(batch.column(c).to_pylist() for c in ("task", "kind", "number", "blob"))):
+                if t != task:
+                    if runs:
+                        yield from emit(runs.flush())
+                    task, masks, used, runs = t, {}, {}, _Runs(t, width)
+                if kind == 0:
+                    masks[number], used[number] = np.unpackbits(np.frombuffer(blob, np.uint8)).astype(bool), 0
+                    continue
+                first, raw, offsets, ids, hashes = _open(blob)
+                data = np.frombuffer(raw, np.uint8)
+                found = anchors(data, offsets)
+                distinct, _, inverse = _short(found[1])
+                part = _part(distinct, width)
+                again = np.zeros(len(distinct), bool)
+                order = np.argsort(part, kind="stable")
+                edge = np.searchsorted(part[order], np.arange(width + 1))
+                for p in np.unique(part).tolist():
+                    size = int(edge[p + 1] - edge[p])
+                    again[order[edge[p] : edge[p + 1]]] = masks[p][used[p] : used[p] + size]
+                    used[p] += size
+                mine = np.flatnonzero(again[inverse])
+                if len(mine):
+                    runs.add(first, data, raw, offsets, ids, hashes, tuple(x[mine] for x in found), distinct[inverse[mine]])
+                    if runs.size > RUN_BYTES:
+                        yield from emit(runs.flush())
+        if runs:
+            yield from emit(runs.flush())
+
+    return run
+
+
+def _cut(joined: bytes, sizes: list[int]) -> list[bytes]:
+    edge = np.concatenate(([0], np.cumsum(sizes))).tolist()
+    return [joined[a:b] for a, b in zip(edge, edge[1:])]
+
+
+def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Merge the runs of each key; give the intervals of repeated strings to their tasks."""
+    key, runs = None, []
+    for batch in batches:
+        for k, blob in zip(batch.column("key").to_pylist(), batch.column("blob").to_pylist()):
+            if k != key and runs:
+                yield from _merged(runs)
+                runs = []
+            key = k
+            task, lengths, sizes, rests, before_sizes, before, meta = _open(blob)
+            lengths = lengths.tolist()
+            runs.append((task, lengths, front_decode(lengths, _cut(rests, sizes)), _cut(before, before_sizes), meta))
+    if runs:
+        yield from _merged(runs)
+
+
+def _merged(runs: list[tuple]) -> Iterator[pa.RecordBatch]:
+    order_run, order_at, starts = [], [], []
+    for shared, run, at in LoserTree([(r[1], r[2]) for r in runs]):
+        starts.append(shared < K)  # a new gram begins
+        order_run.append(run)
+        order_at.append(at)
+    group = np.cumsum(starts)
+    alone = np.bincount(group)[group] < 2
+    members: dict[int, list[tuple[int, int]]] = {}
+    entries = [i for i in np.flatnonzero(~alone).tolist()]
+    # Groups are compared some at a time, so the arrays stay small.
+    while entries:
+        size, take = 0, 0
+        while take < len(entries) and (size < RUN_BYTES or group[entries[take]] == group[entries[take - 1]]):
+            size += LENGTH + 35
+            take += 1
+        _compare(runs, [(order_run[i], order_at[i]) for i in entries[:take]], members)
+        entries = entries[take:]
+    for task, rows in members.items():
+        doc, begin, end = (np.concatenate(c) for c in zip(*rows))
+        blob = _shut((doc, begin, end))
+        yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), pa.array([task], pa.int64()), pa.array([blob], pa.binary())], names=["kind", "key", "blob"])
+
+
+def _compare(runs: list[tuple], entries: list[tuple[int, int]], out: dict) -> None:
+    meta = np.stack([runs[r][4][:, i] for r, i in entries], 1)
+    rank = np.lexsort((meta[2], meta[1], meta[0]))
+    entries, meta = [entries[i] for i in rank], meta[:, rank]
+    spans = [runs[r][3][i] + runs[r][2][i] for r, i in entries]
+    data = np.frombuffer(b"".join(spans), np.uint8)
+    edge = np.cumsum([0] + [len(s) for s in spans])
+    n = meta[3]
+    total = np.cumsum(n)
+    entry = np.repeat(np.arange(len(n)), n)
+    within = np.arange(int(total[-1])) - np.repeat(total - n, n)
+    at = edge[:-1][entry] + within
+    one = PrefixHash(data).span(at, at + LENGTH)
+    # A second polynomial in another base, so that equal means equal in 128 bits.
+    power = powers(_SECOND_BASE, len(data))
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power, dtype=np.uint64)))
+    two = (sums[at + LENGTH] - sums[at]) * powers(pow(_SECOND_BASE, -1, 1 << 64), len(data))[at]
+    _, index, inverse = np.unique(one, return_index=True, return_inverse=True)
+    lead = index[inverse]
+    start = meta[2][entry] + within
+    earlier = (lead != np.arange(len(lead))) & (two == two[lead])
+    # The same place of a row that repeats doc_id and text is no earlier one.
+    earlier &= (meta[0][entry] != meta[0][entry[lead]]) | (meta[1][entry] != meta[1][entry[lead]]) | (start != start[lead])
+    again = np.flatnonzero(earlier)
+    if not len(again):
+        return
+    new = np.ones(len(again), bool)
+    new[1:] = (entry[again][1:] != entry[again][:-1]) | (again[1:] != again[:-1] + 1)
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(again)) - 1
+    task = np.array([runs[r][0] for r, _ in entries])[entry[again[first]]]
+    doc, begin, end = meta[4][entry[again[first]]], start[again[first]], start[again[last]] + LENGTH
+    for t in np.unique(task).tolist():
+        mine = task == t
+        out.setdefault(t, []).append((doc[mine], begin[mine], end[mine]))
+
+
+def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    task, held = None, []
+    for batch in batches:
+        for t, kind, blob in zip(*(batch.column(c).to_pylist() for c in ("task", "kind", "blob"))):
+            if t != task:
+                task, held, table = t, [], None
+            if kind == 0:
+                held.append(_open(blob))
+                continue
+            if table is None:
+                doc, begin, end = (np.concatenate(c) for c in zip(*held)) if held else (np.zeros(0, np.int64),) * 3
+                order = np.argsort(doc, kind="stable")
+                table, held = (doc[order], begin[order], end[order]), []
+            first, raw, offsets, ids, hashes = _open(blob)
+            a, b = np.searchsorted(table[0], (first, first + len(ids)))
+            base = offsets[table[0][a:b] - first]
+            change = np.bincount(base + table[1][a:b], minlength=len(raw) + 1) - np.bincount(base + table[2][a:b], minlength=len(raw) + 1)
+            gone = np.cumsum(change)[:-1] > 0
+            sums = np.concatenate(([0], np.cumsum(gone)))
+            begins = gone.copy()
+            begins[1:] &= ~gone[:-1]
+            edges = offsets[:-1][(offsets[:-1] < len(gone))]
+            begins[edges] = gone[edges]
+            spans = np.concatenate(([0], np.cumsum(begins)))
+            data = np.frombuffer(raw, np.uint8)
+            removed, runs = sums[offsets[1:]] - sums[offsets[:-1]], spans[offsets[1:]] - spans[offsets[:-1]]
+            kept = [data[x:y][~gone[x:y]].tobytes() if r else raw[x:y] for x, y, r in zip(offsets, offsets[1:], removed)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids), pa.array(np.diff(offsets)), pa.array(removed.astype(np.int64)), pa.array(runs.astype(np.int64)), pa.array(kept, pa.binary())],
+                names=["order_id", "n_bytes", "n_removed", "n_spans", "kept"],
+            )
+
+
+def remove_repeats(docs: DataFrame) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans and kept, the bytes that remain, of each document."""
+    width = shuffle_width(docs.sparkSession)
+    order = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(int(_NO_ID)))
+    rows = docs.select(order.alias("order_id"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("string").alias("text"))
+    blocks = settle(rows.mapInArrow(_blocks, "task bigint, number bigint, blob binary"))
+    probes = blocks.mapInArrow(_probe(width), "part int, task bigint, blob binary")
+    # One order for all that is sent keeps the answers in step with the blocks.
+    answers = probes.repartition(width, "part").mapInArrow(_answer, "task bigint, kind int, number bigint, blob binary")
+    texts = blocks.select("task", F.lit(1).alias("kind"), "number", "blob")
+    together = answers.unionByName(texts).repartition(width, "task").sortWithinPartitions("task", "kind", "number")
+    made = settle(together.mapInArrow(_make_runs(width), "kind int, key bigint, blob binary"))
+    merged = made.where("kind = 0").select("key", "blob").repartition(width, "key").sortWithinPartitions("key").mapInArrow(_merge, "kind int, key bigint, blob binary")
+    repeats = merged.unionByName(made.where("kind = 1")).select(F.col("key").alias("task"), F.lit(0).alias("kind"), F.lit(0).cast("bigint").alias("number"), "blob")
+    out = repeats.unionByName(texts).repartition(width, "task").sortWithinPartitions("task", "kind", "number")
+    out = out.mapInArrow(_cut_out, "order_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")
+    return out.select(F.nullif("order_id", F.lit(int(_NO_ID))).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept")
+
+
+def repeat_digests(docs: DataFrame) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
+    return remove_repeats(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
