@@ -1 +1 @@
-
+"""Resumable appends as a file stream."""
