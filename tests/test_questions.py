@@ -60,7 +60,7 @@ def test_paragraph_breaks(spark):
 
 
 def test_heading_priority_and_greedy_choice(spark):
-    cases = [("Intro", "Intro", 0), ("x\nINTRO\ny", "Intro", 1), ("THE LONG\nTITLE", "The Long Title", 2), ("Intro | 3", "Intro", 3), ("else", "Intro", None)]
+    cases = [("Intro", "Intro", 0), ("x\nINTRO\ny", "Intro", 1), ("7 THE LONG\nTITLE", "The Long Title", 2), ("Intro | 3", "Intro", 3), ("else", "Intro", None)]
     rows = spark.createDataFrame(cases, "block string, title string, want int")
     assert all(r[0] == r[1] for r in rows.select(sections.heading_priority(F.col("block"), F.col("title")), "want").collect())
     nodes = spark.createDataFrame([("d", 1, 1, "Same"), ("d", 2, 1, "Same")], "doc string, position int, page int, title string")

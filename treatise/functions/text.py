@@ -19,7 +19,7 @@ URL_ONLY = r"(?i)\A\s*(?:[•◦*-]\s*)?(?:(?:online\s+here|url)\s*:\s*)?\(?http
 URL_TAIL = r"\A[A-Za-z0-9._~:/?#\[\]@!$&'()*+,;=%-]+\z"
 AGE_BAND = r"(?i)\A\d+\s*[–—-]\s*\d+(?:\s+months?)?\z"
 CITATION_ONLY = r"(?d)\A\(.*\)\.?\z"
-LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
+LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 
 
 def casefold(text: Column) -> Column:

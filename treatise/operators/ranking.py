@@ -44,7 +44,8 @@ def bm25_scores(docs: DataFrame, queries: DataFrame) -> DataFrame:
     hits = posted.join(weighted.join(asked.select("term").distinct(), "term", "left_semi"), "term").join(asked, "term")
     tf = F.col("tf")
     part = F.col("times") * F.col("idf") * (tf * (K1 + 1)) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return hits.groupBy("query_id", "leaf_id").agg(F.round(F.sum(part), DIGITS).alias("score"))
+    # A sum of 0 ranks like no shared term at all.
+    return hits.groupBy("query_id", "leaf_id").agg(F.round(F.sum(part), DIGITS).alias("score")).where("score <> 0")
 
 
 def rank_all(scores: DataFrame, queries: DataFrame, docs: DataFrame) -> DataFrame:
@@ -61,14 +62,16 @@ def rank_all(scores: DataFrame, queries: DataFrame, docs: DataFrame) -> DataFram
 def top_k(scores: DataFrame, queries: DataFrame, docs: DataFrame, k: int = TOP) -> DataFrame:
     """Q6: the first k of rank_all() without the cross product.
 
-    The k best of the scored pairs and, for queries with fewer than k, the smallest ids among the others: of the
-    first 2k ids at most k are scored among the best.
+    The k best of the scored pairs and, for queries with fewer than k positive scores, the smallest ids among the
+    candidates without a score: they are among the first k + n ids if n candidates have one.
     """
     best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "leaf_id"))
     scored = scores.withColumn("r", best).where(F.col("r") <= k).drop("r")
-    counts = scores.groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") < k)
-    short = queries.select("query_id").join(scores.groupBy("query_id").agg(F.count("*").alias("n")), "query_id", "left").where(F.coalesce("n", F.lit(0)) < k).select("query_id")
-    fill = short.crossJoin(F.broadcast(docs.select("leaf_id").orderBy("leaf_id").limit(2 * k))).join(scores, ["query_id", "leaf_id"], "left_anti").withColumn("score", F.lit(0.0))
+    counts = scores.groupBy("query_id").agg(F.count_if(F.col("score") > 0).alias("positive"), F.count("*").alias("n"))
+    short = queries.select("query_id").join(counts, "query_id", "left").where(F.coalesce("positive", F.lit(0)) < k)
+    most = short.agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
+    first = docs.select("leaf_id").orderBy("leaf_id").limit(k + most)
+    fill = short.select("query_id").crossJoin(first).join(scores, ["query_id", "leaf_id"], "left_anti").withColumn("score", F.lit(0.0))
     both = scored.unionByName(fill.select("query_id", "leaf_id", "score"))
     return both.withColumn("rank", best).where(F.col("rank") <= k)
 
@@ -76,18 +79,28 @@ def top_k(scores: DataFrame, queries: DataFrame, docs: DataFrame, k: int = TOP)
 def gold_ranks(scores: DataFrame, golds: DataFrame, docs: DataFrame) -> DataFrame:
     """Q5: (query_id, gold_leaf_id, gold_rank), the gold's place in rank_all() without the cross product.
 
-    Scores of shared terms are positive, so what ranks before a scored gold is scored too; before a gold without a
-    score stand all scored candidates and the unscored ones with smaller ids.
+    Candidates without a score stand between the positive and the negative scores, by id. How many ids are smaller
+    than a gold's comes from one sorted count over the candidates, in ranges.
     """
     gold = golds.join(scores.withColumnRenamed("leaf_id", "gold_leaf_id").withColumnRenamed("score", "gold_score"), ["query_id", "gold_leaf_id"], "left")
-    pairs = gold.join(scores, "query_id", "left")
     before = (F.col("score") > F.col("gold_score")) | ((F.col("score") == F.col("gold_score")) & (F.col("leaf_id") < F.col("gold_leaf_id")))
-    counts = pairs.groupBy("query_id", "gold_leaf_id", "gold_score").agg(F.count_if(before).alias("ahead"), F.count("score").alias("scored"), F.count_if(F.col("leaf_id") < F.col("gold_leaf_id")).alias("scored_smaller"))
-    place = docs.select(F.col("leaf_id").alias("gold_leaf_id")).join(golds.select("gold_leaf_id").distinct(), "gold_leaf_id", "left_semi")
-    smaller = docs.select("leaf_id").crossJoin(F.broadcast(place)).where(F.col("leaf_id") < F.col("gold_leaf_id")).groupBy("gold_leaf_id").agg(F.count("*").alias("smaller"))
-    out = counts.join(smaller, "gold_leaf_id", "left")
-    unscored = F.col("scored") + F.coalesce("smaller", F.lit(0)) - F.col("scored_smaller") + 1
-    return out.select("query_id", "gold_leaf_id", F.when(F.col("gold_score").isNotNull(), F.col("ahead") + 1).otherwise(unscored).cast("int").alias("gold_rank"))
+    counts = gold.join(scores, "query_id", "left").groupBy("query_id", "gold_leaf_id", "gold_score").agg(
+        F.count_if(before).alias("ahead"), F.count("score").alias("scored"), F.count_if(F.col("score") > 0).alias("positive"), F.count_if(F.col("leaf_id") < F.col("gold_leaf_id")).alias("scored_smaller")
+    )
+    placed = smaller_ids(docs, golds.select("gold_leaf_id").distinct())
+    out = counts.join(placed, "gold_leaf_id").join(F.broadcast(docs.agg(F.count("*").alias("n"))))
+    unscored = F.col("positive") + F.col("smaller") - F.col("scored_smaller") + 1
+    behind = F.when(F.col("gold_score") < 0, F.col("n") - F.col("scored")).otherwise(0)
+    return out.select("query_id", "gold_leaf_id", F.when(F.col("gold_score").isNotNull(), F.col("ahead") + 1 + behind).otherwise(unscored).cast("int").alias("gold_rank"))
+
+
+def smaller_ids(docs: DataFrame, golds: DataFrame) -> DataFrame:
+    """(gold_leaf_id, smaller): the number of candidates with a smaller id; ids are sorted in ranges, not in one task."""
+    ids = docs.select("leaf_id").repartitionByRange("leaf_id").withColumn("part", F.spark_partition_id())
+    starts = ids.groupBy("part").agg(F.min("leaf_id").alias("low"), F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("low").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    ranked = ids.withColumn("nth", F.row_number().over(Window.partitionBy("part").orderBy("leaf_id")) - 1)
+    wanted = ranked.join(golds, ranked["leaf_id"] == golds["gold_leaf_id"], "left_semi")
+    return wanted.join(F.broadcast(starts.select("part", "before")), "part").select(F.col("leaf_id").alias("gold_leaf_id"), (F.col("before") + F.col("nth")).alias("smaller"))
 
 
 def l2_normalize(vector: Column) -> Column:
