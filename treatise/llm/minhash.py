@@ -8,14 +8,18 @@ values left out (all ways to make the one allowed error), so two documents under
 At similarity 0.8 a signature of 40 values differs in 8 on average (deviation 2.5) and in more than 19 with a
 probability of about 2e-5.
 
-Links: first each document of a key is compared with the key's smallest one, which suffices for the usual group of
-copies and makes one row per document and key. What these links leave open - keys whose documents are still in
-several components - is compared in blocks of BLOCK documents: each pair of blocks is one bounded task, which
-skips pairs that are already connected, tests the signature distance and then the sets, and returns the edges of a
-spanning forest. Keys with the same documents are compared once. No link between different texts is lost, and no
-task or row count grows with the square of a group that is connected.
-
-Components: rounds of large-star and small-star over the edges until nothing changes, checkpointed each round.
+Links: first each document of a key is compared with the key's smallest one, which makes one pair per document and
+key and suffices for the usual group of copies. Keys whose documents are then still in several components are open.
+ROUNDS rounds compare the documents of open keys with another pivot in each key, drawn by a hash, if they are in
+other components than it: a document meets as many pivots as it has keys. Of the keys that stay open, small ones
+list their remaining pairs (at most SMALL - 1 a document); large ones are compared in blocks of BLOCK documents:
+the documents outside the key's largest component with each other and with those in it. Each pair of blocks is one
+bounded task, which skips pairs that are connected or have an earlier key in common (their signatures tell), so a
+pair is compared once, and returns the edges of a spanning forest. Every pair of a key is thus compared unless it is connected, so no link between different texts is lost, and no row count
+grows with the square of a group that is connected.
+
+Components: union-find in one task up to SMALL_EDGES edges; beyond that, rounds of large-star and small-star over
+the distributed edges until nothing changes, checkpointed each round.
 
 Defined cases: null or empty text has no words, an empty set and no links; fewer words than a shingle make the
 whole sequence one shingle; a null doc_id is linked with nothing and kept; rows that repeat a doc_id share their
@@ -39,7 +43,11 @@ CHUNKS, PER_CHUNK = 10, 4
 VALUES = CHUNKS * PER_CHUNK
 LIMIT = 2 * CHUNKS - 1
 PERCENT = 80
-BLOCK = 128
+BLOCK = 512
+#: Rounds with drawn pivots, and the documents of an open key up to which its pairs are listed.
+ROUNDS, SMALL = 1, 12
+#: Edges (16 bytes each) up to which components are found in one task.
+SMALL_EDGES = 500_000
 #: Ids of documents to confirm, up to this number, are broadcast (about 16 bytes each); more are joined by a shuffle.
 BROADCAST_IDS = 300_000
 #: Bytes of a shingle's hash that are kept for the comparison of sets.
@@ -89,13 +97,14 @@ def signatures(sets: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def chunk_keys(signature: np.ndarray) -> np.ndarray:
-    """(rows, VALUES): for each chunk and each value left out, a hash of the chunk's other values."""
+    """(rows, VALUES): for each chunk and each value left out, a hash of the chunk's other values over the number of both (6 bits)."""
     chunks = np.ascontiguousarray(signature).view("<u8").reshape(-1, CHUNKS)
     out = np.empty((len(chunks), VALUES), np.uint64)
     for c in range(CHUNKS):
         for j in range(PER_CHUNK):
             rest = chunks[:, c] & ~np.uint64(0xFFFF << 16 * j)
-            out[:, c * PER_CHUNK + j] = mix(rest + mix(np.array([c * PER_CHUNK + j + 1], np.uint64)))
+            number = c * PER_CHUNK + j
+            out[:, number] = mix(rest + mix(np.array([number + 1], np.uint64))) << np.uint64(6) | np.uint64(number)
     return out
 
 
@@ -160,18 +169,29 @@ def _differences(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a != b).sum(-1)
 
 
+def _near_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        if batch.num_rows:
+            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u2").reshape(-1, VALUES) for c in ("ga", "gb"))
+            yield batch.select(["a", "b"]).filter(pa.array(_differences(a, b) <= LIMIT))
+
+
 def _confirm(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for sa, sb, ga, gb in zip(*(batch.column(c).to_pylist() for c in ("sa", "sb", "ga", "gb"))):
-                near = _differences(np.frombuffer(ga, "<u2"), np.frombuffer(gb, "<u2")) <= LIMIT
-                keep.append(bool(near) and linked(_full(sa), _full(sb), percent))
+            keep = [linked(_full(a), _full(b), percent) for a, b in zip(*(batch.column(c).to_pylist() for c in ("sa", "sb")))]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
 
+def _first_common(equal: np.ndarray) -> np.ndarray:
+    """Number of the first key that two signatures share; equal is (pairs, VALUES)."""
+    chunks = equal.reshape(-1, CHUNKS, PER_CHUNK)
+    chunk = (chunks.sum(2) >= PER_CHUNK - 1).argmax(1)
+    return chunk * PER_CHUNK + chunks[np.arange(len(chunks)), chunk].argmin(1)
+
+
 def _compare_block(percent: int):
     def run(group: pd.DataFrame) -> pd.DataFrame:
         """Edges of a spanning forest among the group's components."""
@@ -184,11 +204,24 @@ def _compare_block(percent: int):
             return c
 
         signature = np.frombuffer(b"".join(group["signature"]), "<u2").reshape(-1, VALUES)
+        sizes = group["shingles"].map(len).to_numpy()
+        number, kind, crosses = int(group["key"].iloc[0]) & 63, int(group["kind"].iloc[0]), group["i"].iloc[0] != group["j"].iloc[0]
+        # Pairs inside one block belong to that block's own group.
+        side = (group["inside"] if kind else group["own"]).to_numpy() if kind or crosses else None
         sets = [None] * len(group)
         reps, components, packed = group["rep"].tolist(), group["component"].tolist(), group["shingles"].tolist()
+        component = group["component"].to_numpy()
         edges = []
         for i in range(len(reps) - 1):
-            for j in np.flatnonzero(_differences(signature[i + 1 :], signature[i]) <= LIMIT) + i + 1:
+            equal = signature[i + 1 :] == signature[i]
+            near = (VALUES - equal.sum(1) <= LIMIT) & (component[i + 1 :] != component[i])
+            near &= 100 * np.minimum(sizes[i + 1 :], sizes[i]) >= percent * np.maximum(sizes[i + 1 :], sizes[i])
+            if side is not None:
+                near &= side[i + 1 :] != side[i]
+            at = np.flatnonzero(near)
+            if not len(at):
+                continue
+            for j in (at[_first_common(equal[at]) == number] + i + 1).tolist():
                 a, b = find(components[i]), find(components[j])
                 if a == b:
                     continue
@@ -211,7 +244,30 @@ def _sets_of(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
     return packed.dropDuplicates(["rep"])  # rows that repeat
 
 
+def _union_find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := root.setdefault(x, x)) != x:
+            root[x] = x = root.setdefault(up, up)
+        return x
+
+    for batch in batches:
+        for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist()):
+            a, b = find(a), find(b)
+            root[max(a, b)] = min(a, b)
+    nodes = list(root)
+    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([find(x) for x in nodes], pa.int64())], names=["node", "component"])
+
+
 def components(edges: DataFrame) -> DataFrame:
+    """(node, component) for each node of edges(a, b); component is the smallest node reachable."""
+    if edges.count() <= SMALL_EDGES:
+        return edges.coalesce(1).mapInArrow(_union_find, "node bigint, component bigint")
+    return star_components(edges)
+
+
+def star_components(edges: DataFrame) -> DataFrame:
     """(node, component) for each node of edges(a, b); component is the smallest node reachable.
 
     Large-star hangs the larger neighbours of each node on its smallest one, small-star the smaller ones; both
@@ -237,22 +293,74 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(tops.select("node", F.col("node").alias("component")))
 
 
-def _open_edges(members: DataFrame, labels: DataFrame, docs: DataFrame, hashes: DataFrame, size: int, percent: int) -> DataFrame | None:
-    """Edges between components that share a key, found in bounded blocks; None if no key is open."""
-    placed = members.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "first", F.coalesce("component", "rep").alias("component"))
-    # The smallest of each key has been compared with all others.
-    rest = placed.where(F.col("rep") != F.col("first"))
-    keys = rest.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("rep")).alias("who"))
-    keys = keys.where("low < high").groupBy("who", "n").agg(F.min("key").alias("key"))
-    rows = settle(rest.join(keys.select("key", "n"), "key").select("key", "rep", "component", "n"))
+def _place(members: DataFrame, labels: DataFrame) -> DataFrame:
+    return members.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
+
+
+def _still_open(placed: DataFrame) -> DataFrame:
+    """The rows of keys that span several components; of small keys with the same rows one stays."""
+    keys = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("rep")).alias("who"))
+    keys = keys.where("low < high").groupBy("n", "who", F.when(F.col("n") > SMALL, F.col("key")).alias("large")).agg(F.min("key").alias("key"))
+    return placed.join(keys.select("key", "n"), "key")
+
+
+def _pairs_of(df: DataFrame, x: str, y: str) -> DataFrame:
+    return df.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).where("a < b").distinct()
+
+
+def _near_pairs(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs whose signatures are within the limit."""
+    side = lambda r, g: classes.select(F.col("rep").alias(r), F.col("signature").alias(g))
+    return settle(pairs.join(side("a", "ga"), "a").join(side("b", "gb"), "b").mapInArrow(_near_only, "a bigint, b bigint"))
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    side = lambda r, s: sets.select(F.col("rep").alias(r), F.col("shingles").alias(s))
+    return settle(pairs.join(side("a", "sa"), "a").join(side("b", "sb"), "b").mapInArrow(_confirm(percent), "a bigint, b bigint"))
+
+
+def _in_blocks(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Edges between the components of large open keys; rows has key, rep, component."""
+    parts = rows.groupBy("key", "component").agg(F.count("*").alias("size"))
+    keys = parts.groupBy("key").agg(F.max(F.struct("size", "component")).alias("top"), F.sum("size").alias("n"))
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    keys = keys.select("key", F.col("top.component").alias("largest"), blocks(F.col("top.size")).alias("inner"), blocks(F.col("n") - F.col("top.size")).alias("outer"))
+    placed = rows.join(keys, "key").withColumn("inside", F.col("component") == F.col("largest"))
+    own = F.pmod(F.xxhash64("rep", "key"), F.when(F.col("inside"), F.col("inner")).otherwise(F.col("outer"))).cast("int")
+    placed = placed.withColumn("own", own)
+    cell = lambda kind, i, j: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"))
+    up_to = lambda n: F.sequence(F.lit(0), n - 1)
+    inner = F.transform(up_to(F.col("outer")), lambda i: cell(1, i, F.col("own")))
+    outer = F.concat(F.transform(up_to(F.col("outer")), lambda j: cell(0, F.least("own", j), F.greatest("own", j))), F.transform(up_to(F.col("inner")), lambda j: cell(1, F.col("own"), j)))
+    spread = placed.select("key", "rep", "component", "inside", "own", F.explode_outer(F.when(F.col("inside"), inner).otherwise(outer)).alias("cell"))
+    return settle(spread.select("key", "rep", "component", "inside", "own", "cell.*").join(sets, "rep").groupBy("key", "kind", "i", "j").applyInPandas(_compare_block(percent), "a bigint, b bigint"))
+
+
+def _more_edges(members: DataFrame, edges: DataFrame, labels: DataFrame, docs: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame | None:
+    """The labels after all that the first pivots left open has been compared; None if that was nothing."""
+    rows = settle(_still_open(_place(members, labels)))
     if rows.isEmpty():
         return None
-    sets = _sets_of(docs, settle(rows.select("rep").distinct().join(hashes, "rep")), size)
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("rep", "key"), blocks).cast("int")
-    spread = rows.withColumn("blocks", blocks).withColumn("own", own).withColumn("other", F.explode_outer(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    spread = spread.select("key", "rep", "component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    return spread.join(sets, "rep").groupBy("key", "i", "j").applyInPandas(_compare_block(percent), "a bigint, b bigint")
+    sets = None
+    for turn in range(ROUNDS + 1):
+        if turn < ROUNDS:
+            pivots = rows.groupBy("key").agg(F.min(F.struct(F.xxhash64("rep", "key", F.lit(turn)).alias("h"), "rep", "component")).alias("p"))
+            pairs = _pairs_of(rows.join(pivots, "key").where(F.col("component") != F.col("p.component")).select("rep", F.col("p.rep").alias("pivot")), "rep", "pivot")
+        else:
+            few = rows.where(F.col("n") <= SMALL)
+            other = few.select("key", F.col("rep").alias("other"), F.col("component").alias("other_component"))
+            pairs = _pairs_of(few.join(other, "key").where("rep < other AND component <> other_component"), "rep", "other")
+        pairs = _near_pairs(pairs, classes)
+        if sets is None:
+            ids = settle(rows.select("rep").distinct().join(classes.select("rep", "text_hash"), "rep"))
+            sets = settle(_sets_of(docs, ids, size))
+        edges = edges.unionByName(_confirmed(pairs, sets, percent))
+        labels = settle(components(edges))
+        rows = settle(_still_open(_place(rows.select("key", "rep"), labels)))
+    large = settle(rows.where(F.col("n") > SMALL).select("key", "rep", "component"))
+    if not large.isEmpty():
+        labels = settle(components(edges.unionByName(_in_blocks(large, sets, percent))))
+    return labels
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = PERCENT) -> DataFrame:
@@ -260,21 +368,14 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = PERCENT) -> D
     found = settle(sketch(docs, size))
     some = found.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = settle(some.groupBy("f1", "f2").agg(F.min(F.struct("doc_id", "text_hash", "signature")).alias("least")).select("f1", "f2", F.col("least.doc_id").alias("rep"), F.col("least.text_hash").alias("text_hash"), F.col("least.signature").alias("signature")))
-    hashes = classes.select("rep", "text_hash")
     index = classes.select("rep", "signature").mapInArrow(_index, "key bigint, rep bigint")
     firsts = index.groupBy("key").agg(F.min("rep").alias("first"), F.max("rep").alias("last")).where("first < last").select("key", "first")
     members = settle(index.join(firsts, "key"))
-    pairs = settle(members.where("rep > first").select(F.col("first").alias("a"), F.col("rep").alias("b")).distinct())
-    ids = settle(pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct().join(hashes, "rep"))
-    sets = settle(_sets_of(docs, ids, size))
-    side = lambda r, s, g: sets.select(F.col("rep").alias(r), F.col("shingles").alias(s), F.col("signature").alias(g))
-    edges = settle(pairs.join(side("a", "sa", "ga"), "a").join(side("b", "sb", "gb"), "b").mapInArrow(_confirm(percent), "a bigint, b bigint"))
+    pairs = _near_pairs(_pairs_of(members, "first", "rep"), classes)
+    ids = settle(pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct().join(classes.select("rep", "text_hash"), "rep"))
+    edges = _confirmed(pairs, _sets_of(docs, ids, size), percent)
     labels = settle(components(edges))
-    more = _open_edges(members, labels, docs, hashes, size, percent)
-    if more is not None:
-        more = settle(more)
-        if not more.isEmpty():
-            labels = settle(components(edges.unionByName(more)))
+    labels = _more_edges(members.select("key", "rep"), edges, labels, docs, classes, size, percent) or labels
     placed = classes.select("f1", "f2", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("f1", "f2", F.coalesce("component", "rep").alias("component"))
     linkable = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
     out = found.join(placed, ["f1", "f2"], "left").withColumn("component_id", F.when(linkable, F.col("component")).otherwise(F.col("doc_id")))
