@@ -21,13 +21,12 @@ bytes). The passes:
 A group that holds a third of all documents reaches pass 3 as one entry per run, so no task sees all its members.
 
 Defined cases: null text is empty; texts under LENGTH bytes keep all bytes; documents are ordered by doc_id, those
-without one last; rows that repeat a doc_id are ordered by a hash of the text; rows that repeat doc_id and text are
+without one last; rows that repeat a doc_id are ordered by a 32-bit hash of the text; rows that repeat doc_id and text are
 one document and stay alike; an empty table gives an empty result; only doc_id and text are read.
 """
 
 from __future__ import annotations
 
-import hashlib
 import pickle
 from collections.abc import Iterator
 
@@ -42,8 +41,8 @@ from ._store import settle, shuffle_width
 
 LENGTH, K = 100, 32
 GRAMS = LENGTH - K + 1
-#: Bytes of strings in one run, and of text in one block.
-RUN_BYTES, BLOCK_BYTES = 8 << 20, 1 << 20
+#: Bytes of strings in one run and in one comparison of groups, and of text in one block.
+RUN_BYTES, COMPARE_BYTES, BLOCK_BYTES = 4 << 20, 1 << 20, 1 << 20
 _POSITION_BITS = np.uint64(27)
 _NO_ID = np.int64(2**63 - 1)
 _SECOND_BASE = 0xD6E8FEB86659FD93
@@ -150,6 +149,20 @@ def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in members], pa.int64()), pa.array([0] * len(members), pa.int32()), pa.array([part] * len(members), pa.int64()), pa.array(blobs, pa.binary())], names=["task", "kind", "number", "blob"])
 
 
+def _union(doc: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The intervals sorted, those that overlap or touch in a document as one."""
+    order = np.lexsort((begin, doc))
+    doc, begin, end = doc[order].astype(np.int64), begin[order], end[order]
+    # Shifted by document, ends of one document never reach into the next.
+    far = np.int64(1) << 40
+    reach = np.maximum.accumulate(end + doc * far)
+    new = np.ones(len(doc), bool)
+    new[1:] = begin[1:] + doc[1:] * far > reach[:-1]
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(doc)) - 1
+    return doc[first].astype(np.uint32), begin[first].astype(np.uint32), (reach[last] - doc[first] * far).astype(np.uint32)
+
+
 def shared_length(a: bytes, b: bytes, known: int = 0) -> int:
     """Length of the common prefix, looked for beyond the `known` bytes."""
     n = min(len(a), len(b))
@@ -257,7 +270,7 @@ class _Runs:
         same = (ids[lead] == ids[order]) & (hashes[lead] == hashes[order]) & (pos[lead] == pos[order])
         again = order[~head & ~same]
         if len(again):
-            yield 1, self.task, _shut((doc[again].astype(np.int64), pos[again], pos[again] + n[again] - 1 + LENGTH))
+            yield 1, self.task, _shut(_union(doc[again], pos[again], pos[again] + n[again] - 1 + LENGTH))
         keep = order[head | same]
         part = _part(short[keep], self.width)
         for p in np.unique(part).tolist():
@@ -269,8 +282,9 @@ class _Runs:
             lengths, rests = front_code([rights[i] for i in rank])
             before = [spans[i][: lefts[i]] for i in rank]
             sorted_ = mine[rank]
-            meta = np.stack([ids[sorted_], hashes[sorted_], pos[sorted_], n[sorted_], doc[sorted_]])
-            yield 0, p, _shut((self.task, np.array(lengths, np.uint8), [len(r) for r in rests], b"".join(rests), [len(x) for x in before], b"".join(before), meta))
+            meta = (ids[sorted_], hashes[sorted_].astype(np.uint32), pos[sorted_].astype(np.uint32), n[sorted_].astype(np.uint8), doc[sorted_].astype(np.uint32))
+            sizes = [np.fromiter(map(len, x), np.uint8, len(x)) for x in (rests, before)]
+            yield 0, p, _shut((self.task, np.array(lengths, np.uint8), sizes[0], b"".join(rests), sizes[1], b"".join(before), meta))
         self._clear()
 
 
@@ -313,23 +327,26 @@ def _make_runs(width: int):
     return run
 
 
-def _cut(joined: bytes, sizes: list[int]) -> list[bytes]:
-    edge = np.concatenate(([0], np.cumsum(sizes))).tolist()
+def _cut(joined: bytes, sizes: np.ndarray) -> list[bytes]:
+    edge = np.concatenate(([0], np.cumsum(sizes, dtype=np.int64))).tolist()
     return [joined[a:b] for a, b in zip(edge, edge[1:])]
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Merge the runs of each key; give the intervals of repeated strings to their tasks."""
+    """Merge the runs of each key and give the intervals of repeated strings to their tasks; known intervals pass through."""
     key, runs = None, []
     for batch in batches:
-        for k, blob in zip(batch.column("key").to_pylist(), batch.column("blob").to_pylist()):
-            if k != key and runs:
+        for kind, k, blob in zip(*(batch.column(c).to_pylist() for c in ("kind", "key", "blob"))):
+            if runs and (kind, k) != key:
                 yield from _merged(runs)
                 runs = []
-            key = k
+            key = (kind, k)
+            if kind:
+                yield pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([k], pa.int64()), pa.array([blob], pa.binary())], names=["kind", "key", "blob"])
+                continue
             task, lengths, sizes, rests, before_sizes, before, meta = _open(blob)
             lengths = lengths.tolist()
-            runs.append((task, lengths, front_decode(lengths, _cut(rests, sizes)), _cut(before, before_sizes), meta))
+            runs.append((task, lengths, front_decode(lengths, _cut(rests, sizes)), _cut(before, before_sizes), np.stack([m.astype(np.int64) for m in meta])))
     if runs:
         yield from _merged(runs)
 
@@ -347,14 +364,13 @@ def _merged(runs: list[tuple]) -> Iterator[pa.RecordBatch]:
     # Groups are compared some at a time, so the arrays stay small.
     while entries:
         size, take = 0, 0
-        while take < len(entries) and (size < RUN_BYTES or group[entries[take]] == group[entries[take - 1]]):
+        while take < len(entries) and (size < COMPARE_BYTES or group[entries[take]] == group[entries[take - 1]]):
             size += LENGTH + 35
             take += 1
         _compare(runs, [(order_run[i], order_at[i]) for i in entries[:take]], members)
         entries = entries[take:]
     for task, rows in members.items():
-        doc, begin, end = (np.concatenate(c) for c in zip(*rows))
-        blob = _shut((doc, begin, end))
+        blob = _shut(_union(*(np.concatenate(c) for c in zip(*rows))))
         yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), pa.array([task], pa.int64()), pa.array([blob], pa.binary())], names=["kind", "key", "blob"])
 
 
@@ -405,7 +421,7 @@ def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 held.append(_open(blob))
                 continue
             if table is None:
-                doc, begin, end = (np.concatenate(c) for c in zip(*held)) if held else (np.zeros(0, np.int64),) * 3
+                doc, begin, end = (np.concatenate(c).astype(np.int64) for c in zip(*held)) if held else (np.zeros(0, np.int64),) * 3
                 order = np.argsort(doc, kind="stable")
                 table, held = (doc[order], begin[order], end[order]), []
             first, raw, offsets, ids, hashes = _open(blob)
@@ -432,16 +448,17 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept, the bytes that remain, of each document."""
     width = shuffle_width(docs.sparkSession)
     order = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(int(_NO_ID)))
-    rows = docs.select(order.alias("order_id"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("string").alias("text"))
+    rows = docs.select(order.alias("order_id"), F.xxhash64("text").bitwiseAND(0xFFFFFFFF).alias("text_hash"), F.col("text").cast("string").alias("text"))
     blocks = settle(rows.mapInArrow(_blocks, "task bigint, number bigint, blob binary"))
     probes = blocks.mapInArrow(_probe(width), "part int, task bigint, blob binary")
     # One order for all that is sent keeps the answers in step with the blocks.
     answers = probes.repartition(width, "part").mapInArrow(_answer, "task bigint, kind int, number bigint, blob binary")
     texts = blocks.select("task", F.lit(1).alias("kind"), "number", "blob")
     together = answers.unionByName(texts).repartition(width, "task").sortWithinPartitions("task", "kind", "number")
-    made = settle(together.mapInArrow(_make_runs(width), "kind int, key bigint, blob binary"))
-    merged = made.where("kind = 0").select("key", "blob").repartition(width, "key").sortWithinPartitions("key").mapInArrow(_merge, "kind int, key bigint, blob binary")
-    repeats = merged.unionByName(made.where("kind = 1")).select(F.col("key").alias("task"), F.lit(0).alias("kind"), F.lit(0).cast("bigint").alias("number"), "blob")
+    made = together.mapInArrow(_make_runs(width), "kind int, key bigint, blob binary")
+    # Intervals that a task knows already travel with the runs, so these are written once.
+    merged = made.repartition(width, "key").sortWithinPartitions("kind", "key").mapInArrow(_merge, "kind int, key bigint, blob binary")
+    repeats = merged.select(F.col("key").alias("task"), F.lit(0).alias("kind"), F.lit(0).cast("bigint").alias("number"), "blob")
     out = repeats.unionByName(texts).repartition(width, "task").sortWithinPartitions("task", "kind", "number")
     out = out.mapInArrow(_cut_out, "order_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")
     return out.select(F.nullif("order_id", F.lit(int(_NO_ID))).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept")
