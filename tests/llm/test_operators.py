@@ -93,6 +93,37 @@ def test_disclosing_terms(spark):
     assert clean[0] == "Report a by  at [EMAIL] said aa." and clean[7] == "nobody is here."
 
 
+def _told(rng, count, shape):
+    """Texts of random words around what shape(i) tells, and as many without it."""
+    word = lambda: "".join(rng.choice(list("abcdefghij"), rng.integers(3, 8)))
+    prose = lambda k: " ".join(word() for _ in range(k))
+    return [prose(30) + shape(i, prose) + prose(30) for i in range(count)] + [prose(60) for _ in range(300)]
+
+
+def test_disclosing_terms_in_the_whole_document(spark):
+    """A name on another line, one far away, and one of an entity in two documents; copies are no evidence."""
+    rng = np.random.default_rng(4)
+    above = _told(rng, 4, lambda i, prose: "\nZanzibarov\nzan@x.org\n")
+    far = _told(rng, 4, lambda i, prose: " Quillfeather " + prose(60) + " quill@x.org ")
+    twice = _told(rng, 2, lambda i, prose: " Xylander +1 (802) 555-9869 ")
+    copied = _told(rng, 1, lambda i, prose: " Overmantel over@x.org ")[0]
+    near = [copied + f" end{i}" for i in range(5)]
+    rows = list(enumerate(above + far + twice + [copied] * 5 + near))
+    found = {s["value"] for r in pii.find_personal_data(frame(spark, rows)).collect() for s in r.spans if s["kind"] == "term"}
+    assert found == {"Zanzibarov", "Quillfeather", "Xylander"}
+
+
+def test_chance_bound(spark):
+    """The bound is never below the hypergeometric tail, and is the tail where all of one side meet."""
+    from math import comb, exp
+
+    for n, s, h, k in ((47, 7, 6, 6), (50, 10, 8, 3), (30, 4, 4, 4), (400, 90, 80, 70)):
+        tail = sum(comb(s, x) * comb(n - s, h - x) for x in range(k, min(s, h) + 1)) / comb(n, h)
+        bound = spark.range(1).select(pii._chance(*(F.lit(x).cast("bigint") for x in (k, s, h, n)))).first()[0]
+        assert exp(bound) >= tail * (1 - 1e-9)
+        assert k < min(s, h) or abs(exp(bound) / tail - 1) < 1e-9
+
+
 def test_line_dedup(spark, docs, table):
     want = brute.line_dedup(docs)
     assert by_id(line_dedup.dedup_digests(table), "n_lines", "n_dropped", "kept_sha256") == want

@@ -1,15 +1,22 @@
 """PII: information-theoretic sanitisation over DataFrame operations only.
 
 Personal data of four fixed kinds (email, ip, card, phone) is found in every whole text. These values are the
-protected entities. How strongly another term reveals an entity is estimated from the whole corpus: a term that
-stands near an entity in at least `min_contexts` different contexts, and whose documents hold the entity so often
-that the pointwise mutual information PMI = log2(p(entity | term) / p(entity)) reaches `disclosure` times the
-entity's information -log2 p(entity), discloses it. Its occurrences in all documents become spans of kind `term`,
-which are removed by sanitise(), while entities are generalised to the name of their kind.
-
-Cost: terms are looked at only in windows of `reach` code points beside entities, so the candidate pairs grow
-with the entities, not with documents times terms. Document frequencies are counted over the whole corpus for
-the candidate terms alone.
+protected entities. How strongly another term reveals an entity is estimated from the whole corpus, by documents:
+of the documents that hold the term outside of base spans (`spread`), how many hold the entity (`both`). A term
+discloses an entity if the pointwise mutual information PMI = log2(p(entity | term) / p(entity)) reaches
+`disclosure` times the entity's information -log2 p(entity), and chance does not explain it (below). Its
+occurrences in all documents become spans of kind `term`, which are removed by sanitise(), while entities are
+generalised to the name of their kind.
+
+Chance: rare words reach any PMI with the entity they happen to meet. If term and entity were independent, the
+chance of k or more common documents is at most the product over i < j of (s-i)(h-i) / ((n-i)(k-i)), for any
+j <= k (Markov's inequality on the number of j-subsets; s and h are the documents of the term and of the entity,
+n all). This times the number of pairs of the corpus must not exceed `level`. Copies are no further evidence:
+among the common documents k counts groups of documents that agree in a part of their min-hash sketch.
+
+Cost: no pair is left out for its distance. PMI can reach the threshold only if spread <= held^d * n^(1-d) for
+disclosure d and an entity in `held` documents, as both <= held; words beyond this are dropped before words and
+entities of a document are paired.
 
 Position arithmetic: a pattern's matches are regexp_extract_all(text, p) and the gaps between them are
 split(text, p); both run the same left-to-right search, so running sums of lengths give code-point positions.
@@ -28,10 +35,14 @@ from pyspark.sql import functions as F
 from ._store import settle
 
 KINDS = ("email", "ip", "card", "phone")
-REACH = 80
-MIN_CONTEXTS = 3
 DISCLOSURE = 0.9
-#: Terms up to this number are broadcast (about 50 bytes each); more are joined by a shuffle.
+LEVEL = 0.05
+#: Words in a shingle of the sketch, and hashes in each of its parts: near copies of similarity 0.8 agree in a
+#: part with a chance of 98 %, texts that share a fifth of their shingles with 15 %.
+SHINGLE, PARTS, HASHES = 4, 4, 2
+#: Factors of the bound on chance that are multiplied at most; fewer factors make it larger, never smaller.
+FACTORS = 64
+#: Terms and entities up to this number are broadcast (about 50 bytes each); more are joined by a shuffle.
 BROADCAST_TERMS = 100_000
 
 _MARK = ""
@@ -41,7 +52,8 @@ _EMAIL = rf"(?:\G|(?<![{_LOCAL}]))[{_LOCAL}]++@[A-Za-z0-9\-]++[A-Za-z0-9\-
 _IP = r"(?:\G|(?<![0-9]))[0-9]++(?:\.[0-9]++)(?:\.[0-9]++)(?:\.[0-9]++)"
 _CARD = r"[0-9][0-9]++"
 _PHONE = r"\+[0-9][\x20().0-9\-]+[0-9]"
-_TERM = r"[\p{L}][\p{L}\p{Nd}]+"
+_TERM = r"^\p{L}[\p{L}\p{Nd}]"
+_GAP = r"[^\p{L}\p{Nd}]+"
 
 
 _SPANS = "array<struct<kind:string,start:int,end:int,value:string>>"
@@ -117,47 +129,70 @@ def spans_text(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def _near(docs: DataFrame, reach: int) -> DataFrame:
-    """(doc, entity, context, term) for the distinct terms beside each entity, within its line."""
-    one = docs.where(_may_hold(F.col("text"))).select("doc", "text", F.explode_outer("spans").alias("span")).where("span IS NOT NULL")
-    before = F.substring("text", F.greatest(F.col("span.start") - reach, F.lit(0)) + 1, F.least(F.col("span.start"), F.lit(reach)))
-    after = F.substring("text", F.col("span.end") + 1, F.lit(reach))
-    # Cut at the line's ends, and drop the word that the window itself may have cut.
-    before = F.regexp_replace(F.element_at(F.split(before, "\n"), -1), F.when(F.col("span.start") > reach, F.lit(r"^[\p{L}\p{Nd}]+")).otherwise(F.lit(r"^\b\B")), F.lit(""))
-    after = F.regexp_replace(F.element_at(F.split(after, "\n"), 1), F.lit(r"[\p{L}\p{Nd}]+$"), F.lit(""))
-    entity = F.xxhash64(F.lower("span.value"))
-    context = F.concat_ws("\n", before, after)
-    terms = F.array_distinct(F.regexp_extract_all(F.lower(context), F.lit(_TERM), F.lit(0)))
-    return one.select("doc", entity.alias("entity"), F.xxhash64(context).alias("context"), F.explode_outer(terms).alias("term"))
+def _outside(text: Column, spans: Column) -> Column:
+    """text with a blank for each span."""
+
+    def step(state: Column, s: Column) -> Column:
+        keep = F.substring(text, state["at"] + 1, F.greatest(s["start"] - state["at"], F.lit(0)))
+        return F.struct(F.greatest(state["at"], s["end"]).alias("at"), F.concat(state["text"], keep, F.lit(" ")).alias("text"))
+
+    ordered = F.sort_array(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
+    return F.aggregate(ordered, F.struct(F.lit(0).alias("at"), F.lit("").alias("text")), step, lambda s: F.concat(s["text"], F.substring(text, s["at"] + 1, F.length(text))))
+
+
+def _sketch(words: Column) -> list[Column]:
+    """Parts of a min-hash sketch of the shingles of an array of words."""
+    starts = F.sequence(F.lit(1), F.greatest(F.size(words) - SHINGLE + 1, F.lit(1)))
+    shingles = F.transform(starts, lambda i: F.array_join(F.slice(words, i, SHINGLE), " "))
+    least = lambda seed: F.array_min(F.transform(shingles, lambda x: F.xxhash64(F.lit(seed), x)))
+    return [F.xxhash64(*(least(HASHES * p + h) for h in range(HASHES))).alias(f"part{p}") for p in range(PARTS)]
+
+
+def _chance(k: Column, s: Column, h: Column, n: Column) -> Column:
+    """Natural logarithm of the bound on the chance that s and h of n documents have k or more in common."""
+    factor = lambda i: F.ln((s - i) / (n - i)) + F.ln((h - i) / (k - i))
+    return F.aggregate(F.sequence(F.lit(0).cast("bigint"), F.least(k, F.lit(FACTORS)) - 1), F.lit(0.0), lambda a, i: a + factor(i))
 
 
-def disclosing_terms(docs: DataFrame, reach: int = REACH, min_contexts: int = MIN_CONTEXTS, disclosure: float = DISCLOSURE) -> DataFrame:
+def disclosing_terms(docs: DataFrame, disclosure: float = DISCLOSURE, level: float = LEVEL) -> DataFrame:
     """(term, entity, pmi) of the terms that disclose an entity; docs has doc, text and spans."""
-    near = _near(docs, reach)
-    near = near.where("term IS NOT NULL")
-    contexts = near.select("entity", "term", "context").distinct().groupBy("entity", "term").agg(F.count("*").alias("contexts")).where(F.col("contexts") >= min_contexts)
-    # Copies of one document are one context, but each is a document that holds both.
-    both = near.select("entity", "term", "doc").distinct().groupBy("entity", "term").agg(F.count("*").alias("both"))
-    pairs = settle(contexts.join(both, ["entity", "term"]))
-    entities = docs.where(_may_hold(F.col("text"))).select("doc", F.explode_outer("spans").alias("span")).where("span IS NOT NULL").select("doc", F.xxhash64(F.lower("span.value")).alias("entity"))
-    held = entities.distinct().groupBy("entity").agg(F.count("*").alias("held"))
-    terms = pairs.select("term").distinct()
-    if pairs.count() <= BROADCAST_TERMS:
-        terms = F.broadcast(terms)
-    words = docs.select(F.explode_outer(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{Nd}]+"))).alias("term"))
-    spread = words.join(terms, "term", "left_semi").groupBy("term").agg(F.count("*").alias("spread"))
-    total = docs.agg(F.greatest(F.count("*"), F.lit(2)).alias("n"))
-    scored = pairs.join(spread, "term").join(held, "entity").join(F.broadcast(total))
-    information = F.log2(F.col("n") / F.col("held"))
-    pmi = F.log2(F.col("both") * F.col("n") / (F.col("spread") * F.col("held")))
-    return scored.where((information > 0) & (pmi >= F.lit(disclosure) * information)).select("term", "entity", pmi.alias("pmi"))
-
-
-def find_personal_data(docs: DataFrame, reach: int = REACH, min_contexts: int = MIN_CONTEXTS, disclosure: float = DISCLOSURE) -> DataFrame:
+    entities = F.array_distinct(F.transform("spans", lambda s: F.xxhash64(F.lower(s["value"]))))
+    words = F.split(F.lower(_outside(F.col("text"), F.col("spans"))), _GAP)
+    holders = docs.where(_may_hold(F.col("text"))).where(F.size("spans") > 0).select(entities.alias("entities"), words.alias("words"))
+    holders = holders.select("entities", F.array_distinct("words").alias("words"), *_sketch(F.col("words")))
+    holders = settle(holders.withColumn("row", F.monotonically_increasing_id()))
+    terms = F.filter("words", lambda w: F.rlike(w, F.lit(_TERM)))
+    held = settle(holders.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("held")))
+    n = max(docs.count(), 2)
+    kinds, most = held.agg(F.count("*"), F.max("held")).first()
+    # At least the number of pairs: a pair counts in each of its documents.
+    tested = holders.agg(F.sum(F.size("entities").cast("double") * F.size(terms))).first()[0] or 1.0
+    # The widest spread of a term whose PMI can reach the threshold, with room for rounding.
+    widest = lambda held: F.pow(held.cast("double"), F.lit(disclosure)) * F.pow(F.lit(float(n)), F.lit(1.0 - disclosure)) * (1 + 1e-9)
+
+    free = docs.where(F.size("spans") == 0).select(F.explode(F.array_distinct(F.split(F.lower("text"), _GAP))).alias("term"))
+    every = free.unionByName(holders.select(F.explode("words").alias("term"))).select(F.xxhash64("term").alias("key"))
+    spread = every.groupBy("key").agg(F.count("*").alias("spread")).where(F.col("spread") <= widest(F.lit(most or 1)))
+    used = holders.select("row", F.explode(terms).alias("term")).withColumn("key", F.xxhash64("term"))
+    rare = used.join(spread, "key").drop("key")
+    parts = [f"part{p}" for p in range(PARTS)]
+    met = rare.join(holders.select("row", F.explode("entities").alias("entity"), *parts), "row")
+    met = met.join(F.broadcast(held) if kinds <= BROADCAST_TERMS else held, "entity").where(F.col("spread") <= widest(F.col("held")))
+    pairs = met.groupBy("entity", "term", "spread", "held").agg(F.count("*").alias("both"), *(F.count_distinct(p).alias(p) for p in parts))
+    information = F.log2(F.lit(n) / F.col("held"))
+    pmi = F.log2(F.col("both") * F.lit(float(n)) / (F.col("spread") * F.col("held")))
+    strong = pairs.where((information > 0) & (pmi >= F.lit(disclosure) * information))
+    k = F.least(*parts)
+    copies = F.col("both") - k
+    chance = _chance(k, F.col("spread") - copies, F.col("held") - copies, F.lit(n) - copies)
+    return strong.where(chance + F.ln(F.lit(tested)) <= F.ln(F.lit(level))).select("term", "entity", pmi.alias("pmi"))
+
+
+def find_personal_data(docs: DataFrame, disclosure: float = DISCLOSURE, level: float = LEVEL) -> DataFrame:
     """doc_id, text, base (array of base spans) and spans (base and disclosing terms) of each document."""
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("text")).select(F.xxhash64("doc_id", "text").alias("doc"), "doc_id", "text", base_spans(F.col("text")).alias("spans"))
-    found = settle(disclosing_terms(rows, reach, min_contexts, disclosure).groupBy("term").agg(F.max("pmi").alias("pmi")))
+    found = settle(disclosing_terms(rows, disclosure, level).groupBy("term").agg(F.max("pmi").alias("pmi")))
     n = found.count()
     words = rows.select("doc", F.explode_outer(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{Nd}]+"))).alias("term"))
     if n == 0:
