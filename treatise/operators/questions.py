@@ -25,7 +25,8 @@ Requirements:
 Passage:
 %s
 [/INST]"""
-_LITERAL = r'"(?:[^"\\\x00-\x1f]|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*"'
+# The groups are possessive: Java's matcher goes a call deeper for each turn of others, and literals can be long.
+_LITERAL = r'"(?:[^"\\\x00-\x1f]++|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*+"'
 
 
 def requested_count(character_count: Column) -> Column:

@@ -162,9 +162,11 @@ def p2_sections(spark, d):
 
 
 def p3_heading_priority(spark, d):
+    """Blocks around the whole line; each fifth one is asked for a title that may be only its beginning."""
     rows = _lines(spark, d).where("trim(line) <> ''")
-    title = T.normalize(F.substring("line", 1, 24))
-    block = F.when(F.col("at") % 5 == 0, F.substring("line", 1, 24)).when(F.col("at") % 5 == 1, F.concat(F.lit("x\n"), F.substring("line", 1, 24), F.lit("\ny"))).when(F.col("at") % 5 == 2, F.concat(F.lit("7 "), F.upper(title))).when(F.col("at") % 5 == 3, F.concat(title, F.lit(" | 12"))).otherwise("other")
+    kind = F.col("at") % 5
+    title = T.normalize(F.when(kind == 4, F.substring("line", 1, 24)).otherwise(F.col("line")))
+    block = F.when(kind == 1, F.concat(F.lit("x\n"), "line", F.lit("\ny"))).when(kind == 2, F.concat(F.lit("7 "), F.upper(title))).when(kind == 3, F.concat(title, F.lit(" | 12"))).otherwise(F.col("line"))
     return rows.select("doc_id", F.col("at").alias("block_no"), sections.heading_priority(block, title).cast("int").alias("priority"))
 
 
@@ -239,8 +241,8 @@ def g2_prompts(spark, d):
 
 
 def g4_clean_questions(spark, d):
-    """Model output made of a document's lines: arrays with repeats, objects, blanks and cut-off ends."""
-    q = F.concat(F.translate(F.substring("line", 1, 40), '"\\', ""), F.lit("?"))
+    """Model output made of a document's whole lines: arrays with repeats, objects, blanks and cut-off ends."""
+    q = F.concat(F.translate("line", '"\\', ""), F.lit("?"))
     item = F.when(F.col("at") % 4 == 0, F.to_json(F.struct(q.alias("question")))).otherwise(F.concat(F.lit('"'), q, F.lit('"')))
     lists = _lines(spark, d).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("at", item.alias("item")))).alias("l"))
     body = F.concat(F.lit("Sure: ["), F.array_join(F.concat(F.transform("l", lambda x: x["item"]), F.transform("l", lambda x: F.upper(x["item"]))), ", "), F.lit("]"))
