@@ -36,6 +36,15 @@ def test_parents_and_paths(spark):
             assert row.is_retrieval_leaf == (row.is_leaf and book == "a")
 
 
+def test_outlines_of_any_depth(spark):
+    deep = list(range(1, 12))
+    nodes = {r.position: r for r in outline.outline_nodes(_frame(spark, {"a": [*deep, 9]}), ["book"]).collect()}
+    assert [nodes[i].parent_position for i in (1, 9, 10, 11, 12)] == [None, 8, 9, 10, 8]
+    assert nodes[11].path == [f"a t{i}" for i in deep] and nodes[12].path == [*(f"a t{i}" for i in range(1, 9)), "a t12"]
+    flat = outline.outline_nodes(_frame(spark, {"a": [1, 1]}), ["book"]).collect()
+    assert [r.parent_position for r in flat] == [None, None]
+
+
 def test_render_and_parse_are_inverse(spark):
     rows = _frame(spark, {"a": [1, 2, 3, 2], "b": [1, 1]}).select("book", "position", "level", "title")
     again = outline.parse_outline(outline.render_outline(rows, ["book"]), ["book"])

@@ -7,27 +7,32 @@ from pyspark.sql import functions as F
 
 from ..functions.text import normalize, normalized_key, strip, casefold, lines
 
-MAX_LEVEL = 8
 CHAPTER_PREFIX = "Chapter "
 EXCLUDED_TITLES = ("media attributions",)
 PATH_SEPARATOR = " > "
 
 
-def with_parents(outline: DataFrame, keys: list[str], max_level: int = MAX_LEVEL) -> DataFrame:
+def deepest(outline: DataFrame) -> int:
+    """The largest level of the rows, which bounds the length of a path."""
+    return outline.agg(F.max("level")).first()[0] or 1
+
+
+def with_parents(outline: DataFrame, keys: list[str]) -> DataFrame:
     """parent_position, the nearest earlier row of a smaller level.
 
     One running maximum per level in one window: a row's parent is the latest row among the levels above it.
     """
     earlier = Window.partitionBy(*keys).orderBy("position").rowsBetween(Window.unboundedPreceding, -1)
-    latest = [F.when(F.col("level") > n, F.max(F.when(F.col("level") == n, F.col("position"))).over(earlier)) for n in range(1, max_level)]
-    return outline.withColumn("parent_position", F.greatest(*latest))
+    latest = [F.when(F.col("level") > n, F.max(F.when(F.col("level") == n, F.col("position"))).over(earlier)) for n in range(1, deepest(outline))]
+    # greatest() takes two columns at least.
+    none = F.lit(None).cast(outline.schema["position"].dataType)
+    return outline.withColumn("parent_position", F.greatest(none, none, *latest))
 
 
-def with_paths(outline: DataFrame, keys: list[str], max_level: int = MAX_LEVEL) -> DataFrame:
+def with_paths(outline: DataFrame, keys: list[str]) -> DataFrame:
     """Path, the titles from the root to the node; one self-join on the parent for each level."""
     out = outline.withColumn("path", F.array("title")).withColumn("up", F.col("parent_position"))
-    depth = min(max_level, outline.agg(F.max("level")).first()[0] or 1)
-    for _ in range(depth - 1):
+    for _ in range(deepest(outline) - 1):
         parent = outline.select(*keys, F.col("position").alias("up"), F.col("title").alias("up_title"), F.col("parent_position").alias("next_up"))
         out = out.join(parent, [*keys, "up"], "left").withColumn("path", F.when(F.col("up_title").isNotNull(), F.concat(F.array("up_title"), F.col("path"))).otherwise(F.col("path"))).drop("up", "up_title").withColumnRenamed("next_up", "up")
     return out.drop("up")
