@@ -144,6 +144,20 @@ def test_repeats(spark, docs, table):
     assert got == brute.repeats(docs)
 
 
+def test_anchors_of_a_text_longer_than_positions_have_bits(monkeypatch):
+    """Each string's anchor is inside it, and equal strings have anchors at equal places."""
+    monkeypatch.setattr(suffix, "_POSITION_BITS", np.uint64(10))
+    rng = np.random.default_rng(6)
+    passage, fill = rng.integers(97, 123, 300), lambda n: rng.integers(97, 123, n)
+    data = np.concatenate([fill(700), passage, fill(4000), passage, fill(900)]).astype(np.uint8)
+    anchor, _, first, last = suffix.anchors(data, np.array([0, len(data)]))
+    assert ((first <= last) & (last <= anchor) & (anchor < first + suffix.GRAMS)).all()
+    assert (last - first + 1).sum() == len(data) - suffix.LENGTH + 1
+    of = np.repeat(anchor, last - first + 1)
+    starts = np.arange(700, 700 + 300 - suffix.LENGTH + 1)
+    assert (of[starts + 4300] == of[starts] + 4300).all()
+
+
 def test_loser_tree():
     rng = np.random.default_rng(2)
     for k in (1, 2, 3, 7):

@@ -69,6 +69,18 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, first = number + 1, first + batch.num_rows
 
 
+def _least(h: np.ndarray) -> np.ndarray:
+    """For each run of GRAMS hashes the place of the one with the least upper bits, the first of equal ones."""
+    low = h >> _POSITION_BITS << _POSITION_BITS | np.arange(len(h)).astype(np.uint64)
+    width = 1
+    while 2 * width <= GRAMS:
+        low = np.minimum(low[:-width], low[width:])
+        width *= 2
+    if width < GRAMS:
+        low = np.minimum(low[: len(low) - (GRAMS - width)], low[GRAMS - width :])
+    return (low & np.uint64((1 << int(_POSITION_BITS)) - 1)).astype(np.int64)
+
+
 def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     """For each anchor: its position, its hash, the first and the last start of the strings that it is the anchor of."""
     none = np.zeros(0, np.int64)
@@ -76,14 +88,9 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
         return none, none.astype(np.uint64), none, none
     at = np.arange(len(data) - K + 1)
     h = PrefixHash(data).span(at, at + K)
-    low = h >> _POSITION_BITS << _POSITION_BITS | at.astype(np.uint64)
-    width = 1
-    while 2 * width <= GRAMS:
-        low = np.minimum(low[:-width], low[width:])
-        width *= 2
-    if width < GRAMS:
-        low = np.minimum(low[: len(low) - (GRAMS - width)], low[GRAMS - width :])
-    anchor = (low & np.uint64((1 << int(_POSITION_BITS)) - 1)).astype(np.int64)
+    # A text can be longer than positions have bits, so pieces that overlap by a string's grams count from their own start.
+    step = (1 << int(_POSITION_BITS)) - GRAMS + 1
+    anchor = np.concatenate([begin + _least(h[begin : begin + step + GRAMS - 1]) for begin in range(0, len(h) - GRAMS + 1, step)])
     # A start counts if its string ends inside its row.
     row_end = np.repeat(offsets[1:], np.diff(offsets))[: len(anchor)]
     start = np.flatnonzero(np.arange(len(anchor)) + LENGTH <= row_end)
