@@ -30,13 +30,11 @@ def test_near_duplicates(spark, docs, table):
         assert got == brute.near_duplicates(docs, size)
 
 
-def test_near_duplicates_in_blocks(spark, docs, table, monkeypatch):
+@pytest.mark.parametrize("block", [2, 4096])
+def test_near_duplicates_in_blocks(spark, docs, table, monkeypatch, block):
     """Everything beyond the first pivots goes through blocks, and components through star rounds."""
-    monkeypatch.setattr(minhash, "ROUNDS", 0)
-    monkeypatch.setattr(minhash, "SMALL", 1)
-    monkeypatch.setattr(minhash, "BLOCK", 2)
-    monkeypatch.setattr(minhash, "SMALL_EDGES", 0)
-    monkeypatch.setattr(minhash, "BROADCAST_IDS", 0)
+    for name, value in {"ROUNDS": 0, "SMALL": 1, "BLOCK_ROWS": block, "SMALL_EDGES": 0, "BROADCAST_IDS": 0, "BROADCAST_KEYS": 0}.items():
+        monkeypatch.setattr(minhash, name, value)
     assert by_id(minhash.near_duplicate_digests(table), "n_shingles", "component_id", "kept") == brute.near_duplicates(docs)
 
 
@@ -54,6 +52,23 @@ def test_chain_of_near_copies(spark):
     assert [r.doc_id for r in kept.collect()] == [d for d, v in brute.near_duplicates(rows).items() if v[2]]
 
 
+@pytest.mark.parametrize("block", [7, 4096])
+def test_large_group_with_unlinked_members(spark, monkeypatch, block):
+    """Many copies of a text with more or fewer changes: one component and many documents near it that are in none."""
+    monkeypatch.setattr(minhash, "BLOCK_ROWS", block)
+    rng = np.random.default_rng(8)
+    origin, other = [f"w{i}" for i in range(150)], [f"x{i}" for i in range(40)]
+    rows = []
+    for i in range(120):
+        words = list(origin)
+        for at in rng.choice(150, int(rng.integers(0, 14)), replace=False):
+            words[at] = str(rng.choice(other)) if i % 2 else f"own{i}-{at}"
+        rows.append((i, " ".join(words)))
+    want = brute.near_duplicates(rows, 4)
+    assert 5 < sum(v[2] for v in want.values()) < 100
+    assert by_id(minhash.near_duplicate_digests(frame(spark, rows)), "n_shingles", "component_id", "kept") == want
+
+
 def test_signature_index_guarantee():
     rng = np.random.default_rng(1)
     a = rng.integers(0, 1 << 16, (1, minhash.VALUES)).astype(np.uint16)

@@ -12,11 +12,15 @@ Links: first each document of a key is compared with the key's smallest one, whi
 key and suffices for the usual group of copies. Keys whose documents are then still in several components are open.
 ROUNDS rounds compare the documents of open keys with another pivot in each key, drawn by a hash, if they are in
 other components than it: a document meets as many pivots as it has keys. Of the keys that stay open, small ones
-list their remaining pairs (at most SMALL - 1 a document); large ones are compared in blocks of BLOCK documents:
-the documents outside the key's largest component with each other and with those in it. Each pair of blocks is one
-bounded task, which skips pairs that are connected or have an earlier key in common (their signatures tell), so a
-pair is compared once, and returns the edges of a spanning forest. Every pair of a key is thus compared unless it is connected, so no link between different texts is lost, and no row count
-grows with the square of a group that is connected.
+list their remaining pairs (at most SMALL - 1 a document). Large ones first lose the documents that can have no
+link there: those of whose shingles more than a fifth stand in no other document of a large open key (their
+similarity to any of these is below `percent`; counts per shingle, combined on the map side, tell). What is then
+still open is compared as sets, a key in one bounded task, or, beyond BLOCK_ROWS documents or BLOCK_SHINGLES
+shingles, in a task for each pair of blocks: the documents outside the key's largest component with each other and
+with those in it. A task skips pairs that are connected or have an earlier key in common (their signatures tell),
+so a pair is compared once, and returns the edges of a spanning forest. Every pair of a key is thus compared unless
+it is connected or can't be linked, so no link between different texts is lost, and no row count grows with the
+square of a group that is connected.
 
 Components: union-find in one task up to SMALL_EDGES edges; beyond that, rounds of large-star and small-star over
 the distributed edges until nothing changes, checkpointed each round.
@@ -43,7 +47,10 @@ CHUNKS, PER_CHUNK = 10, 4
 VALUES = CHUNKS * PER_CHUNK
 LIMIT = 2 * CHUNKS - 1
 PERCENT = 80
-BLOCK = 512
+#: Documents and shingles of one block of a large open key; a task holds two blocks, about 100 MB.
+BLOCK_ROWS, BLOCK_SHINGLES = 4096, 1_000_000
+#: Open keys up to this number are broadcast (about 40 bytes each); more are joined by a shuffle.
+BROADCAST_KEYS = 200_000
 #: Rounds with drawn pivots, and the documents of an open key up to which its pairs are listed.
 ROUNDS, SMALL = 1, 12
 #: Edges (16 bytes each) up to which components are found in one task.
@@ -204,13 +211,15 @@ def _compare_block(percent: int):
             return c
 
         signature = np.frombuffer(b"".join(group["signature"]), "<u2").reshape(-1, VALUES)
-        sizes = group["shingles"].map(len).to_numpy()
         number, kind, crosses = int(group["key"].iloc[0]) & 63, int(group["kind"].iloc[0]), group["i"].iloc[0] != group["j"].iloc[0]
         # Pairs inside one block belong to that block's own group.
         side = (group["inside"] if kind else group["own"]).to_numpy() if kind or crosses else None
-        sets = [None] * len(group)
-        reps, components, packed = group["rep"].tolist(), group["component"].tolist(), group["shingles"].tolist()
-        component = group["component"].to_numpy()
+        reps, components, component = group["rep"].tolist(), group["component"].tolist(), group["component"].to_numpy()
+        sets = [_full(packed) for packed in group["shingles"]]
+        sizes = np.array([len(x) for x in sets])
+        edge = np.concatenate(([0], np.cumsum(sizes)))
+        distinct, ids = np.unique(np.concatenate(sets), return_inverse=True)
+        mine = np.zeros(len(distinct), np.int32)
         edges = []
         for i in range(len(reps) - 1):
             equal = signature[i + 1 :] == signature[i]
@@ -219,16 +228,19 @@ def _compare_block(percent: int):
             if side is not None:
                 near &= side[i + 1 :] != side[i]
             at = np.flatnonzero(near)
+            at = at[_first_common(equal[at]) == number] + i + 1 if len(at) else at
+            at = at[[find(components[j]) != find(components[i]) for j in at.tolist()]] if len(at) else at
             if not len(at):
                 continue
-            for j in (at[_first_common(equal[at]) == number] + i + 1).tolist():
+            # The shingles of i are marked, and the marks of each other document counted.
+            own = ids[edge[i] : edge[i + 1]]
+            mine[own] = 1
+            spread = np.repeat(edge[at] - np.concatenate(([0], np.cumsum(sizes[at])[:-1])), sizes[at]) + np.arange(int(sizes[at].sum()))
+            both = np.add.reduceat(mine[ids[spread]], np.concatenate(([0], np.cumsum(sizes[at])[:-1])))
+            mine[own] = 0
+            for j in at[100 * both >= percent * (sizes[i] + sizes[at] - both)].tolist():
                 a, b = find(components[i]), find(components[j])
-                if a == b:
-                    continue
-                for x in (i, j):
-                    if sets[x] is None:
-                        sets[x] = _full(packed[x])
-                if linked(sets[i], sets[j], percent):
+                if a != b:
                     root[b] = a
                     edges.append((reps[i], reps[j]))
         return pd.DataFrame(edges, columns=["a", "b"], dtype="int64")
@@ -236,6 +248,27 @@ def _compare_block(percent: int):
     return run
 
 
+def _spread_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(shingle, rep) of each shingle; those that a batch holds more than once come once, without rep."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 1000):
+            part = batch.slice(at, 1000)
+            sets = [_full(packed) for packed in part.column("shingles").to_pylist()]
+            all_, owner = np.concatenate(sets), np.repeat(part.column("rep").to_numpy(), [len(x) for x in sets])
+            distinct, first, counts = np.unique(all_, return_index=True, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(distinct.view(np.int64)), pa.array(owner[first], mask=counts > 1)], names=["shingle", "rep"])
+
+
+def _unlinkable(reps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those of reps(rep) that share too few shingles with all others together to be linked with one of them."""
+    own = sets.join(reps, "rep")
+    rows = own.select("rep", "shingles").mapInArrow(_spread_sets, "shingle bigint, rep bigint")
+    alone = rows.groupBy("shingle").agg(F.min("rep").alias("rep"), F.count("*").alias("n"), F.count("rep").alias("known")).where("n = 1 AND known = 1")
+    alone = alone.groupBy("rep").agg(F.count("*").alias("alone"))
+    size = F.octet_length("shingles") / HASH_BYTES
+    return own.join(alone, "rep").where(100 * (size - F.col("alone")) < percent * size).select("rep")
+
+
 def _sets_of(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
     """rep, shingles, signature of the representatives in ids(rep, text_hash)."""
     rows = docs.select(F.col("doc_id").cast("bigint").alias("rep"), F.xxhash64("text").alias("text_hash"), "text")
@@ -297,11 +330,23 @@ def _place(members: DataFrame, labels: DataFrame) -> DataFrame:
     return members.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
 
 
+def _with_keys(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """rows joined with keys(key, ...), one row a key; a broadcast spares the hot keys the shuffle."""
+    keys = settle(keys)
+    return rows.join(F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys, "key")
+
+
 def _still_open(placed: DataFrame) -> DataFrame:
-    """The rows of keys that span several components; of small keys with the same rows one stays."""
-    keys = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("rep")).alias("who"))
-    keys = keys.where("low < high").groupBy("n", "who", F.when(F.col("n") > SMALL, F.col("key")).alias("large")).agg(F.min("key").alias("key"))
-    return placed.join(keys.select("key", "n"), "key")
+    """The rows of keys that span several components, with n, the rows of the key."""
+    keys = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n"))
+    return _with_keys(placed, keys.where("low < high").select("key", "n"))
+
+
+def _small(rows: DataFrame) -> DataFrame:
+    """The rows of small open keys; of keys with the same documents one stays."""
+    few = rows.where(F.col("n") <= SMALL)
+    keys = few.groupBy("key", "n").agg(F.bit_xor(F.xxhash64("rep")).alias("who")).groupBy("n", "who").agg(F.min("key").alias("key"))
+    return few.join(keys.select("key"), "key")
 
 
 def _pairs_of(df: DataFrame, x: str, y: str) -> DataFrame:
@@ -321,18 +366,21 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def _in_blocks(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Edges between the components of large open keys; rows has key, rep, component."""
-    parts = rows.groupBy("key", "component").agg(F.count("*").alias("size"))
-    keys = parts.groupBy("key").agg(F.max(F.struct("size", "component")).alias("top"), F.sum("size").alias("n"))
-    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
-    keys = keys.select("key", F.col("top.component").alias("largest"), blocks(F.col("top.size")).alias("inner"), blocks(F.col("n") - F.col("top.size")).alias("outer"))
-    placed = rows.join(keys, "key").withColumn("inside", F.col("component") == F.col("largest"))
+    sized = rows.join(sets.select("rep", (F.octet_length("shingles") / HASH_BYTES).alias("weight")), "rep")
+    parts = sized.groupBy("key", "component").agg(F.count("*").alias("size"), F.sum("weight").alias("weight"))
+    keys = parts.groupBy("key").agg(F.max(F.struct("size", "weight", "component")).alias("top"), F.sum("size").alias("n"), F.sum("weight").alias("weight"))
+    blocks = lambda n, w: F.ceil(F.greatest(n / BLOCK_ROWS, w / BLOCK_SHINGLES)).cast("int")
+    inner, outer = blocks(F.col("top.size"), F.col("top.weight")), blocks(F.col("n") - F.col("top.size"), F.col("weight") - F.col("top.weight"))
+    keys = keys.select("key", F.col("top.component").alias("largest"), inner.alias("inner"), outer.alias("outer"), (blocks(F.col("n"), F.col("weight")) <= 1).alias("whole"))
+    placed = _with_keys(rows, keys).withColumn("inside", F.col("component") == F.col("largest"))
     own = F.pmod(F.xxhash64("rep", "key"), F.when(F.col("inside"), F.col("inner")).otherwise(F.col("outer"))).cast("int")
-    placed = placed.withColumn("own", own)
+    placed = placed.withColumn("own", F.when(F.col("whole"), 0).otherwise(own))
     cell = lambda kind, i, j: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"))
     up_to = lambda n: F.sequence(F.lit(0), n - 1)
     inner = F.transform(up_to(F.col("outer")), lambda i: cell(1, i, F.col("own")))
     outer = F.concat(F.transform(up_to(F.col("outer")), lambda j: cell(0, F.least("own", j), F.greatest("own", j))), F.transform(up_to(F.col("inner")), lambda j: cell(1, F.col("own"), j)))
-    spread = placed.select("key", "rep", "component", "inside", "own", F.explode_outer(F.when(F.col("inside"), inner).otherwise(outer)).alias("cell"))
+    cells = F.when(F.col("whole"), F.array(cell(0, F.lit(0), F.lit(0)))).when(F.col("inside"), inner).otherwise(outer)
+    spread = placed.select("key", "rep", "component", "inside", "own", F.explode_outer(cells).alias("cell"))
     return settle(spread.select("key", "rep", "component", "inside", "own", "cell.*").join(sets, "rep").groupBy("key", "kind", "i", "j").applyInPandas(_compare_block(percent), "a bigint, b bigint"))
 
 
@@ -341,23 +389,23 @@ def _more_edges(members: DataFrame, edges: DataFrame, labels: DataFrame, docs: D
     rows = settle(_still_open(_place(members, labels)))
     if rows.isEmpty():
         return None
-    sets = None
+    ids = settle(rows.select("rep").distinct().join(classes.select("rep", "text_hash"), "rep"))
+    sets = settle(_sets_of(docs, ids, size))
     for turn in range(ROUNDS + 1):
         if turn < ROUNDS:
             pivots = rows.groupBy("key").agg(F.min(F.struct(F.xxhash64("rep", "key", F.lit(turn)).alias("h"), "rep", "component")).alias("p"))
-            pairs = _pairs_of(rows.join(pivots, "key").where(F.col("component") != F.col("p.component")).select("rep", F.col("p.rep").alias("pivot")), "rep", "pivot")
+            pairs = _pairs_of(_with_keys(rows, pivots).where(F.col("component") != F.col("p.component")).select("rep", F.col("p.rep").alias("pivot")), "rep", "pivot")
         else:
-            few = rows.where(F.col("n") <= SMALL)
+            few = _small(rows)
             other = few.select("key", F.col("rep").alias("other"), F.col("component").alias("other_component"))
             pairs = _pairs_of(few.join(other, "key").where("rep < other AND component <> other_component"), "rep", "other")
-        pairs = _near_pairs(pairs, classes)
-        if sets is None:
-            ids = settle(rows.select("rep").distinct().join(classes.select("rep", "text_hash"), "rep"))
-            sets = settle(_sets_of(docs, ids, size))
-        edges = edges.unionByName(_confirmed(pairs, sets, percent))
+        edges = edges.unionByName(_confirmed(_near_pairs(pairs, classes), sets, percent))
         labels = settle(components(edges))
         rows = settle(_still_open(_place(rows.select("key", "rep"), labels)))
-    large = settle(rows.where(F.col("n") > SMALL).select("key", "rep", "component"))
+    large = rows.where(F.col("n") > SMALL).select("key", "rep", "component")
+    if not large.isEmpty():
+        alone = settle(_unlinkable(large.select("rep").distinct(), sets, percent))
+        large = settle(_still_open(large.join(alone, "rep", "left_anti")).select("key", "rep", "component"))
     if not large.isEmpty():
         labels = settle(components(edges.unionByName(_in_blocks(large, sets, percent))))
     return labels
