@@ -10,6 +10,23 @@ from pyspark.sql import types as T
 VECTORS = T.StructType([T.StructField("id", T.StringType()), T.StructField("embedding", T.ArrayType(T.FloatType()))])
 
 
+#: Bytes of a table's files between which it is dealt to all cores if it comes in fewer files than there are cores.
+DEAL_FROM, DEAL_TO = 2 << 20, 64 << 20
+
+
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    """A Parquet table.
+
+    One file of one row group is read by one task, whatever its size and the number of cores. A table of a few
+    files and at most DEAL_TO bytes is therefore dealt anew, which costs one small shuffle; larger tables come in
+    many files or row groups and are left as they lie.
+    """
+    rows = spark.read.parquet(path)
+    size = int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    cores = spark.sparkContext.defaultParallelism
+    return rows.repartition(cores) if DEAL_FROM <= size <= DEAL_TO and len(rows.inputFiles()) < cores else rows
+
+
 def read_json_array(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
     """A file that is one JSON array of objects."""
     return spark.read.schema(schema).json(path, multiLine=True)
