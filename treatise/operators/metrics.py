@@ -23,7 +23,7 @@ def _aggregates(rank: Column) -> list[Column]:
 def micro_metrics(ranks: DataFrame, rank: str = "gold_rank") -> DataFrame:
     """M1-M4, M7: one row over all queries; a null rank (outside of the beam) counts as 0."""
     r = F.col(rank)
-    return ranks.agg(F.count("*").alias("n_queries"), *_aggregates(r), upper_median(F.collect_list(r)).alias("median_rank"))
+    return ranks.agg(F.count("*").alias("n_queries"), *_aggregates(r), upper_median(rank).cast(dict(ranks.dtypes)[rank]).alias("median_rank"))
 
 
 def leaf_metrics(ranks: DataFrame, leaf: str = "gold_leaf_id", rank: str = "gold_rank") -> DataFrame:

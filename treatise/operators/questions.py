@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,43 +44,66 @@ def prompt(text: Column, count: Column) -> Column:
     return F.format_string(PROMPT, count.cast("int"), count.cast("int"), text)
 
 
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with the value computed once however often it is used."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def _unwrapped(value: Column) -> Column:
+    """A variant without the arrays that hold nothing but one array; it has no more of them than brackets at its start."""
+    depth = F.length(F.regexp_extract(F.to_json(value), r"^\[+", 0))
+
+    def step(v: Column, _: Column) -> Column:
+        inner = F.try_variant_get(v, "$[0]", "variant")
+        only = F.try_variant_get(v, "$[1]", "variant").isNull() & F.startswith(F.to_json(inner), F.lit("["))
+        return F.when(only, inner).otherwise(v)
+
+    return F.aggregate(F.slice(F.sequence(F.lit(0), depth), F.lit(2), F.greatest(depth - 1, F.lit(0))), value, step)
+
+
+def _as_text(item: Column) -> Column:
+    """A string, or the string that an object has as its question; else null."""
+    text = lambda v: F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string"))
+    return F.when(F.startswith(F.schema_of_variant(item), F.lit("OBJECT")), text(F.try_variant_get(item, "$.question", "variant"))).otherwise(text(item))
+
+
 def parse_array(raw: Column) -> Column:
     """Strings of the first '[' to the last ']', bullets deleted; null without such a span.
 
-    Whole JSON arrays of strings, of objects with a question, or nested alone in arrays are read as JSON; whatever
-    else has its decodable string literals taken in order.
+    Whole JSON arrays of strings, of objects with a question, or nested alone in arrays are read as JSON, which is
+    parsed once; whatever else has its decodable string literals taken in order.
     """
     start = F.instr(raw, "[")
     end = F.length(raw) - F.instr(F.reverse(raw), "]") + 1
     has = (start > 0) & (F.instr(F.reverse(raw), "]") > 0) & (end >= start)
-    body = F.replace(F.substring(raw, start, end - start + 1), F.lit("•"))
-    value = F.try_parse_json(body)
-    text = F.to_json(value)
-    # A single nested array is unwrapped; the parsed form has no blanks outside of strings.
-    for _ in range(3):
-        inner = F.try_variant_get(F.try_parse_json(text), "$[0]", "variant")
-        only = F.try_variant_get(F.try_parse_json(text), "$[1]", "variant").isNull() & F.startswith(F.to_json(inner), F.lit("["))
-        text = F.when(only, F.to_json(inner)).otherwise(text)
-    items = F.try_variant_get(F.try_parse_json(text), "$", "array<variant>")
-    as_text = lambda v: F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string")).when(F.startswith(F.schema_of_variant(v), F.lit("OBJECT")), F.when(F.schema_of_variant(F.try_variant_get(v, "$.question", "variant")) == "STRING", F.try_variant_get(v, "$.question", "string")))
-    parsed = F.filter(F.transform(items, as_text), lambda s: s.isNotNull())
-    literals = F.transform(F.regexp_extract_all(body, F.lit(_LITERAL), F.lit(0)), lambda s: F.try_variant_get(F.try_parse_json(s), "$", "string"))
-    return F.when(has, F.when(value.isNotNull(), parsed).otherwise(literals))
+    literal = lambda s: F.try_variant_get(F.try_parse_json(s), "$", "string")
+
+    def read(body: Column) -> Column:
+        literals = F.transform(F.regexp_extract_all(body, F.lit(_LITERAL), F.lit(0)), literal)
+        parsed = lambda v: F.filter(F.transform(F.try_variant_get(_unwrapped(v), "$", "array<variant>"), _as_text), lambda s: s.isNotNull())
+        return _let(F.try_parse_json(body), lambda v: F.when(v.isNotNull(), parsed(v)).otherwise(literals))
+
+    return F.when(has, _let(F.replace(F.substring(raw, start, end - start + 1), F.lit("•")), read))
+
+
+def first_of_each(texts: Column, key: Callable[[Column], Column]) -> Column:
+    """An array without the strings whose key an earlier one has, by two sorts."""
+    keyed = F.array_sort(F.transform(texts, lambda t, i: F.struct(key(t).alias("key"), i.alias("at"), t.alias("text"))))
+    new = lambda s: F.filter(s, lambda x, j: (j == 0) | (F.get(s, j - 1)["key"] != x["key"]))
+    first = _let(keyed, new)
+    return F.transform(F.array_sort(F.transform(first, lambda x: F.struct(x["at"].alias("at"), x["text"].alias("text")))), lambda x: x["text"])
 
 
 def clean_questions(outputs: DataFrame) -> DataFrame:
     """(unit_id, questions, error) from (unit_id, expected_count, raw_output).
 
-    Blanks are normalised; questions end in '?', differ after case folding and are at most expected_count.
+    Blanks are normalised; questions end in '?', differ after case folding and are at most expected_count. All of
+    it happens inside a unit's row.
     """
-    rows = outputs.select("unit_id", "expected_count", parse_array(F.col("raw_output")).alias("found"))
-    each = rows.select("unit_id", "expected_count", F.posexplode("found").alias("at", "question")).withColumn("question", normalize(F.col("question"))).where(F.endswith("question", F.lit("?")))
-    first = F.row_number().over(Window.partitionBy("unit_id", casefold(F.col("question"))).orderBy("at"))
-    each = each.withColumn("nth", first).where("nth = 1").withColumn("rank", F.row_number().over(Window.partitionBy("unit_id").orderBy("at"))).where("rank <= expected_count")
-    lists = each.groupBy("unit_id").agg(F.array_sort(F.collect_list(F.struct("rank", "question"))).alias("q")).select("unit_id", F.transform("q", lambda x: x["question"]).alias("questions"))
-    out = rows.join(lists, "unit_id", "left")
-    error = F.when(F.col("found").isNull(), "no array").when(F.coalesce(F.size("questions"), F.lit(0)) < LEAST_VALID, "too few valid questions")
-    return out.select("unit_id", F.when(error.isNull(), F.col("questions")).alias("questions"), error.alias("error"))
+    tidy = F.filter(F.transform(parse_array(F.col("raw_output")), normalize), lambda q: F.endswith(q, F.lit("?")))
+    rows = outputs.select("unit_id", F.slice(first_of_each(tidy, casefold), F.lit(1), F.col("expected_count")).alias("questions"))
+    error = F.when(F.col("questions").isNull(), "no array").when(F.size("questions") < LEAST_VALID, "too few valid questions")
+    return rows.select("unit_id", error.alias("error"), "questions").select("unit_id", F.when(F.col("error").isNull(), F.col("questions")).alias("questions"), "error")
 
 
 def route(cleaned: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -5,15 +5,20 @@ Scores are rounded to 9 digits before they are ranked: sums arrive in any order,
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import content_hash, tokens
+from ..functions.settled import settle
+from ..functions.text import content_hash, tokens, with_term_counts, with_tokens
 
 # The constants of Okapi BM25, and the share of the mean weight that replaces negative ones.
 K1, B, EPSILON = 1.5, 0.75, 0.25
 DIGITS = 9
 TOP = 5
+#: Rows of queries, their terms or golds up to this number are broadcast (about 60 bytes each, or a query's text).
+BROADCAST_ROWS = 200_000
 
 
 def postings(docs: DataFrame) -> DataFrame:
@@ -23,29 +28,78 @@ def postings(docs: DataFrame) -> DataFrame:
     return terms.groupBy("leaf_id", "dl", "term").agg(F.count("*").alias("tf"))
 
 
-def term_weights(posted: DataFrame, docs: DataFrame) -> DataFrame:
-    """Q2: (term, idf, avgdl, n)."""
-    sizes = docs.agg(F.count("*").alias("n"), F.avg(F.size(tokens(F.col("text")))).alias("avgdl"))
-    df = posted.groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(sizes))
-    raw = df.withColumn("raw", F.ln(F.col("n") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5))
-    mean = raw.agg(F.avg("raw").alias("mean"))
-    return raw.join(F.broadcast(mean)).select("term", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"), "avgdl", "n")
+def _bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A settled table, broadcast if its rows are that few."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
+def _raw_weight(n: int) -> Column:
+    return F.ln(n - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)
+
+
+@dataclass(frozen=True)
+class Index:
+    """Q2: a corpus as BM25 sees it: (leaf_id, terms, tfs, dl) of its documents, (term, df) of its vocabulary, and their means."""
+
+    docs: DataFrame
+    counted: DataFrame
+    vocabulary: DataFrame
+    n: int
+    avgdl: float
+    mean: float
+
+    def weights(self) -> DataFrame:
+        """(term, idf)"""
+        raw = _raw_weight(self.n)
+        return self.vocabulary.select("term", F.when(raw < 0, EPSILON * self.mean).otherwise(raw).alias("idf"))
+
+
+def index(docs: DataFrame) -> Index:
+    """Q2: docs(leaf_id, text) tokenised once; what is shuffled is a count per term and task."""
+    counted = settle(with_term_counts(docs.select("leaf_id", "text"), "text"))
+    n, total = counted.agg(F.count("*"), F.sum("dl")).first()
+    vocabulary = settle(counted.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df")))
+    mean = vocabulary.agg(F.coalesce(F.avg(_raw_weight(n)), F.lit(0.0))).first()[0]
+    return Index(docs, counted, vocabulary, n, total / n if n else 0.0, mean)
 
 
-def bm25_scores(docs: DataFrame, queries: DataFrame) -> DataFrame:
+def bm25_scores(corpus: DataFrame | Index, queries: DataFrame) -> DataFrame:
     """Q3: (query_id, leaf_id, score) of the pairs that share a term; query terms count as often as they occur.
 
-    The queries' terms filter the corpus before anything is shuffled when they fit a broadcast, which Spark's size
-    check decides.
+    A document's terms meet the queries' weights where the document is, so a pair's sum is complete before it is
+    shuffled.
     """
-    asked = queries.select("query_id", F.explode(tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    posted = postings(docs)
-    weighted = term_weights(posted, docs)
-    hits = posted.join(weighted.join(asked.select("term").distinct(), "term", "left_semi"), "term").join(asked, "term")
+    known = corpus if isinstance(corpus, Index) else index(corpus)
+    asked = with_term_counts(queries.select("query_id", "query"), "query").select("query_id", F.explode(F.arrays_zip("terms", "tfs")).alias("e"))
+    asked = asked.groupBy("query_id", "e.terms").agg(F.sum("e.tfs").alias("times")).withColumnRenamed("terms", "term")
+    weighted = settle(asked.join(known.weights(), "term").select("query_id", "term", (F.col("times") * F.col("idf")).alias("weight")))
+    posted = known.counted.select("leaf_id", "dl", F.explode(F.arrays_zip("terms", "tfs")).alias("e")).select("leaf_id", "dl", F.col("e.terms").alias("term"), F.col("e.tfs").alias("tf"))
     tf = F.col("tf")
-    part = F.col("times") * F.col("idf") * (tf * (K1 + 1)) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    part = (tf * (K1 + 1)) / (tf + K1 * (1 - B + B * F.col("dl") / known.avgdl))
+    hits = posted.join(_bounded(weighted), "term").select("query_id", "leaf_id", (F.col("weight") * part).alias("part"))
     # A sum of 0 ranks like no shared term at all.
-    return hits.groupBy("query_id", "leaf_id").agg(F.round(F.sum(part), DIGITS).alias("score")).where("score <> 0")
+    return hits.groupBy("query_id", "leaf_id").agg(F.round(F.sum("part"), DIGITS).alias("score")).where("score <> 0")
+
+
+def verbatim_golds(corpus: Index, queries: DataFrame) -> DataFrame:
+    """(query_id, gold_leaf_id): the smallest document that holds a query's text as it stands.
+
+    All of a query's tokens but the first and the last are whole tokens of such a document, so it is looked up by
+    the rarest of these, and only the documents found are searched. Queries of one or two tokens may begin and end
+    inside words and are searched for in all documents.
+    """
+    rows = settle(with_tokens(queries.select("query_id", "query", F.col("query").alias("_text")), "_text"))
+    inner = rows.where("size(t) > 2").select("query_id", F.explode(F.slice("t", F.lit(2), F.size("t") - 2)).alias("term"))
+    known = inner.join(corpus.vocabulary, "term", "left")
+    rarest = known.groupBy("query_id").agg(F.min(F.struct("df", "term")).alias("rarest"), F.count_if(F.col("df").isNull()).alias("absent"))
+    rarest = settle(rarest.where("absent = 0").select("query_id", "rarest.term"))
+    held = corpus.counted.select("leaf_id", F.explode("terms").alias("term"))
+    pairs = settle(held.join(_bounded(rarest), "term").select("query_id", "leaf_id").join(queries, "query_id"))
+    found = corpus.docs.join(_bounded(pairs), "leaf_id").where(F.contains("text", F.col("query"))).select("query_id", "leaf_id")
+    short = rows.where("size(t) <= 2").select("query_id", "query")
+    if not short.isEmpty():
+        found = found.unionByName(corpus.docs.join(_bounded(short), F.contains("text", F.col("query"))).select("query_id", "leaf_id"))
+    return found.groupBy("query_id").agg(F.min("leaf_id").alias("gold_leaf_id"))
 
 
 def rank_all(scores: DataFrame, queries: DataFrame, docs: DataFrame) -> DataFrame:
@@ -62,45 +116,66 @@ def rank_all(scores: DataFrame, queries: DataFrame, docs: DataFrame) -> DataFram
 def top_k(scores: DataFrame, queries: DataFrame, docs: DataFrame, k: int = TOP) -> DataFrame:
     """Q6: the first k of rank_all() without the cross product.
 
-    The k best of the scored pairs and, for queries with fewer than k positive scores, the smallest ids among the
-    candidates without a score: they are among the first k + n ids if n candidates have one.
+    The k best of the scored pairs and, for queries with fewer than k positive scores, the first candidates
+    without a score. `scores` is read twice, so it should be settled.
     """
     best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "leaf_id"))
     scored = scores.withColumn("r", best).where(F.col("r") <= k).drop("r")
-    counts = scores.groupBy("query_id").agg(F.count_if(F.col("score") > 0).alias("positive"), F.count("*").alias("n"))
-    short = queries.select("query_id").join(counts, "query_id", "left").where(F.coalesce("positive", F.lit(0)) < k)
-    most = short.agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
-    first = docs.select("leaf_id").orderBy("leaf_id").limit(k + most)
-    fill = short.select("query_id").crossJoin(first).join(scores, ["query_id", "leaf_id"], "left_anti").withColumn("score", F.lit(0.0))
-    both = scored.unionByName(fill.select("query_id", "leaf_id", "score"))
+    enough = scores.where("score > 0").groupBy("query_id").agg(F.count("*").alias("positive")).where(F.col("positive") >= k)
+    short = settle(queries.select("query_id").join(enough, "query_id", "left_anti"))
+    if short.isEmpty():
+        return scored.withColumn("rank", best)
+    both = scored.unionByName(_first_unscored(scores.join(_bounded(short), "query_id", "left_semi"), short, docs, k).withColumn("score", F.lit(0.0)))
     return both.withColumn("rank", best).where(F.col("rank") <= k)
 
 
+def _first_unscored(scores: DataFrame, queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """(query_id, leaf_id): for each query the k smallest ids without a score, from the gaps between those with one."""
+    ids = settle(numbered_ids(docs))
+    n = ids.count()
+    ends = queries.select("query_id", F.lit(n).cast("bigint").alias("nth"))
+    taken = scores.join(ids, "leaf_id").select("query_id", "nth").unionByName(ends)
+    order = Window.partitionBy("query_id").orderBy("nth")
+    gap = taken.select("query_id", "nth", F.coalesce(F.lag("nth").over(order), F.lit(-1)).alias("before"), (F.row_number().over(order) - 1).alias("r"))
+    # So many free ids stand before the gap.
+    gap = gap.withColumn("free", F.col("before") + 1 - F.col("r")).where((F.col("nth") - F.col("before") > 1) & (F.col("free") < k))
+    gap = gap.select("query_id", F.explode(F.sequence(F.col("before") + 1, F.least(F.col("nth") - 1, F.col("before") + k - F.col("free")))).alias("nth"))
+    return ids.join(_bounded(settle(gap)), "nth").select("query_id", "leaf_id")
+
+
 def gold_ranks(scores: DataFrame, golds: DataFrame, docs: DataFrame) -> DataFrame:
     """Q5: (query_id, gold_leaf_id, gold_rank), the gold's place in rank_all() without the cross product.
 
-    Candidates without a score stand between the positive and the negative scores, by id. How many ids are smaller
-    than a gold's comes from one sorted count over the candidates, in ranges.
+    Candidates without a score stand between the positive and the negative scores, by id; only golds among these
+    need the number of smaller ids. `scores` is read twice, so it should be settled.
     """
-    gold = golds.join(scores.withColumnRenamed("leaf_id", "gold_leaf_id").withColumnRenamed("score", "gold_score"), ["query_id", "gold_leaf_id"], "left")
+    golds = settle(golds.select("query_id", "gold_leaf_id"))
+    mine = scores.join(_bounded(golds).withColumnRenamed("gold_leaf_id", "leaf_id"), ["query_id", "leaf_id"]).select("query_id", F.col("leaf_id").alias("gold_leaf_id"), F.col("score").alias("gold_score"))
+    gold = settle(golds.join(mine, ["query_id", "gold_leaf_id"], "left"))
     before = (F.col("score") > F.col("gold_score")) | ((F.col("score") == F.col("gold_score")) & (F.col("leaf_id") < F.col("gold_leaf_id")))
-    counts = gold.join(scores, "query_id", "left").groupBy("query_id", "gold_leaf_id", "gold_score").agg(
+    counts = scores.join(_bounded(gold), "query_id").groupBy("query_id", "gold_leaf_id").agg(
         F.count_if(before).alias("ahead"), F.count("score").alias("scored"), F.count_if(F.col("score") > 0).alias("positive"), F.count_if(F.col("leaf_id") < F.col("gold_leaf_id")).alias("scored_smaller")
     )
-    placed = smaller_ids(docs, golds.select("gold_leaf_id").distinct())
-    out = counts.join(placed, "gold_leaf_id").join(F.broadcast(docs.agg(F.count("*").alias("n"))))
-    unscored = F.col("positive") + F.col("smaller") - F.col("scored_smaller") + 1
-    behind = F.when(F.col("gold_score") < 0, F.col("n") - F.col("scored")).otherwise(0)
-    return out.select("query_id", "gold_leaf_id", F.when(F.col("gold_score").isNotNull(), F.col("ahead") + 1 + behind).otherwise(unscored).cast("int").alias("gold_rank"))
-
-
-def smaller_ids(docs: DataFrame, golds: DataFrame) -> DataFrame:
-    """(gold_leaf_id, smaller): the number of candidates with a smaller id; ids are sorted in ranges, not in one task."""
-    ids = docs.select("leaf_id").repartitionByRange("leaf_id").withColumn("part", F.spark_partition_id())
+    out = gold.join(counts, ["query_id", "gold_leaf_id"], "left").fillna(0, ["ahead", "scored", "positive", "scored_smaller"])
+    n = docs.count()
+    behind = F.when(F.col("gold_score") < 0, n - F.col("scored")).otherwise(0)
+    ranked = out.where("gold_score IS NOT NULL").select("query_id", "gold_leaf_id", (F.col("ahead") + 1 + behind).cast("int").alias("gold_rank"))
+    bare = out.where("gold_score IS NULL")
+    if gold.where("gold_score IS NULL").isEmpty():
+        return ranked
+    ids = settle(numbered_ids(docs)).withColumnRenamed("leaf_id", "gold_leaf_id")
+    unscored = F.col("positive") + F.col("nth") - F.col("scored_smaller") + 1
+    return ranked.unionByName(bare.join(ids, "gold_leaf_id").select("query_id", "gold_leaf_id", unscored.cast("int").alias("gold_rank")))
+
+
+def numbered_ids(docs: DataFrame) -> DataFrame:
+    """(leaf_id, nth): each candidate's number, from 0, in the order of ids; they are sorted in ranges, not in one task."""
+    # Settled first: both uses must see the same ranges under the same numbers.
+    ids = settle(docs.select("leaf_id").repartitionByRange("leaf_id")).withColumn("part", F.spark_partition_id())
     starts = ids.groupBy("part").agg(F.min("leaf_id").alias("low"), F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("low").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    ranked = ids.withColumn("nth", F.row_number().over(Window.partitionBy("part").orderBy("leaf_id")) - 1)
-    wanted = ranked.join(golds, ranked["leaf_id"] == golds["gold_leaf_id"], "left_semi")
-    return wanted.join(F.broadcast(starts.select("part", "before")), "part").select(F.col("leaf_id").alias("gold_leaf_id"), (F.col("before") + F.col("nth")).alias("smaller"))
+    ranked = ids.withColumn("at", F.row_number().over(Window.partitionBy("part").orderBy("leaf_id")) - 1)
+    # One row a partition, whatever the corpus holds.
+    return ranked.join(F.broadcast(starts.select("part", "before")), "part").select("leaf_id", (F.col("before") + F.col("at")).alias("nth"))
 
 
 def l2_normalize(vector: Column) -> Column:

@@ -87,7 +87,7 @@ size AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM tok),
 raw AS (SELECT term, ln(n - df + 0.5) - ln(df + 0.5) AS raw FROM (SELECT term, count(*) AS df FROM posted GROUP BY term) x, size),
 weights AS (SELECT term, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM raw) ELSE raw END AS idf FROM raw),
 golds AS (SELECT item_id AS query_id, min(doc_id) AS gold_leaf_id FROM documents JOIN benchmark b ON contains(documents.text, b.text) GROUP BY 1),
-asked AS (SELECT item_id AS query_id, unnest({_TOKENS.format('text')}) AS term FROM benchmark WHERE item_id IN (SELECT query_id FROM golds)),
+asked AS (SELECT item_id AS query_id, unnest({_TOKENS.format('text')}) AS term FROM benchmark),
 times AS (SELECT query_id, term, count(*) AS times FROM asked GROUP BY ALL),
 scored AS (SELECT query_id, leaf_id, round(sum(times * idf * (tf * 2.5) / (tf + 1.5 * (1 - 0.75 + 0.75 * dl / avgdl))), 9) AS score FROM times JOIN posted USING (term) JOIN weights USING (term), size GROUP BY ALL),
 ranked AS (SELECT g.query_id, d.doc_id AS leaf_id, d.lang, coalesce(score, 0) AS score, row_number() OVER (PARTITION BY g.query_id ORDER BY coalesce(score, 0) DESC, d.doc_id) AS rank
@@ -151,7 +151,7 @@ j AS (SELECT *, coalesce(before IS NOT NULL AND length(text) <= 40 AND NOT {_BUL
         "g6_first_pending": f"{lines} SELECT doc_id || '-' || nr AS id, CAST(length(line) AS INT) AS character_count FROM lines ORDER BY 1 LIMIT 10",
         "g7_planned_totals": f"{lines} SELECT count(*) AS n_units, CAST(sum({_REQUESTED}) AS BIGINT) AS n_questions FROM lines",
         "g8_batches": f"{lines} SELECT doc_id || '-' || nr AS id, CAST((row_number() OVER (PARTITION BY doc_id ORDER BY nr) - 1) // 4 AS BIGINT) AS batch FROM lines",
-        "g10_fenced": f"""{lines} SELECT doc_id, nr AS line_no, replace(replace(substr(line, 1, 30), '"', ''), chr(92), '') || '?' || CASE WHEN nr % 3 = 0 THEN '|' || replace(replace(substr(line, 1, 30), '"', ''), chr(92), '') || '!' ELSE '' END AS questions FROM lines""",
+        "g10_fenced": f"""{lines} SELECT doc_id, nr AS line_no, replace(replace(line, '"', ''), chr(92), '') || '?' || CASE WHEN nr % 3 = 0 THEN '|' || replace(replace(line, '"', ''), chr(92), '') || '!' ELSE '' END AS questions FROM lines""",
         "d2_targets": f"""WITH {_UNITS}, totals AS (SELECT leaf_id, sum(n_questions) AS total FROM units GROUP BY 1),
 x AS (SELECT leaf_id, total, i, split, total * w // 3190 AS base, total * w % 3190 AS rest FROM totals, (VALUES (0, 'train', 1056), (1, 'dev', 388), (2, 'test', 1746)) AS s(i, split, w))
 SELECT leaf_id, split, CAST(base + CAST(row_number() OVER (PARTITION BY leaf_id ORDER BY rest DESC, i) <= total - sum(base) OVER (PARTITION BY leaf_id) AS INT) AS BIGINT) AS target FROM x""",
@@ -180,7 +180,9 @@ s AS (SELECT *, epoch - max(CASE WHEN improved THEN epoch END) OVER (PARTITION B
 SELECT run, epoch, improved, best, CAST(since AS INT) AS since, since >= 2 AS stop FROM s""",
         "q1_tokens": f"SELECT doc_id, CAST(len({_TOKENS.format('text')}) AS INT) AS n_tokens, sha256(array_to_string({_TOKENS.format('text')}, ' ')) AS tokens_sha256 FROM documents",
         "q2_postings": f"WITH {_BM25} SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM posted GROUP BY term",
-        "q4_top_k": f"WITH {_BM25} SELECT query_id, leaf_id, round(score, 6) AS score, CAST(rank AS INT) AS rank FROM ranked WHERE rank <= 5",
+        "q4_top_k": f"""WITH {_BM25}, every AS (SELECT item_id AS query_id, d.doc_id AS leaf_id, coalesce(score, 0) AS score, row_number() OVER (PARTITION BY item_id ORDER BY coalesce(score, 0) DESC, d.doc_id) AS rank
+  FROM benchmark b CROSS JOIN documents d LEFT JOIN scored s ON s.query_id = b.item_id AND s.leaf_id = d.doc_id)
+SELECT query_id, leaf_id, round(score, 6) AS score, CAST(rank AS INT) AS rank FROM every WHERE rank <= 5""",
         "q5_gold_ranks": f"WITH {_BM25} SELECT query_id, gold_leaf_id, gold_rank FROM ranks",
         "q10_dense": """WITH e AS (SELECT label, i, avg(CAST(embedding[i] AS DOUBLE)) AS x FROM embeddings, unnest(range(1, len(embedding) + 1)) AS u(i) GROUP BY ALL),
 c AS (SELECT label, list(x ORDER BY i) AS v FROM e GROUP BY label), m AS (SELECT label, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS v FROM c),
@@ -215,7 +217,7 @@ UNION ALL SELECT id, 'duplicate' FROM o GROUP BY id HAVING count(*) > 1 UNION AL
         "v3_consistency": "SELECT doc_id AS id, CASE WHEN doc_id % 50 = 0 THEN 'character_count' ELSE 'page range' END AS problem FROM documents WHERE doc_id % 50 = 0 OR doc_id % 5 > doc_id % 7",
         "v4_numbering": f"{lines} SELECT * FROM (SELECT doc_id || '-' || nr AS id, doc_id AS leaf_id, CAST(nr + 1 AS INT) AS number, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY nr) AS INT) AS expected FROM lines WHERE nr % 9 <> 4) x WHERE number <> expected",
         "v5_patterns": f"{lines} SELECT doc_id || '-' || nr AS id, problem FROM lines, (VALUES ('licence', '(?i)licen[cs]ed under'), ('mail', '@'), ('capitals', '[A-Z]{{6}}')) AS p(problem, pattern) WHERE regexp_matches(line, pattern)",
-        "v6_questions": f"""{lines}, q AS (SELECT doc_id AS unit_id, substr(line, 1, 12) || CASE WHEN nr % 6 = 5 THEN '.' ELSE '?' END AS question FROM lines), k AS (SELECT *, {_KEY.format('question')} AS key FROM q)
+        "v6_questions": f"""{lines}, q AS (SELECT doc_id AS unit_id, line || CASE WHEN nr % 6 = 5 THEN '.' ELSE '?' END AS question FROM lines), k AS (SELECT *, {_KEY.format('question')} AS key FROM q)
 SELECT unit_id, key, 'ill-formed' AS problem FROM k WHERE NOT ends_with(question, '?') OR question <> trim(question)
 UNION ALL SELECT unit_id, key, 'repeated in unit' FROM k GROUP BY ALL HAVING count(*) > 1
 UNION ALL SELECT min(unit_id), key, 'repeated across units' FROM k GROUP BY key HAVING count(DISTINCT unit_id) > 1""",

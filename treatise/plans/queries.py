@@ -13,12 +13,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.settled import settle
 from ..operators import checks, cleaning, metrics, outline, questions, ranking, retriever, sections, split
+from ..sources.io import read_table
 from ..streaming import resume  # noqa: F401  (part of the library's surface)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return read_table(spark, f"{sf_dir}/{name}.parquet")
 
 
 # --- hosts -----------------------------------------------------------------------------------------------------
@@ -53,8 +55,8 @@ NOISE = {
     2: "'An interactive H5P element has been excluded from this version of the text. See it.'",
     3: "'12-18 months'",
     4: "'• ' || line",
-    5: "substr(line, 1, 20)",
-    6: "'◦ ' || substr(line, 1, 30)",
+    5: "'and so on, at length'",
+    6: "'◦ ' || line",
     7: "CASE WHEN position > 6 THEN 'Media Attributions' ELSE line END",
     8: "'(Smith, 2001).'",
 }
@@ -79,18 +81,19 @@ def _blocks(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("doc_id", "page", "block_no", x0.alias("x0"), y0.alias("y0"), x1.alias("x1"), (y0 + F.when(F.col("at") % 7 == 0, 10.0).otherwise(22.0)).alias("y1"), "text", F.lit(612.0).alias("page_width"), F.lit(792.0).alias("page_height"), "heading")
 
 
-def _corpus(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Candidates (leaf_id, text), queries (query_id, query) and golds: items that a document holds as they are."""
+def _corpus(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Candidates (leaf_id, text) and queries (query_id, query)."""
     docs = _table(spark, d, "documents").select(F.col("doc_id").alias("leaf_id"), F.coalesce("text", F.lit("")).alias("text"))
-    items = _table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    # An item is looked up by its first words before the texts are compared; the lookup drops no item with a gold.
-    golds = docs.join(F.broadcast(items) if items.count() <= 10_000 else items, F.contains("text", F.col("query"))).groupBy("query_id").agg(F.min("leaf_id").alias("gold_leaf_id"))
-    return docs, items.join(golds.select("query_id"), "query_id", "left_semi"), golds
+    return docs, _table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
 def _ranks(spark: SparkSession, d: str) -> DataFrame:
-    docs, items, golds = _corpus(spark, d)
-    ranks = ranking.gold_ranks(ranking.bm25_scores(docs, items), golds, docs)
+    """Gold ranks of the items that a document holds as they are, which is their gold."""
+    docs, items = _corpus(spark, d)
+    corpus = ranking.index(docs)
+    golds = settle(ranking.verbatim_golds(corpus, items))
+    scores = settle(ranking.bm25_scores(corpus, items.join(golds, "query_id", "left_semi")))
+    ranks = ranking.gold_ranks(scores, golds, docs)
     return ranks.join(_table(spark, d, "documents").select(F.col("doc_id").alias("gold_leaf_id"), "lang"), "gold_leaf_id")
 
 
@@ -269,7 +272,7 @@ def g8_batches(spark, d):
 
 
 def g10_fenced(spark, d):
-    line = F.translate(F.substring("line", 1, 30), '"\\', "")
+    line = F.translate("line", '"\\', "")
     raw = F.concat(F.lit('```json\n{"questions": ["'), line, F.lit('?"'), F.when(F.col("at") % 3 == 0, F.concat(F.lit(', "'), line, F.lit('!"'))).otherwise(""), F.lit("]}\n```"))
     return _lines(spark, d).select("doc_id", F.col("at").alias("line_no"), F.array_join(questions.parse_fenced(raw), "|").alias("questions"))
 
@@ -387,14 +390,13 @@ def q1_tokens(spark, d):
 
 
 def q2_postings(spark, d):
-    docs, _, _ = _corpus(spark, d)
-    posted = ranking.postings(docs)
+    posted = ranking.postings(_corpus(spark, d)[0])
     return posted.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
 
 def q4_top_k(spark, d):
-    docs, items, _ = _corpus(spark, d)
-    return ranking.top_k(ranking.bm25_scores(docs, items), items, docs).select("query_id", "leaf_id", F.round("score", 6).alias("score"), F.col("rank").cast("int").alias("rank"))
+    docs, items = _corpus(spark, d)
+    return ranking.top_k(settle(ranking.bm25_scores(docs, items)), items, docs).select("query_id", "leaf_id", F.round("score", 6).alias("score"), F.col("rank").cast("int").alias("rank"))
 
 
 def q5_gold_ranks(spark, d):
@@ -423,8 +425,7 @@ def q12_pairwise(spark, d):
 
 
 def q14_fingerprint(spark, d):
-    docs, _, _ = _corpus(spark, d)
-    return ranking.corpus_fingerprint(docs)
+    return ranking.corpus_fingerprint(_corpus(spark, d)[0])
 
 
 def _rounded(df, *keep):
@@ -533,7 +534,7 @@ def v5_patterns(spark, d):
 
 
 def v6_questions(spark, d):
-    q = F.concat(F.substring("line", 1, 12), F.when(F.col("at") % 6 == 5, ".").otherwise("?"))
+    q = F.concat("line", F.when(F.col("at") % 6 == 5, ".").otherwise("?"))
     rows = _lines(spark, d).groupBy(F.col("doc_id").alias("unit_id")).agg(F.collect_list(q).alias("questions"))
     return checks.question_violations(rows)
 
