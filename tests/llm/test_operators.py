@@ -148,6 +148,11 @@ def test_line_dedup(spark, docs, table):
         assert brute.sha(r.text or "") == want[r.doc_id][2] and (r.text is None or r.n_chars == len(r.text))
 
 
+def test_line_dedup_by_shuffle(spark, docs, table, monkeypatch):
+    monkeypatch.setattr(line_dedup, "BROADCAST_BITMAPS", 0)
+    assert by_id(line_dedup.dedup_digests(table), "n_lines", "n_dropped", "kept_sha256") == brute.line_dedup(docs)
+
+
 def test_bitmaps():
     for dropped in ([0], [7], [8], [3, 4, 90], list(range(16))):
         keep = line_dedup.unpack(line_dedup.pack(dropped), 100)
@@ -159,6 +164,29 @@ def test_repeats(spark, docs, table):
     assert got == brute.repeats(docs)
 
 
+@pytest.mark.parametrize("entries, run_bytes", [(1, 400), (8192, 4 << 20)])
+def test_repeats_in_every_surrounding(spark, monkeypatch, entries, run_bytes):
+    """Passages cut at all places, few letters, whole copies, rows that repeat; with tiny and with large runs."""
+    monkeypatch.setattr(suffix, "COMPARE_ENTRIES", entries)
+    monkeypatch.setattr(suffix, "RUN_BYTES", run_bytes)
+    rng = np.random.default_rng(9)
+    letters = lambda n, k: "".join(rng.choice(list("ab\u00e9zyxwv\n ")[:k], n))
+    passage = letters(400, 10)
+    texts = [letters(30, 10) + passage[i * 7 : i * 7 + 90 + 5 * i] + letters(int(rng.integers(0, 80)), 10) for i in range(40)]
+    texts += [letters(500, 2), letters(500, 1) + "b" + letters(500, 1), texts[3], texts[3] + texts[5], passage, "a" * 99, "a" * 100]
+    rows = list(enumerate(texts))
+    want = brute.repeats(rows)
+    got = by_id(suffix.repeat_digests(frame(spark, [*rows[::-1], rows[7]])), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    assert got == want and sum(v[1] for v in want.values()) > 3000
+
+
+def test_keys_for_partitions(spark):
+    for n in (7, 40, 211):
+        keys = [suffix.even_key(i, n) for i in range(3 * n)]
+        df = spark.createDataFrame([(i, k) for i, k in enumerate(keys)], "i int, k bigint").repartition(n, "k").withColumn("p", F.spark_partition_id())
+        assert len(set(keys)) == len(keys) and all(r.p == r.i % n for r in df.collect())
+
+
 def test_anchors_of_a_text_longer_than_positions_have_bits(monkeypatch):
     """Each string's anchor is inside it, and equal strings have anchors at equal places."""
     monkeypatch.setattr(suffix, "_POSITION_BITS", np.uint64(10))
@@ -198,6 +226,19 @@ def test_decontamination(spark, docs, table):
     assert none.count() == len(docs) and none.where("contaminated").count() == 0
 
 
+def test_decontamination_without_broadcasts(spark, docs, table, monkeypatch):
+    """As many shingles as need a shuffle: the same rows, for rows that repeat and null ids too."""
+    bench = spark.createDataFrame([("a", " ".join(docs[20][1].split()[2:30])), ("b", "Two words"), ("h", "the " * 30), ("x", "x" * 5000)], "item_id string, text string")
+    columns = "n_words", "n_hit", "n_items", "items_sha256", "contaminated"
+    want = {d: tuple(r[c] for c in columns) for d, r in ((r.doc_id, r) for r in decontamination.contamination_digests(table, bench).collect())}
+    odd = sorted(map(repr, decontamination.contamination_digests(_odd(spark, docs), bench).collect()))
+    monkeypatch.setattr(decontamination, "BROADCAST_SHINGLES", 0)
+    monkeypatch.setattr(decontamination, "BROADCAST_KEYS", 0)
+    assert by_id(decontamination.contamination_digests(table, bench), *columns) == want and any(v[4] for v in want.values())
+    assert sorted(map(repr, decontamination.contamination_digests(_odd(spark, docs), bench).collect())) == odd
+    assert {r.doc_id for r in decontamination.drop_contaminated(table, bench).collect()} == {d for d, v in want.items() if not v[4]}
+
+
 def test_media_round_trip(spark, docs, table):
     got = by_id(media.media_digests(table), "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "feature")
     for d, t in docs:
@@ -260,7 +301,9 @@ def test_sharding(spark, docs, table):
     rows = sharding.shard_rows(table, 7, bucket_rows=4).collect()
     slots = {}
     for r in rows:
-        slots.setdefault(r[len(table.columns)], []).append(r.slot)
+        slots.setdefault(r.shard_, []).append(r.slot)
+    # The table has a column shard already, which stays.
+    assert rows[0].__fields__ == [*table.columns, "shard_", "slot"] and {r.shard for r in rows} == {"s"}
     assert sum(map(len, slots.values())) == len(docs) and max(map(len, slots.values())) - min(map(len, slots.values())) <= 1
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
     got = by_id(sharding.shard_digests(table), "size", "text_crc32", "law", "grown_shard")

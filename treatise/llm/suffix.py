@@ -10,15 +10,20 @@ bytes). The passes:
    "more than once", to the partition of the hash, and gets back one bit for each: does it stand anywhere else?
    Most anchors of a corpus are unique and end here.
 2. For the others a task makes runs: the suffix from the anchor on, sorted and front-coded (length of the prefix
-   shared with the suffix before, then the rest), with the bytes before the anchor. Equal strings of a run are one
+   shared with the suffix before, then the rest), with the bytes before the anchor. Equal spans of a run are one
    entry, the earliest; the later ones are already known to be repeats.
-3. A partition merges its runs with a loser tree. A contender keeps the length of the prefix it shares with the
-   last output; the longer one wins without a comparison, and equal ones are compared beyond that length only. The
-   merged order with its shared lengths gives the groups of equal anchors. Inside a group the LENGTH-byte strings
-   around the anchors are compared by two independent 64-bit hashes, and all but the earliest are repeats.
+3. A partition merges the runs of each of its keys with a loser tree. A contender keeps the length of the prefix it
+   shares with the last output; the longer one wins without a comparison, and equal ones are compared beyond that
+   length only. A LENGTH-byte string that begins l bytes before its anchor stands at two entries if these share
+   LENGTH - l bytes from the anchor on and l bytes before it. The first follows from the shared lengths of the
+   merged order: neighbours below LENGTH - l end a class. The second follows in the same way from the order of the
+   reversed bytes before the anchors. Of the entries in one class of both, all but the earliest repeat the string.
 4. The repeated strings return to their blocks as intervals; their union is cut out.
 
 A group that holds a third of all documents reaches pass 3 as one entry per run, so no task sees all its members.
+The number of partitions follows from the bytes of the texts (PART_BYTES each), and hashes and runs are dealt in
+KEYS keys a partition, of which one is held at a time, so what a task holds does not grow with the corpus; what
+shares one 32-byte gram in different surroundings is held together, at about 400 bytes an entry.
 
 Defined cases: null text is empty; texts under LENGTH bytes keep all bytes; documents are ordered by doc_id, those
 without one last; rows that repeat a doc_id are ordered by a 32-bit hash of the text; rows that repeat doc_id and text are
@@ -36,16 +41,17 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._bytes import PrefixHash, mix, pieces, powers, utf8
-from ._store import settle, shuffle_width
+from ._bytes import PrefixHash, mix, pieces, utf8
+from ._store import even_key, settle, shuffle_width
 
 LENGTH, K = 100, 32
 GRAMS = LENGTH - K + 1
-#: Bytes of strings in one run and in one comparison of groups, and of text in one block.
-RUN_BYTES, COMPARE_BYTES, BLOCK_BYTES = 4 << 20, 1 << 20, 1 << 20
+#: Bytes of strings in one run, entries compared at once, bytes of text in one block.
+RUN_BYTES, COMPARE_ENTRIES, BLOCK_BYTES = 4 << 20, 8192, 1 << 20
+#: Bytes of text for each partition, and keys of a partition.
+PART_BYTES, KEYS = 64 << 20, 4
 _POSITION_BITS = np.uint64(27)
 _NO_ID = np.int64(2**63 - 1)
-_SECOND_BASE = 0xD6E8FEB86659FD93
 
 
 def _shut(value) -> bytes:
@@ -56,17 +62,20 @@ def _open(blob: bytes):
     return pickle.loads(zstandard.decompress(blob))
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    from pyspark import TaskContext
+def _blocks(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        task = even_key(TaskContext.get().partitionId(), width)
+        number = first = 0
+        for batch in pieces(batches, limit=BLOCK_BYTES):
+            data, offsets = utf8(batch.column("text"))
+            order = batch.column("order_id").to_numpy(), batch.column("text_hash").to_numpy()
+            blob = _shut((first, data.tobytes(), offsets, *order))
+            yield pa.RecordBatch.from_arrays([pa.array([task], pa.int64()), pa.array([number], pa.int64()), pa.array([blob], pa.binary())], names=["task", "number", "blob"])
+            number, first = number + 1, first + batch.num_rows
 
-    task = TaskContext.get().partitionId()
-    number = first = 0
-    for batch in pieces(batches, limit=BLOCK_BYTES):
-        data, offsets = utf8(batch.column("text"))
-        order = batch.column("order_id").to_numpy(), batch.column("text_hash").to_numpy()
-        blob = _shut((first, data.tobytes(), offsets, *order))
-        yield pa.RecordBatch.from_arrays([pa.array([task], pa.int64()), pa.array([number], pa.int64()), pa.array([blob], pa.binary())], names=["task", "number", "blob"])
-        number, first = number + 1, first + batch.num_rows
+    return run
 
 
 def _least(h: np.ndarray) -> np.ndarray:
@@ -114,46 +123,55 @@ def _part(short: np.ndarray, width: int) -> np.ndarray:
     return (mix(short) % np.uint64(width)).astype(np.int64)
 
 
-def _probe(width: int):
+def _probe(keys: np.ndarray):
+    parts = len(keys)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, sent, count = None, [[] for _ in range(width)], 0
+        task, sent = None, [[] for _ in range(parts)]
         for batch in batches:
             for task, blob in zip(batch.column("task").to_pylist(), batch.column("blob").to_pylist()):
                 _, raw, offsets, _, _ = _open(blob)
                 distinct, more, _ = _short(anchors(np.frombuffer(raw, np.uint8), offsets)[1])
-                part = _part(distinct, width)
+                part = _part(distinct, parts)
                 order = np.argsort(part, kind="stable")
-                edge = np.searchsorted(part[order], np.arange(width + 1))
+                edge = np.searchsorted(part[order], np.arange(parts + 1))
                 told = (distinct << np.uint64(1) | more.astype(np.uint64))[order]
                 light = np.ascontiguousarray(told.view(np.uint8).reshape(-1, 8)[:, :6])
-                for p in range(width):
-                    if edge[p] < edge[p + 1]:
-                        sent[p].append(light[edge[p] : edge[p + 1]].tobytes())
-        rows = [(p, task, b"".join(x)) for p, x in enumerate(sent) if x]
+                for p in np.flatnonzero(edge[1:] > edge[:-1]).tolist():
+                    sent[p].append(light[edge[p] : edge[p + 1]].tobytes())
+        rows = [(p, int(keys[p]), task, b"".join(x)) for p, x in enumerate(sent) if x]
         for at in range(0, len(rows), 500):
-            part, tasks, blobs = zip(*rows[at : at + 500])
-            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(tasks, pa.int64()), pa.array(blobs, pa.binary())], names=["part", "task", "blob"])
+            part, key, tasks, blobs = zip(*rows[at : at + 500])
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(key, pa.int64()), pa.array(tasks, pa.int64()), pa.array(blobs, pa.binary())], names=["part", "key", "task", "blob"])
 
     return run
 
 
 def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For the hashes that each task sent, one bit each: there more than once."""
-    held: dict[int, list[tuple[int, np.ndarray]]] = {}
-    for batch in batches:
-        for part, task, blob in zip(*(batch.column(c).to_pylist() for c in ("part", "task", "blob"))):
-            full = np.zeros((len(blob) // 6, 8), np.uint8)
-            full[:, :6] = np.frombuffer(blob, np.uint8).reshape(-1, 6)
-            held.setdefault(part, []).append((task, full.view("<u8").ravel()))
-    for part, members in held.items():
-        told = np.concatenate([m for _, m in members])
-        _, inverse, counts = np.unique(told >> np.uint64(1), return_inverse=True, return_counts=True)
+    """For the hashes that each task sent, one bit each: there more than once. Rows come sorted by part."""
+
+    def told(part: int, members: list[tuple[int, np.ndarray]]) -> pa.RecordBatch:
+        all_ = np.concatenate([m for _, m in members])
+        _, inverse, counts = np.unique(all_ >> np.uint64(1), return_inverse=True, return_counts=True)
         often = counts > 1
-        often |= np.bincount(inverse, told & np.uint64(1), len(counts)) > 0
+        often |= np.bincount(inverse, all_ & np.uint64(1), len(counts)) > 0
         bits = often[inverse]
         edge = np.cumsum([0] + [len(m) for _, m in members])
         blobs = [np.packbits(bits[a:b]).tobytes() for a, b in zip(edge, edge[1:])]
-        yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in members], pa.int64()), pa.array([0] * len(members), pa.int32()), pa.array([part] * len(members), pa.int64()), pa.array(blobs, pa.binary())], names=["task", "kind", "number", "blob"])
+        return pa.RecordBatch.from_arrays([pa.array([t for t, _ in members], pa.int64()), pa.array([0] * len(members), pa.int32()), pa.array([part] * len(members), pa.int64()), pa.array(blobs, pa.binary())], names=["task", "kind", "number", "blob"])
+
+    part, held = None, []
+    for batch in batches:
+        for p, task, blob in zip(*(batch.column(c).to_pylist() for c in ("part", "task", "blob"))):
+            if held and p != part:
+                yield told(part, held)
+                held = []
+            full = np.zeros((len(blob) // 6, 8), np.uint8)
+            full[:, :6] = np.frombuffer(blob, np.uint8).reshape(-1, 6)
+            part = p
+            held.append((task, full.view("<u8").ravel()))
+    if held:
+        yield told(part, held)
 
 
 def _union(doc: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -244,45 +262,43 @@ def front_decode(lengths: list[int], rests: list[bytes]) -> list[bytes]:
 
 
 class _Runs:
-    """Buffers the repeated anchors of a task and gives runs per partition and intervals of known repeats."""
+    """Buffers the repeated anchors of a task and gives runs per key and intervals of known repeats."""
 
-    def __init__(self, task: int, width: int) -> None:
-        self.task, self.width = task, width
+    def __init__(self, task: int, keys: np.ndarray) -> None:
+        self.task, self.keys = task, keys
         self._clear()
 
     def _clear(self) -> None:
         self.columns: list[tuple[np.ndarray, ...]] = []
-        self.texts: list[tuple[bytes, np.ndarray, np.ndarray]] = []
+        self.spans: list[bytes] = []
         self.size = 0
 
-    def add(self, first: int, data: np.ndarray, raw: bytes, offsets: np.ndarray, ids: np.ndarray, hashes: np.ndarray, found: tuple[np.ndarray, ...], short: np.ndarray) -> None:
+    def add(self, first: int, raw: bytes, offsets: np.ndarray, ids: np.ndarray, hashes: np.ndarray, found: tuple[np.ndarray, ...], short: np.ndarray) -> None:
         anchor, _, begin, last = found
         row = np.searchsorted(offsets, begin, "right") - 1
-        whole = PrefixHash(data).span(begin, last + LENGTH) ^ mix(((last - begin) << 8 | (anchor - begin)).astype(np.uint64))
-        self.columns.append((whole, ids[row], hashes[row], begin - offsets[row], last - begin + 1, anchor - begin, row + first, short, np.full(len(row), len(self.texts)), begin))
-        self.texts.append((raw,))
+        self.columns.append((ids[row], hashes[row], begin - offsets[row], last - begin + 1, anchor - begin, row + first, short))
+        self.spans += [raw[a:b] for a, b in zip(begin.tolist(), (last + LENGTH).tolist())]
         self.size += int((last - begin + LENGTH).sum())
 
     def flush(self) -> Iterator[tuple[int, int, bytes]]:
-        """(kind, key, blob): kind 0 is a run for partition key, kind 1 has intervals for task key."""
+        """(kind, key, blob): kind 0 is a run for a merge key, kind 1 has intervals for a task."""
         if not self.columns:
             return
-        whole, ids, hashes, pos, n, left, doc, short, text, begin = (np.concatenate(c) for c in zip(*self.columns))
+        ids, hashes, pos, n, left, doc, short = (np.concatenate(c) for c in zip(*self.columns))
         order = np.lexsort((pos, hashes, ids))
-        _, index, inverse = np.unique(whole[order], return_index=True, return_inverse=True)
-        head = np.zeros(len(order), bool)
-        head[index] = True
+        earliest: dict[tuple[int, bytes], int] = {}
+        lefts = left.tolist()
+        lead = np.fromiter((earliest.setdefault((lefts[i], self.spans[i]), i) for i in order.tolist()), np.int64, len(order))
         # A row that repeats doc_id and text is no earlier one.
-        lead = order[index[inverse]]
         same = (ids[lead] == ids[order]) & (hashes[lead] == hashes[order]) & (pos[lead] == pos[order])
-        again = order[~head & ~same]
+        again = order[~same]
         if len(again):
             yield 1, self.task, _shut(_union(doc[again], pos[again], pos[again] + n[again] - 1 + LENGTH))
-        keep = order[head | same]
-        part = _part(short[keep], self.width)
+        keep = order[same]
+        part = _part(short[keep], len(self.keys))
         for p in np.unique(part).tolist():
             mine = keep[part == p]
-            spans = [self.texts[t][0][b : b + k - 1 + LENGTH] for t, b, k in zip(text[mine].tolist(), begin[mine].tolist(), n[mine].tolist())]
+            spans = [self.spans[i] for i in mine.tolist()]
             lefts = left[mine].tolist()
             rights = [s[k:] for s, k in zip(spans, lefts)]
             rank = sorted(range(len(mine)), key=rights.__getitem__)
@@ -291,11 +307,13 @@ class _Runs:
             sorted_ = mine[rank]
             meta = (ids[sorted_], hashes[sorted_].astype(np.uint32), pos[sorted_].astype(np.uint32), n[sorted_].astype(np.uint8), doc[sorted_].astype(np.uint32))
             sizes = [np.fromiter(map(len, x), np.uint8, len(x)) for x in (rests, before)]
-            yield 0, p, _shut((self.task, np.array(lengths, np.uint8), sizes[0], b"".join(rests), sizes[1], b"".join(before), meta))
+            yield 0, int(self.keys[p]), _shut((self.task, np.array(lengths, np.uint8), sizes[0], b"".join(rests), sizes[1], b"".join(before), meta))
         self._clear()
 
 
-def _make_runs(width: int):
+def _make_runs(keys: np.ndarray):
+    parts = len(keys)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def emit(rows):
             for kind, key, blob in rows:
@@ -307,7 +325,7 @@ def _make_runs(width: int):
                 if t != task:
                     if runs:
                         yield from emit(runs.flush())
-                    task, masks, used, runs = t, {}, {}, _Runs(t, width)
+                    task, masks, used, runs = t, {}, {}, _Runs(t, keys)
                 if kind == 0:
                     masks[number], used[number] = np.unpackbits(np.frombuffer(blob, np.uint8)).astype(bool), 0
                     continue
@@ -315,17 +333,17 @@ def _make_runs(width: int):
                 data = np.frombuffer(raw, np.uint8)
                 found = anchors(data, offsets)
                 distinct, _, inverse = _short(found[1])
-                part = _part(distinct, width)
+                part = _part(distinct, parts)
                 again = np.zeros(len(distinct), bool)
                 order = np.argsort(part, kind="stable")
-                edge = np.searchsorted(part[order], np.arange(width + 1))
+                edge = np.searchsorted(part[order], np.arange(parts + 1))
                 for p in np.unique(part).tolist():
                     size = int(edge[p + 1] - edge[p])
                     again[order[edge[p] : edge[p + 1]]] = masks[p][used[p] : used[p] + size]
                     used[p] += size
                 mine = np.flatnonzero(again[inverse])
                 if len(mine):
-                    runs.add(first, data, raw, offsets, ids, hashes, tuple(x[mine] for x in found), distinct[inverse[mine]])
+                    runs.add(first, raw, offsets, ids, hashes, tuple(x[mine] for x in found), distinct[inverse[mine]])
                     if runs.size > RUN_BYTES:
                         yield from emit(runs.flush())
         if runs:
@@ -359,60 +377,71 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _merged(runs: list[tuple]) -> Iterator[pa.RecordBatch]:
-    order_run, order_at, starts = [], [], []
+    order_run, order_at, lengths = [], [], []
     for shared, run, at in LoserTree([(r[1], r[2]) for r in runs]):
-        starts.append(shared < K)  # a new gram begins
+        lengths.append(shared)
         order_run.append(run)
         order_at.append(at)
-    group = np.cumsum(starts)
-    alone = np.bincount(group)[group] < 2
-    members: dict[int, list[tuple[int, int]]] = {}
-    entries = [i for i in np.flatnonzero(~alone).tolist()]
+    shared, run, at = np.array(lengths), np.array(order_run), np.array(order_at)
+    group = np.cumsum(shared < K)  # a new gram begins
+    some = np.flatnonzero(np.bincount(group)[group] > 1)
+    shared, run, at, group = shared[some], run[some], at[some], group[some]
+    members: dict[int, list[tuple[np.ndarray, ...]]] = {}
+    begin = 0
     # Groups are compared some at a time, so the arrays stay small.
-    while entries:
-        size, take = 0, 0
-        while take < len(entries) and (size < COMPARE_BYTES or group[entries[take]] == group[entries[take - 1]]):
-            size += LENGTH + 35
-            take += 1
-        _compare(runs, [(order_run[i], order_at[i]) for i in entries[:take]], members)
-        entries = entries[take:]
+    while begin < len(run):
+        end = int(np.searchsorted(group, group[min(begin + COMPARE_ENTRIES, len(run)) - 1], "right"))
+        _compare(runs, run[begin:end], at[begin:end], shared[begin:end], members)
+        begin = end
     for task, rows in members.items():
         blob = _shut(_union(*(np.concatenate(c) for c in zip(*rows))))
         yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), pa.array([task], pa.int64()), pa.array([blob], pa.binary())], names=["kind", "key", "blob"])
 
 
-def _compare(runs: list[tuple], entries: list[tuple[int, int]], out: dict) -> None:
-    meta = np.stack([runs[r][4][:, i] for r, i in entries], 1)
-    rank = np.lexsort((meta[2], meta[1], meta[0]))
-    entries, meta = [entries[i] for i in rank], meta[:, rank]
-    spans = [runs[r][3][i] + runs[r][2][i] for r, i in entries]
-    data = np.frombuffer(b"".join(spans), np.uint8)
-    edge = np.cumsum([0] + [len(s) for s in spans])
-    n = meta[3]
-    total = np.cumsum(n)
-    entry = np.repeat(np.arange(len(n)), n)
-    within = np.arange(int(total[-1])) - np.repeat(total - n, n)
-    at = edge[:-1][entry] + within
-    one = PrefixHash(data).span(at, at + LENGTH)
-    # A second polynomial in another base, so that equal means equal in 128 bits.
-    power = powers(_SECOND_BASE, len(data))
-    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power, dtype=np.uint64)))
-    two = (sums[at + LENGTH] - sums[at]) * powers(pow(_SECOND_BASE, -1, 1 << 64), len(data))[at]
-    _, index, inverse = np.unique(one, return_index=True, return_inverse=True)
-    lead = index[inverse]
-    start = meta[2][entry] + within
-    earlier = (lead != np.arange(len(lead))) & (two == two[lead])
-    # The same place of a row that repeats doc_id and text is no earlier one.
-    earlier &= (meta[0][entry] != meta[0][entry[lead]]) | (meta[1][entry] != meta[1][entry[lead]]) | (start != start[lead])
-    again = np.flatnonzero(earlier)
-    if not len(again):
+def _reversed(before: list[bytes], size: np.ndarray) -> np.ndarray:
+    """(entries, GRAMS - 1) bytes: what stands before the anchors, the nearest byte first, filled up with zeros."""
+    out = np.zeros((len(before), GRAMS - 1), np.uint8)
+    row = np.repeat(np.arange(len(before)), size)
+    within = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+    out[row, np.repeat(size, size) - 1 - within] = np.frombuffer(b"".join(before), np.uint8)
+    return out
+
+
+def _compare(runs: list[tuple], run: np.ndarray, at: np.ndarray, shared: np.ndarray, out: dict) -> None:
+    """The repeated strings of entries in merged order, whose shared lengths with the one before are known."""
+    places = list(zip(run.tolist(), at.tolist()))
+    ids, hashes, pos, n, doc = np.stack([runs[r][4][:, i] for r, i in places], 1)
+    before = [runs[r][3][i] for r, i in places]
+    size = np.fromiter(map(len, before), np.int64, len(before))
+    near = _reversed(before, size)
+    by_left = np.argsort(near.view(f"S{GRAMS - 1}").ravel(), kind="stable")
+    differs = near[by_left][1:] != near[by_left][:-1]
+    left_shared = np.where(differs.any(1), differs.argmax(1), GRAMS - 1)
+    # Entries from the earliest on; where an anchor stands decides for each string around it alike.
+    anchor = pos + size
+    rank = np.lexsort((anchor, hashes, ids))
+    repeated = np.zeros((len(places), GRAMS), bool)
+    left_class = np.zeros(len(places), np.int64)
+    for l in range(GRAMS):
+        mine = rank[(size[rank] >= l) & (size[rank] - n[rank] < l)]
+        if len(mine) < 2:
+            continue
+        left_class[by_left] = np.concatenate(([0], np.cumsum(left_shared < l)))
+        both = np.cumsum(shared < LENGTH - l)[mine] * len(places) + left_class[mine]
+        _, index, inverse = np.unique(both, return_index=True, return_inverse=True)
+        lead = mine[index[inverse]]
+        # The same place of a row that repeats doc_id and text is no earlier one.
+        later = (ids[mine] != ids[lead]) | (hashes[mine] != hashes[lead]) | (anchor[mine] != anchor[lead])
+        repeated[mine[later], size[mine[later]] - l] = True
+    entry, nth = np.nonzero(repeated)
+    if not len(entry):
         return
-    new = np.ones(len(again), bool)
-    new[1:] = (entry[again][1:] != entry[again][:-1]) | (again[1:] != again[:-1] + 1)
+    new = np.ones(len(entry), bool)
+    new[1:] = (entry[1:] != entry[:-1]) | (nth[1:] != nth[:-1] + 1)
     first = np.flatnonzero(new)
-    last = np.append(first[1:], len(again)) - 1
-    task = np.array([runs[r][0] for r, _ in entries])[entry[again[first]]]
-    doc, begin, end = meta[4][entry[again[first]]], start[again[first]], start[again[last]] + LENGTH
+    last = np.append(first[1:], len(entry)) - 1
+    task = np.array([runs[r][0] for r in run.tolist()])[entry[first]]
+    doc, begin, end = doc[entry[first]], pos[entry[first]] + nth[first], pos[entry[first]] + nth[last] + LENGTH
     for t in np.unique(task).tolist():
         mine = task == t
         out.setdefault(t, []).append((doc[mine], begin[mine], end[mine]))
@@ -453,16 +482,18 @@ def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept, the bytes that remain, of each document."""
-    width = shuffle_width(docs.sparkSession)
+    size = docs.agg(F.coalesce(F.sum(F.octet_length(F.col("text").cast("string"))), F.lit(0))).first()[0]
+    width = max(shuffle_width(docs.sparkSession), -(-size // PART_BYTES))
+    keys = np.array([even_key(p, width) for p in range(KEYS * width)])
     order = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(int(_NO_ID)))
     rows = docs.select(order.alias("order_id"), F.xxhash64("text").bitwiseAND(0xFFFFFFFF).alias("text_hash"), F.col("text").cast("string").alias("text"))
-    blocks = settle(rows.mapInArrow(_blocks, "task bigint, number bigint, blob binary"))
-    probes = blocks.mapInArrow(_probe(width), "part int, task bigint, blob binary")
+    blocks = settle(rows.mapInArrow(_blocks(width), "task bigint, number bigint, blob binary"))
+    probes = blocks.mapInArrow(_probe(keys), "part bigint, key bigint, task bigint, blob binary")
     # One order for all that is sent keeps the answers in step with the blocks.
-    answers = probes.repartition(width, "part").mapInArrow(_answer, "task bigint, kind int, number bigint, blob binary")
+    answers = probes.repartition(width, "key").sortWithinPartitions("part").mapInArrow(_answer, "task bigint, kind int, number bigint, blob binary")
     texts = blocks.select("task", F.lit(1).alias("kind"), "number", "blob")
     together = answers.unionByName(texts).repartition(width, "task").sortWithinPartitions("task", "kind", "number")
-    made = together.mapInArrow(_make_runs(width), "kind int, key bigint, blob binary")
+    made = together.mapInArrow(_make_runs(keys), "kind int, key bigint, blob binary")
     # Intervals that a task knows already travel with the runs, so these are written once.
     merged = made.repartition(width, "key").sortWithinPartitions("kind", "key").mapInArrow(_merge, "kind int, key bigint, blob binary")
     repeats = merged.select(F.col("key").alias("task"), F.lit(0).alias("kind"), F.lit(0).cast("bigint").alias("number"), "blob")
