@@ -5,7 +5,8 @@ bytes. The keys are range-partitioned by (key, document, position) and sorted, s
 all rows spans as many partitions as it needs. Each partition streams its rows once and marks those whose
 document is not the first of the key; what a partition must know of the ones before it (the first document of
 the key it starts with) follows from one row a partition. The answer is one zlib-compressed keep bitmap per
-document that loses lines, never text.
+document that loses lines, never text. Bitmaps go to the texts: up to BROADCAST_BITMAPS of them and BROADCAST_BYTES
+in all as a broadcast, so texts don't move; beyond that both meet in a shuffle.
 
 Defined cases: null text is one empty line; a row without doc_id neither holds nor loses lines; rows that
 repeat a doc_id are judged as parts of one document; an empty table gives an empty result; only the id and
@@ -27,6 +28,7 @@ from pyspark.sql import functions as F
 from ._store import settle, shuffle_width
 
 MIN_CHARS = 10
+BROADCAST_BITMAPS, BROADCAST_BYTES = 250_000, 32 << 20
 _STRIP = b" \t\n\x0b\x0c\r"
 
 
@@ -141,7 +143,9 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
 def _with_bitmaps(docs: DataFrame, min_chars: int) -> DataFrame:
     """docs with the column bitmap; the columns are held in one struct, so no name of theirs can clash."""
     held = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("text_hash"))
-    return held.join(keep_bitmaps(docs, min_chars), ["doc_id", "text_hash"], "left")
+    bitmaps = settle(keep_bitmaps(docs, min_chars))
+    n, size = bitmaps.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("bitmap")), F.lit(0))).first()
+    return held.join(F.broadcast(bitmaps) if n <= BROADCAST_BITMAPS and size <= BROADCAST_BYTES else bitmaps, ["doc_id", "text_hash"], "left")
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
