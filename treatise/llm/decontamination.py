@@ -8,9 +8,10 @@ the corpus frequencies that order the tokens by rarity. A place of a window's pr
 window would have to start (positional bound) and end (length bound), and the words there are compared with the
 window's words (verification on item-sized windows).
 
-Cost: documents are tokenised once, plus once more for the counts of words; only places that hold a shingle of
-the benchmark leave the scan. The benchmark's shingles are broadcast up to `BROADCAST_SHINGLES`, beyond that they
-are joined by a shuffle.
+Cost: documents are tokenised once; only places that hold a shingle of the benchmark leave the scan. The
+benchmark's shingles are broadcast up to `BROADCAST_SHINGLES`. Beyond that documents send (shingle, position) pairs
+to them, dealt by shingle and one of SALTS salts, so a very common shingle is spread; the places found return to
+the texts, which are shuffled once, and take the words around them from there.
 
 Defined cases: null or empty text has no words; items without words have no windows; items with equal texts are
 each reported; a null item_id or doc_id never matches a benchmark item by that id but keeps its row; rows that
@@ -28,6 +29,7 @@ WINDOW = 10
 SHINGLE = 5
 #: Shingles up to this number are broadcast (about 30 bytes each); more are joined by a shuffle.
 BROADCAST_SHINGLES = 500_000
+SALTS = 16
 
 #: Keys of contaminated documents up to this number are broadcast by drop_contaminated().
 BROADCAST_KEYS = 500_000
@@ -88,14 +90,15 @@ def _window_tokens(windows: DataFrame) -> tuple[DataFrame, list[int]]:
 def _places(docs: DataFrame, tokens: DataFrame, sizes: list[int], window: int) -> DataFrame:
     """(doc_id, text_hash, token, pos, from_pos, near, n_words): where a benchmark shingle stands, with the words around it, and one row of token _WHOLE for each document."""
     known = tokens.select("token").union(docs.sparkSession.range(1).select(F.lit(_WHOLE).cast("bigint").alias("token"))).distinct()
-    if tokens.count() <= BROADCAST_SHINGLES:
-        known = F.broadcast(known)
-    rows = _with_key(docs, "text").select("doc_id", "text_hash", raw_words(F.col("text")).alias("raw"))
-    rows = rows.withColumn("folded", _folded(F.col("raw")))
+    texts = _with_key(docs, "text").select("doc_id", "text_hash", raw_words(F.col("text")).alias("raw"))
+    rows = texts.withColumn("folded", _folded(F.col("raw")))
     rows = rows.select("doc_id", "text_hash", "raw", F.concat(F.array(F.lit(_WHOLE).cast("bigint")), *(_shingles(F.col("folded"), s) for s in sizes)).alias("tokens"))
     # The outer form drops no rows; for the inner one the optimizer would add a filter on the array's size and
     # push it below, where it computes all the nested expressions once more in each other.
-    rows = rows.select("doc_id", "text_hash", "raw", F.posexplode_outer("tokens").alias("nth", "token")).join(known, "token")
+    if tokens.count() <= BROADCAST_SHINGLES:
+        rows = rows.select("doc_id", "text_hash", "raw", F.posexplode_outer("tokens").alias("nth", "token")).join(F.broadcast(known), "token")
+    else:
+        rows = _with_words(rows.select("doc_id", "text_hash", F.posexplode_outer("tokens").alias("nth", "token")), known, texts)
     n = F.size("raw")
     pos = F.when(F.col("nth") > 0, (F.col("nth") - 1) % n)
     first = F.greatest(pos - (window - 1), F.lit(0))
@@ -103,6 +106,16 @@ def _places(docs: DataFrame, tokens: DataFrame, sizes: list[int], window: int) -
     return settle(rows.select("doc_id", "text_hash", "token", pos.alias("pos"), first.alias("from_pos"), near.alias("near"), n.cast("bigint").alias("n_words")))
 
 
+def _with_words(rows: DataFrame, known: DataFrame, texts: DataFrame) -> DataFrame:
+    """The rows (doc_id, text_hash, nth, token) of known tokens, with the document's words; no broadcast."""
+    salted = known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(SALTS)).cast("int"))
+    found = dealt.join(salted, ["token", "salt"]).groupBy(F.col("doc_id").alias("k1"), F.col("text_hash").alias("k2")).agg(F.collect_set(F.struct("nth", "token")).alias("places"))
+    # Rows that repeat doc_id and text share their set of places, and each takes it once.
+    back = texts.join(found, texts["doc_id"].eqNullSafe(F.col("k1")) & (texts["text_hash"] == F.col("k2")))
+    return back.select("doc_id", "text_hash", "raw", F.explode("places").alias("p")).select("doc_id", "text_hash", "raw", "p.nth", "p.token")
+
+
 def _hits(places: DataFrame, tokens: DataFrame) -> DataFrame:
     """(doc_id, text_hash, start, length, window_id) of each verified window."""
     # Rarity: a window with a shingle that stands nowhere can't occur; of the others the rarest shingle is the prefix.
