@@ -71,3 +71,79 @@ def test_trie(spark):
     assert got == {"": ["a", "c"], "a": ["<eos>", "b"], "a b": ["<eos>"], "c": ["d"], "c d": ["<eos>"]}
     walks = spark.createDataFrame([("m", "a"), ("m", "c d x")], "method string, prefix string")
     assert {r.prefix: r.next_tokens for r in retriever.allowed_next(walks, trie, ["method"]).collect()} == {"a": ["<eos>", "b"], "c d x": ["<eos>"]}
+
+
+def test_beams(spark):
+    rows = [("full", ["a ", "b", "c", "d", "e"], [0.0, -1.0, -2.0, -3.0, -4.0], "lc"), ("short", ["a", "x"], [0.0, -1.0], "lb"), ("none", [], [], "la")]
+    beams = spark.createDataFrame(rows, "id string, beams array<string>, scores array<double>, gold_leaf_id string")
+    catalog = spark.createDataFrame([(t, "l" + t) for t in "abcde"], "target string, leaf_id string")
+    assert {r.id: r.gold_rank_at_k for r in retriever.rank_beams(beams, catalog).collect()} == {"full": 3, "short": None}
+    assert sorted(tuple(r) for r in retriever.ranked_targets(beams, catalog).where("id = 'full' AND rank < 3").collect()) == [("full", 1, "a", "la", 0.0), ("full", 2, "b", "lb", -1.0)]
+    assert sorted((r.id, r.target, r.problem) for r in retriever.beam_violations(beams, catalog).collect() if r.target) == [("short", "x", "unknown target")]
+    assert {r.id for r in retriever.beam_violations(beams, catalog).where("problem = 'beam count'").collect()} == {"short", "none"}
+
+
+def test_upper_median(spark):
+    for ranks in ([4, 1, 3, 2], [1, 2, 3], [5], [1, 1, 9, 9, None], [None]):
+        known = sorted(r for r in ranks if r is not None)
+        got = metrics.micro_metrics(spark.createDataFrame([(r,) for r in ranks], "gold_rank int")).first().median_rank
+        assert got == (known[len(known) // 2] if known else None)
+
+
+def test_bootstrap_interval(spark):
+    """The published outcome counts: the interval of 10,000 resamples, up to the draws' own spread."""
+    counts = {(True, True): 421, (True, False): 284, (False, True): 239, (False, False): 814}
+    rows = [(a, b) for (a, b), n in counts.items() for _ in range(n)]
+    paired = spark.createDataFrame(rows, "correct_a boolean, correct_b boolean")
+    low, median, high = metrics.bootstrap(paired).first()
+    assert abs(low + 0.050626) < 0.002 and abs(median + 0.026166) < 0.002 and abs(high) < 0.002
+    assert metrics.bootstrap(paired).first() == (low, median, high)
+
+
+def _filled(rows, targets):
+    """The rule one unit at a time, over all units in one list."""
+    import hashlib
+
+    key = lambda x: hashlib.sha256(f"42:{x}".encode()).hexdigest()
+    counts = {s: sum(n for _, _, n, a in rows if a == s) for s in split.SPLITS}
+    there = {(leaf, a) for _, leaf, _, a in rows if a}
+    left = {}
+    for unit, leaf, n, a in sorted(rows, key=lambda r: key(r[0])):
+        if a is None:
+            left.setdefault(leaf, []).append((unit, n))
+    out = {}
+    for depth in range(max(map(len, left.values()), default=0)):
+        for leaf in sorted(left, key=key):
+            if depth < len(left[leaf]):
+                unit, n = left[leaf][depth]
+                score = lambda s: (round((targets[s] - counts[s]) / targets[s], 6) if targets[s] else float("-inf"), (leaf, s) not in there)
+                best = max(split.SPLITS, key=score)
+                counts[best] += n
+                there.add((leaf, best))
+                out[unit] = best
+    return out
+
+
+def test_fill_against_the_rule(spark):
+    import random
+
+    rng = random.Random(11)
+    for seed, targets in enumerate(({"train": 60, "dev": 30, "test": 90}, {"train": 40, "dev": 40, "test": 40}, {"train": 0, "dev": 5, "test": 50})):
+        rows = [(f"u{seed}-{i}", f"l{rng.randint(1, 12)}", rng.randint(1, 6), rng.choice([None, None, None, "train", "test", "dev"])) for i in range(80)]
+        covered = spark.createDataFrame(rows, "unit_id string, leaf_id string, n_questions bigint, split string").withColumn("unit_key", F.sha2(F.concat(F.lit("42:"), "unit_id"), 256))
+        assert {r.unit_id: r.split for r in split.fill(covered, targets).collect()} == _filled(rows, targets)
+
+
+def test_golds_and_report(spark):
+    docs = spark.createDataFrame([(1, "the red fox jumps over it"), (2, "xthe red foxy jumps"), (3, "one"), (4, ""), (5, "the red fox jumps over it all")], "leaf_id bigint, text string")
+    asked = ["he red fox jumps over i", "red fox", "one", "e r", "fox red the", "the red fox jumps over it", "unseen word here now", "on"]
+    queries = spark.createDataFrame(list(enumerate(asked)), "query_id int, query string")
+    corpus = ranking.index(docs)
+    want = {i: min((r.leaf_id for r in docs.collect() if q in r.text), default=None) for i, q in enumerate(asked)}
+    golds = ranking.verbatim_golds(corpus, queries)
+    assert {r.query_id: r.gold_leaf_id for r in golds.collect()} == {i: g for i, g in want.items() if g is not None}
+    scores = ranking.bm25_scores(corpus, queries)
+    rows = ranking.query_report(scores, golds, docs).collect()
+    full = {(r.query_id, r.leaf_id): r["rank"] for r in ranking.rank_all(scores, queries, docs).collect()}
+    assert all(full[r.query_id, r.leaf_id] == r["rank"] and r.is_gold == (r.leaf_id == want[r.query_id]) and r.gold_rank == full[r.query_id, want[r.query_id]] for r in rows)
+    assert len(rows) == 5 * golds.count()

@@ -1,3 +1,5 @@
+import random
+
 from pyspark.sql import functions as F
 
 from treatise.operators import questions, sections
@@ -6,6 +8,10 @@ RAW = {
     "array": ('["A one?", "B two?"]', ["A one?", "B two?"]),
     "prose": ('Sure: ["A  one?", "a one?", "B\\ttwo?"] done', ["A one?", "B two?"]),
     "cut": ('["A one?", "B two?", "C thr]', ["A one?", "B two?"]),
+    "deep": ('[[[[[[["A one?", "B two?"]]]]]]]', ["A one?", "B two?"]),
+    "deep objects": ('x [[[{"question": "A one?"}, {"question": "B two?"}]]]', ["A one?", "B two?"]),
+    "two lists": ('[[["A one?"], ["B two?"]]]', None),
+    "list and null": ('[["A one?", "B two?"], null]', None),
     "nested": ('[["A one?", "B two?"]]', ["A one?", "B two?"]),
     "objects": ('[{"question": "A one?"}, {"q": 1}, 5, "B two?"]', ["A one?", "B two?"]),
     "bullet": ('[• "A one?", • "B two?"]', ["A one?", "B two?"]),
@@ -66,3 +72,30 @@ def test_heading_priority_and_greedy_choice(spark):
     nodes = spark.createDataFrame([("d", 1, 1, "Same"), ("d", 2, 1, "Same")], "doc string, position int, page int, title string")
     blocks = spark.createDataFrame([("d", 1, 0, 300.0, "Same", 612.0), ("d", 1, 1, 57.0, "same", 612.0)], "doc string, page int, block_no int, x0 double, text string, page_width double")
     assert {r.position: r.block_no for r in sections.assign_headings(nodes, blocks, ["doc"]).collect()} == {1: 1, 2: 0}
+
+
+def _line_starts(text, title):
+    """The rule as one pattern: a title's blanks are any white space, and its lines hold nothing else."""
+    import re
+
+    found = re.search(r"(?m)^[ \t\n\x0b\f\r]*" + r"[ \t\n\x0b\f\r]+".join(map(re.escape, re.split(" +", title.strip(" ")))) + r"[ \t\n\x0b\f\r]*$", text)
+    return found.start() if found else text.find(title) if title in text else None
+
+
+def test_headings_of_any_length(spark):
+    rng = random.Random(3)
+    word = lambda: rng.choice(["a", "b", "Ab", "c"])
+    gap = lambda: rng.choice([" ", " ", "  ", "\n", " \n ", "\t", "\n\n"])
+    pages, nodes, want = [], [], {}
+    for i in range(400):
+        title = " ".join(word() for _ in range(rng.randint(1, 3)))
+        text = rng.choice(["", "\n", " ", "\n \n"]) + "".join(word() + gap() for _ in range(rng.randint(1, 12))) + rng.choice(["", word()])
+        pages.append(("d", i, text))
+        nodes.append(("d", i, i, title))
+        want[i] = _line_starts(text, title)
+    long = [f"w{k}" for k in range(1500)]
+    pages += [("d", 1000, "x\n  " + "\n ".join(long) + " \ny"), ("d", 1001, "x " + " ".join(long) + "\ny")]
+    nodes += [("d", 1000, 1000, " ".join(long)), ("d", 1001, 1001, "  ".join(long))]
+    want |= {1000: 2, 1001: None}
+    got = sections.locate_headings(spark.createDataFrame(nodes, "doc string, position int, page int, title string"), spark.createDataFrame(pages, "doc string, page int, text string"), ["doc"])
+    assert {r.position: r.start for r in got.collect()} == want

@@ -32,10 +32,16 @@ def count_violations(rows: DataFrame, expected: dict[str, int], by: str) -> Data
     return want.join(got, by, "full_outer").where("NOT (expected <=> n)")
 
 
-def consistency_violations(rows: DataFrame, id_column: str = "id") -> DataFrame:
-    """V3: wrong character counts and reversed page ranges."""
-    problem = F.when(F.col("character_count") != F.length("text"), "character_count").when(F.col("page_start") > F.col("page_end"), "page range")
-    return rows.select(F.col(id_column).alias("id"), problem.alias("problem")).where("problem IS NOT NULL")
+def consistency_violations(rows: DataFrame, id_column: str = "id", nodes: DataFrame | None = None) -> DataFrame:
+    """V3: empty texts, wrong character counts, reversed page ranges; with nodes(leaf_id, title, path) also titles and
+    paths that are not those of the row's leaf. A row has a line for each of its problems."""
+    tests = {"empty": F.trim("text") == "", "character_count": F.col("character_count") != F.length("text"), "page range": F.col("page_start") > F.col("page_end")}
+    if nodes is not None:
+        rows = rows.join(nodes.select("leaf_id", F.col("title").alias("_title"), F.col("path").alias("_path"), F.lit(True).alias("_known")), "leaf_id", "left")
+        known = F.col("_known").isNotNull()
+        tests |= {"leaf title": known & ~F.col("leaf_title").eqNullSafe(F.col("_title")), "path": known & ~F.col("path").eqNullSafe(F.col("_path"))}
+    problems = F.array_compact(F.array(*(F.when(test, F.lit(name)) for name, test in tests.items())))
+    return rows.select(F.col(id_column).alias("id"), F.explode(problems).alias("problem"))
 
 
 def numbering_violations(rows: DataFrame, leaf: str, number: Column, id_column: str = "id") -> DataFrame:
@@ -70,10 +76,12 @@ def leakage_violations(rows: DataFrame) -> DataFrame:
 
 
 def coverage_violations(assigned: DataFrame) -> DataFrame:
-    """Every leaf has train units, with two or more units test ones, with three or more dev ones."""
+    """Every leaf has train units, with two or more units test ones, with three or more dev ones; a row for each
+    split that is missing, or that is there with fewer units than it may be had."""
     have = assigned.groupBy("leaf_id").agg(F.count("*").alias("n_units"), *(F.count_if(F.col("split") == s).alias(s) for s in SPLITS))
-    missing = F.when(F.col("train") == 0, "train").when((F.col("n_units") >= 2) & (F.col("test") == 0), "test").when((F.col("n_units") >= 3) & (F.col("dev") == 0), "dev")
-    return have.select("leaf_id", "n_units", missing.alias("missing")).where("missing IS NOT NULL")
+    least = {"train": 1, "test": 2, "dev": 3}
+    problems = F.array_compact(F.array(*(F.when((F.col("n_units") >= n) != (F.col(s) > 0), F.lit(s)) for s, n in least.items())))
+    return have.select("leaf_id", "n_units", F.explode(problems).alias("split"))
 
 
 def constraint_violations(assigned: DataFrame) -> DataFrame:

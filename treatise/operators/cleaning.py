@@ -2,7 +2,7 @@
 
 Every step keeps one row per unit: (leaf keys, position, text, page_start, page_end, source_ids, reasons). Steps
 whose effect on a row depends on its neighbours only are windows; those with a running length cap are folds over
-the ordered array of a leaf's units, which has a leaf's paragraphs and no more.
+lengths and marks of a leaf's units in order, which decide what is merged; texts are then put together once.
 """
 
 from __future__ import annotations
@@ -60,12 +60,14 @@ def merge(left: Column, right: Column, reason: Column) -> Column:
 _UNIT = ("position", "text", "page_start", "page_end", "source_ids", "reasons")
 
 
-def _merge_islands(units: DataFrame, keys: list[str], joins_previous: Column, reason: str) -> DataFrame:
-    """Rows where `joins_previous` are merged with the row before, chains included."""
+def _merge_islands(units: DataFrame, keys: list[str], joins_previous: Column, reason: Column) -> DataFrame:
+    """Rows where `joins_previous` are merged with the row before for their `reason`, chains included."""
     order = Window.partitionBy(*keys).orderBy("position")
-    rows = units.withColumn("_joins", F.coalesce(joins_previous, F.lit(False))).withColumn("_island", F.sum((~F.col("_joins")).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    grouped = rows.groupBy(*keys, "_island").agg(F.array_sort(F.collect_list(F.struct(*_UNIT))).alias("parts"))
-    one = F.aggregate(F.slice("parts", F.lit(2), F.greatest(F.size("parts") - 1, F.lit(0))), F.col("parts")[0], lambda a, x: merge(a, x, F.lit(reason)))
+    rows = units.withColumn("_joins", F.coalesce(joins_previous, F.lit(False))).withColumn("_reason", reason)
+    rows = rows.withColumn("_island", F.sum((~F.col("_joins")).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    grouped = rows.groupBy(*keys, "_island").agg(F.array_sort(F.collect_list(F.struct(*_UNIT, "_reason"))).alias("parts"))
+    first = F.struct(*(F.col("parts")[0][c].alias(c) for c in _UNIT))
+    one = F.aggregate(F.slice("parts", F.lit(2), F.greatest(F.size("parts") - 1, F.lit(0))), first, lambda a, x: merge(a, x, x["_reason"]))
     return grouped.select(*keys, one.alias("unit")).select(*keys, "unit.*")
 
 
@@ -75,7 +77,7 @@ def merge_backward_fragments(units: DataFrame, keys: list[str]) -> DataFrame:
     text = T.strip(F.col("text"))
     before = F.lag("text").over(order)
     joins = before.isNotNull() & (F.length(text) <= SHORT_FRAGMENT) & ~T.starts_any_bullet(text) & ~T.is_age_band(text) & ~T.ends_sentence(before)
-    return _merge_islands(units, keys, joins, "short_continuation_backward")
+    return _merge_islands(units, keys, joins, F.lit("short_continuation_backward"))
 
 
 def _merge_pairs_forward(units: DataFrame, keys: list[str], opens: Column, reason: str) -> DataFrame:
@@ -85,7 +87,7 @@ def _merge_pairs_forward(units: DataFrame, keys: list[str], opens: Column, reaso
     rows = units.withColumn("_opens", opens.cast("int")).withColumn("_run", F.sum(1 - F.col("_opens")).over(running))
     nth = F.sum("_opens").over(Window.partitionBy(*keys, "_run").orderBy("position").rowsBetween(Window.unboundedPreceding, 0))
     rows = rows.withColumn("_takes", (F.col("_opens") == 1) & (nth % 2 == 1))
-    return _merge_islands(rows, keys, F.lag("_takes").over(order), reason)
+    return _merge_islands(rows, keys, F.lag("_takes").over(order), F.lit(reason))
 
 
 def merge_age_bands(units: DataFrame, keys: list[str]) -> DataFrame:
@@ -103,52 +105,53 @@ def merge_labels(units: DataFrame, keys: list[str]) -> DataFrame:
     return _merge_pairs_forward(units, keys, is_forward_label(F.col("text")), "short_label_forward")
 
 
-def _fold(units: DataFrame, keys: list[str], step: Callable[[Column, Column], tuple[Column, Column]]) -> DataFrame:
-    """Fold a leaf's units from the left; step(last, next) gives (merge them?, reason)."""
-    grouped = units.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*_UNIT))).alias("units"))
+def _fold(units: DataFrame, keys: list[str], marks: dict[str, Column], joins: Callable[[Column, Column], Column], reason: Column, together: Callable[[Column, Column], dict[str, Column]]) -> DataFrame:
+    """Merge a leaf's units from the left where joins(last, unit) and the length cap allow it.
 
-    def add(done: Column, unit: Column) -> Column:
-        last = F.element_at(done, -1)
-        joins, reason = step(last, unit)
-        return F.when(joins, F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(merge(last, unit, reason)))).otherwise(F.concat(done, F.array(unit)))
+    `marks` are columns of a unit; `last` has those of its first unit, but where together(last, unit) gives the
+    marks of both merged. The fold itself carries lengths, marks and one character a unit, never texts.
+    """
+    text = F.col("text")
+    sizes = {"_length": F.length(text), "_right": F.length(T.lstrip(text)), "_bare": F.length(T.rstrip(text)), "_inner": F.length(T.strip(text))}
+    every = {**sizes, **marks}
+    grouped = units.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*_UNIT, *(c.alias(n) for n, c in every.items())))).alias("units"))
 
-    folded = F.aggregate(F.slice("units", F.lit(2), F.greatest(F.size("units") - 1, F.lit(0))), F.slice("units", 1, 1), add)
-    return grouped.select(*keys, F.explode_outer(folded).alias("unit")).select(*keys, "unit.*")
+    def state(flags: Column, values: dict[str, Column]) -> Column:
+        return F.named_struct(F.lit("flags"), flags, *(x for n in ("_length", "_bare", *marks) for x in (F.lit(n), values[n])))
 
+    def add(last: Column, unit: Column) -> Column:
+        merged = {n: last[n] for n in marks} | together(last, unit)
+        merged["_length"] = last["_bare"] + 1 + unit["_right"]
+        merged["_bare"] = last["_bare"] + F.when(unit["_inner"] > 0, unit["_inner"] + 1).otherwise(0)
+        fits = last["_length"] + 1 + unit["_length"] <= MAX_LIST
+        return F.when(fits & joins(last, unit), state(F.concat(last["flags"], F.lit("1")), merged)).otherwise(state(F.concat(last["flags"], F.lit("0")), {n: unit[n] for n in every}))
 
-def _fits(left: Column, right: Column) -> Column:
-    return F.length(left["text"]) + 1 + F.length(right["text"]) <= MAX_LIST
+    first = F.get("units", F.lit(0))
+    flags = F.aggregate(F.slice("units", F.lit(2), F.greatest(F.size("units") - 1, F.lit(0))), state(F.lit("0"), {n: first[n] for n in every}), add, lambda s: s["flags"])
+    rows = grouped.select(*keys, flags.alias("_flags"), F.posexplode("units").alias("_at", "unit")).select(*keys, "unit.*", (F.substring("_flags", F.col("_at") + 1, F.lit(1)) == "1").alias("_merged"))
+    return _merge_islands(rows, keys, F.col("_merged"), reason)
 
 
 def group_bullets(units: DataFrame, keys: list[str]) -> DataFrame:
     """U9"""
-
-    def step(last: Column, unit: Column) -> tuple[Column, Column]:
-        nested = T.starts_nested_bullet(unit["text"])
-        adjacent = T.starts_parent_bullet(unit["text"]) & T.starts_parent_bullet(last["text"])
-        return _fits(last, unit) & (nested | adjacent), F.when(nested, "nested_bullet_backward").otherwise("adjacent_bullets")
-
-    return _fold(units, keys, step)
+    marks = {"_nested": T.starts_nested_bullet(F.col("text")), "_parent": T.starts_parent_bullet(F.col("text"))}
+    reason = F.when(F.col("_nested"), "nested_bullet_backward").otherwise("adjacent_bullets")
+    return _fold(units, keys, marks, lambda last, unit: unit["_nested"] | (unit["_parent"] & last["_parent"]), reason, lambda last, unit: {})
 
 
 def merge_continuations(units: DataFrame, keys: list[str]) -> DataFrame:
     """U10"""
-
-    def step(last: Column, unit: Column) -> tuple[Column, Column]:
-        text = T.strip(unit["text"])
-        return _fits(last, unit) & (F.rlike(text, F.lit(T.CITATION_ONLY)) | T.starts_lowercase_prose(text)), F.lit("artifact_continuation_backward")
-
-    return _fold(units, keys, step)
+    text = T.strip(F.col("text"))
+    marks = {"_continues": F.rlike(text, F.lit(T.CITATION_ONLY)) | T.starts_lowercase_prose(text)}
+    return _fold(units, keys, marks, lambda last, unit: unit["_continues"], F.lit("artifact_continuation_backward"), lambda last, unit: {})
 
 
 def complete_labels(units: DataFrame, keys: list[str]) -> DataFrame:
-    """A unit begun by a label takes what follows until a sentence ends."""
-
-    def step(last: Column, unit: Column) -> tuple[Column, Column]:
-        unfinished = F.array_contains(last["reasons"], "short_label_forward") & ~T.contains_any_bullet(last["text"]) & ~T.ends_sentence(last["text"])
-        return unfinished & _fits(last, unit), F.lit("label_sentence_completion")
-
-    return _fold(units, keys, step)
+    """A unit begun by a label takes what follows until a sentence ends, which its last part decides."""
+    text = F.col("text")
+    marks = {"_label": F.array_contains("reasons", "short_label_forward"), "_bullet": T.contains_any_bullet(text), "_ends": T.ends_sentence(text)}
+    both = lambda last, unit: {"_label": last["_label"] | unit["_label"], "_bullet": last["_bullet"] | unit["_bullet"], "_ends": unit["_ends"]}
+    return _fold(units, keys, marks, lambda last, unit: last["_label"] & ~last["_bullet"] & ~last["_ends"], F.lit("label_sentence_completion"), both)
 
 
 def number_units(units: DataFrame, keys: list[str]) -> DataFrame:
@@ -173,6 +176,13 @@ def unaccounted(paragraphs: DataFrame, units: DataFrame, removed: DataFrame) ->
     return lost.unionByName(kept.intersect(gone).withColumn("problem", F.lit("kept and removed"))).unionByName(kept.unionAll(gone).exceptAll(paragraphs.select("id")).withColumn("problem", F.lit("unknown")))
 
 
+def foreign_sources(units: DataFrame, paragraphs: DataFrame, keys: list[str]) -> DataFrame:
+    """Sources of a unit that belong to another leaf; merging never makes any."""
+    each = units.select(*(F.col(k).alias(f"_{k}") for k in keys), F.explode("source_ids").alias("id"))
+    same = [F.col(f"_{k}").eqNullSafe(F.col(k)) for k in keys]
+    return each.join(paragraphs.select("id", *keys), "id").where(~F.forall(F.array(*same), lambda x: x)).select("id", *keys)
+
+
 def reason_histogram(units: DataFrame, removed: DataFrame) -> DataFrame:
     """U15"""
     merged = units.select(F.lit("merge").alias("kind"), F.explode("reasons").alias("reason"))

@@ -36,6 +36,11 @@ def macro_metrics(ranks: DataFrame, leaf: str = "gold_leaf_id", rank: str = "gol
     return leaf_metrics(ranks, leaf, rank).agg(F.count("*").alias("n_leaves"), *(F.avg(m).alias(m) for m in _METRICS))
 
 
+def milliseconds_per_query(seconds: Column, n_queries: Column) -> Column:
+    """M9: null without queries."""
+    return F.try_divide(seconds * 1000.0, n_queries)
+
+
 def truncate(ranks: DataFrame, k: int) -> DataFrame:
     """M7: ranks beyond the beam become null."""
     return ranks.withColumn("gold_rank", F.when(F.col("gold_rank") <= k, F.col("gold_rank")))

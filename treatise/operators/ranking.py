@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.settled import settle
-from ..functions.text import content_hash, tokens, with_term_counts, with_tokens
+from ..functions.text import order_free_hash, tokens, with_term_counts, with_tokens
 
 # The constants of Okapi BM25, and the share of the mean weight that replaces negative ones.
 K1, B, EPSILON = 1.5, 0.75, 0.25
@@ -143,6 +143,13 @@ def _first_unscored(scores: DataFrame, queries: DataFrame, docs: DataFrame, k: i
     return ids.join(_bounded(settle(gap)), "nth").select("query_id", "leaf_id")
 
 
+def query_report(scores: DataFrame, golds: DataFrame, docs: DataFrame, k: int = TOP) -> DataFrame:
+    """Q13: the first k candidates of each query with a gold, whether one is the gold, and the gold's rank."""
+    ranks = gold_ranks(scores, golds, docs)
+    rows = top_k(scores, golds.select("query_id"), docs, k).join(ranks, "query_id")
+    return rows.select("query_id", "rank", "leaf_id", "score", (F.col("leaf_id") == F.col("gold_leaf_id")).alias("is_gold"), "gold_rank")
+
+
 def gold_ranks(scores: DataFrame, golds: DataFrame, docs: DataFrame) -> DataFrame:
     """Q5: (query_id, gold_leaf_id, gold_rank), the gold's place in rank_all() without the cross product.
 
@@ -204,13 +211,9 @@ def dense_ranking(queries: DataFrame, candidates: DataFrame, k: int | None = TOP
 
 
 def corpus_fingerprint(docs: DataFrame) -> DataFrame:
-    """Q14, V8: one row, a hash of the bytes of all ids and texts that does not depend on their order.
-
-    Row hashes are combined in buckets first, so no task holds one value for every document.
-    """
+    """Q14, V8: one row (n_rows, fingerprint), a hash of the bytes of all ids and texts that does not depend on their order."""
     rows = docs.select(F.sha2(F.concat(F.col("leaf_id").cast("string"), F.lit("\0"), F.coalesce("text", F.lit("")), F.lit("\0")), 256).alias("h"))
-    buckets = rows.groupBy(F.substring("h", 1, 2).alias("bucket")).agg(content_hash(F.collect_list("h")).alias("h"))
-    return buckets.agg(F.count("*").alias("n_buckets"), content_hash(F.collect_list("h")).alias("fingerprint"))
+    return order_free_hash(rows).withColumnRenamed("h", "fingerprint")
 
 
 def cache_is_valid(cached: DataFrame, wanted: DataFrame, columns: list[str]) -> DataFrame:

@@ -8,6 +8,13 @@ from pyspark.sql import functions as F
 # What marks padding in labels, and the multiple that batches are padded to.
 IGNORED, PAD_MULTIPLE = -100, 8
 END = "<eos>"
+# The prompts for targets that are ids and for those that are paths.
+ID_PROMPT = "Retrieve the relevant document section for the query. Return only its identifier.\n\nQuery: {query}"
+PATH_PROMPT = (
+    "Select the single table-of-contents leaf that best answers the query. Return only its complete hierarchical path exactly as it appears in the table of contents."
+    "\n\nTable of Contents:\n{toc}\n\nQuery: {query}"
+)
+BEAMS = 5
 
 
 def label_violations(rows: DataFrame, labels: DataFrame) -> DataFrame:
@@ -58,6 +65,20 @@ def rank_beams(predictions: DataFrame, catalog: DataFrame) -> DataFrame:
     return rows.groupBy("id", "gold_leaf_id").agg(F.min(hit).alias("gold_rank_at_k"), F.count_if(F.col("leaf_id").isNull()).alias("n_unknown"))
 
 
+def ranked_targets(predictions: DataFrame, catalog: DataFrame) -> DataFrame:
+    """(id, rank, target, leaf_id, sequence_score) of predictions(id, beams, scores); blanks around targets go."""
+    rows = predictions.select("id", F.posexplode(F.arrays_zip("beams", "scores")).alias("at", "b"))
+    rows = rows.select("id", (F.col("at") + 1).alias("rank"), F.trim("b.beams").alias("target"), F.col("b.scores").alias("sequence_score"))
+    return rows.join(catalog.select("target", "leaf_id"), "target", "left").select("id", "rank", "target", "leaf_id", "sequence_score")
+
+
+def beam_violations(predictions: DataFrame, catalog: DataFrame, k: int = BEAMS) -> DataFrame:
+    """Queries without k beams, and beams that the catalog does not know."""
+    count = predictions.where(F.coalesce(F.size("beams"), F.lit(0)) != k).select("id", F.lit(None).cast("string").alias("target"), F.lit("beam count").alias("problem"))
+    each = predictions.select("id", F.explode("beams").alias("target")).select("id", F.trim("target").alias("target"))
+    return count.unionByName(each.join(catalog, "target", "left_anti").select("id", "target", F.lit("unknown target").alias("problem")))
+
+
 def training_examples(rows: DataFrame, most: int) -> DataFrame:
     """Input and label ids of rows(id, prompt_ids, target_ids, end_id); over-long ones are flagged, not cut."""
     ids = F.concat("prompt_ids", "target_ids", F.array("end_id"))

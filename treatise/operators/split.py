@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -59,27 +61,30 @@ def interleave(covered: DataFrame) -> DataFrame:
 def fill(covered: DataFrame, targets: dict[str, int]) -> DataFrame:
     """(unit_id, split) of the units left over: each goes to the split that lacks most of its target.
 
-    Every choice depends on all before it, so this is one ordered fold over the unit table (units, not questions
-    or texts), fed with the running counts of what is already assigned.
+    Every choice depends on all before it, so one task reads the units left over in order. What is assigned
+    already reaches it as three counts and as the splits that each leaf has (a bit for each); it streams, and it
+    remembers only leaves that still lacked a split.
     """
-    state = covered.select(F.lit(0).alias("one"), "unit_id", "leaf_id", "n_questions", "split", "unit_key", stable_key(F.col("leaf_id")).alias("leaf_key"))
-
-    def assign(units: pd.DataFrame) -> pd.DataFrame:
-        done = units[units["split"].notna()]
-        counts = {s: int(done.loc[done["split"] == s, "n_questions"].sum()) for s in SPLITS}
-        there = set(zip(done["leaf_id"], done["split"]))
-        rest = units[units["split"].isna()].sort_values(["unit_key", "unit_id"])
-        rest = rest.assign(depth=rest.groupby("leaf_id").cumcount()).sort_values(["depth", "leaf_key"])
-        out = []
-        for unit, leaf, n in zip(rest["unit_id"], rest["leaf_id"], rest["n_questions"]):
-            lack = {s: (round((targets[s] - counts[s]) / targets[s], 6) if targets[s] else float("-inf")) for s in SPLITS}
-            best = max(SPLITS, key=lambda s: (lack[s], (leaf, s) not in there, -SPLITS.index(s)))
-            counts[best] += int(n)
-            there.add((leaf, best))
-            out.append((unit, best))
-        return pd.DataFrame(out, columns=["unit_id", "split"])
-
-    return state.groupBy("one").applyInPandas(assign, "unit_id string, split string")
+    bit = F.element_at(F.create_map(*(F.lit(x) for i, s in enumerate(SPLITS) for x in (s, 1 << i))), F.col("split"))
+    has = F.coalesce(F.bit_or(bit).over(Window.partitionBy("leaf_id")), F.lit(0))
+    rest = interleave(covered.withColumn("has", has)).select("unit_id", "leaf_id", "n_questions", "has", "depth", "leaf_key")
+    done = {r["split"]: r["n"] for r in covered.where("split IS NOT NULL").groupBy("split").agg(F.sum("n_questions").alias("n")).collect()}  # three rows
+
+    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counts, grown, full = {s: int(done.get(s) or 0) for s in SPLITS}, {}, (1 << len(SPLITS)) - 1
+        for units in batches:
+            out = []
+            for leaf, n, has in zip(units["leaf_id"], units["n_questions"], units["has"]):
+                has |= grown.get(leaf, 0)
+                lack = [round((targets[s] - counts[s]) / targets[s], 6) if targets[s] else float("-inf") for s in SPLITS]
+                best = max(range(len(SPLITS)), key=lambda i: (lack[i], not has >> i & 1, -i))
+                counts[SPLITS[best]] += int(n)
+                if has != full:
+                    grown[leaf] = has | 1 << best
+                out.append(SPLITS[best])
+            yield pd.DataFrame({"unit_id": units["unit_id"], "split": out})
+
+    return rest.repartition(1).sortWithinPartitions("depth", "leaf_key", "leaf_id").mapInPandas(assign, "unit_id string, split string")
 
 
 def split_units(records: DataFrame) -> DataFrame:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+
+from ..operators.questions import PROMPT
+from ..operators.retriever import ID_PROMPT, PATH_PROMPT
 from .queries import NOISE_SQL, OUTLINE_SQL
 
 _OUTLINE = OUTLINE_SQL.format(region="region", nation="nation", supplier="supplier")
@@ -33,7 +37,7 @@ f AS (SELECT *, CASE
 g AS (SELECT *, first IS NULL AND length(text) <= 40 AND contains(text, '/') AND regexp_full_match(text, '[A-Za-z0-9._~:/?#\\[\\]@!$&''()*+,;=%-]+') AS orphan FROM f),
 h AS (SELECT *, last_value(CASE WHEN NOT orphan THEN coalesce(first, 'kept') END IGNORE NULLS) OVER (PARTITION BY leaf_id ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM g),
 marked AS (SELECT id, leaf_id, position, text, page_start, page_end, CASE WHEN orphan THEN CASE WHEN before = 'url_only' THEN 'orphan_url_tail' END ELSE first END AS reason FROM h),
-units AS (SELECT * FROM marked WHERE reason IS NULL)
+units AS (SELECT leaf_id, position, text, page_start, page_end, id AS source_ids, '' AS reasons FROM marked WHERE reason IS NULL)
 """
 
 _BULLET = "regexp_matches({0}, '^([•●*-]\\s+|[◦▪])')"
@@ -41,28 +45,70 @@ _ENDS = "regexp_matches({0}, '[.!?…][”\"''’)\\]]*$')"
 _BAND = "regexp_full_match({0}, '(?i)\\d+\\s*[–—-]\\s*\\d+(\\s+months?)?')"
 
 
-def _merged(joins: str, reason: str) -> str:
-    """Merge the rows that `joins` marks in table j with the row before."""
+_UNIT_COLUMNS = "leaf_id, position, text, page_start, page_end, source_ids, reasons"
+
+
+def _islands(name: str, source: str, joins: str, reason: str) -> str:
+    """CTEs that merge the rows of `source` that `joins` marks (a column of it) with the row before."""
+    return f"""
+{name}_k AS (SELECT *, sum(CASE WHEN {joins} THEN 0 ELSE 1 END) OVER (PARTITION BY leaf_id ORDER BY position) AS island FROM {source}),
+{name} AS (SELECT leaf_id, min(position) AS position, string_agg(CASE WHEN {joins} THEN CASE WHEN {_BULLET.format('text')} THEN chr(10) ELSE ' ' END ELSE '' END || text, '' ORDER BY position) AS text,
+  min(page_start) AS page_start, max(page_end) AS page_end, string_agg(source_ids, ',' ORDER BY position) AS source_ids,
+  coalesce(string_agg(nullif(concat_ws(',', nullif(reasons, ''), CASE WHEN {joins} THEN '{reason}' END), ''), ',' ORDER BY position), '') AS reasons
+FROM {name}_k GROUP BY leaf_id, island)"""
+
+
+def _backward(name: str, source: str) -> str:
+    return f"""
+{name}_i AS (SELECT *, lag(text) OVER (PARTITION BY leaf_id ORDER BY position) AS before FROM {source}),
+{name}_j AS (SELECT *, coalesce(before IS NOT NULL AND length(text) <= 40 AND NOT {_BULLET.format('text')} AND NOT {_BAND.format('text')} AND NOT {_ENDS.format('before')}, false) AS joins FROM {name}_i),{_islands(name, f'{name}_j', 'joins', 'short_continuation_backward')}"""
+
+
+def _pairs(name: str, source: str, opens: str, reason: str) -> str:
+    return f"""
+{name}_a AS (SELECT *, CAST({opens} AS INT) AS opens FROM {source}),
+{name}_b AS (SELECT *, sum(1 - opens) OVER (PARTITION BY leaf_id ORDER BY position) AS run FROM {name}_a),
+{name}_c AS (SELECT *, opens = 1 AND sum(opens) OVER (PARTITION BY leaf_id, run ORDER BY position) % 2 = 1 AS takes FROM {name}_b),
+{name}_j AS (SELECT *, coalesce(lag(takes) OVER (PARTITION BY leaf_id ORDER BY position), false) AS joins FROM {name}_c),{_islands(name, f'{name}_j', 'joins', reason)}"""
+
+
+def _folded(name: str, source: str, joins: str, reason: str) -> str:
+    """CTEs that walk through a leaf's rows s with the open unit f and merge where `joins` and the cap allow it."""
+    j = f"(length(f.text) + 1 + length(s.text) <= 3000 AND ({joins}))"
+    either = lambda yes, no: f"CASE WHEN {j} THEN {yes} ELSE {no} END"
+    text = f"rtrim(f.text, ' ' || chr(10)) || CASE WHEN {_BULLET.format('s.text')} THEN chr(10) ELSE ' ' END || ltrim(s.text, ' ' || chr(10))"
     return f"""
-{joins},
-k AS (SELECT *, sum(CASE WHEN joins THEN 0 ELSE 1 END) OVER (PARTITION BY leaf_id ORDER BY position) AS island FROM j)
-SELECT leaf_id, min(position) AS position, string_agg(CASE WHEN joins THEN CASE WHEN {_BULLET.format('text')} THEN chr(10) ELSE ' ' END ELSE '' END || text, '' ORDER BY position) AS text,
-  min(page_start) AS page_start, max(page_end) AS page_end, string_agg(id, ',' ORDER BY position) AS source_ids,
-  coalesce(string_agg(CASE WHEN joins THEN '{reason}' END, ',' ORDER BY position), '') AS reasons
-FROM k GROUP BY leaf_id, island"""
+{name}_s AS (SELECT *, row_number() OVER (PARTITION BY leaf_id ORDER BY position) AS k FROM {source}),
+{name}_f AS (SELECT k, {_UNIT_COLUMNS} FROM {name}_s WHERE k = 1 UNION ALL
+  SELECT s.k, s.leaf_id, {either('f.position', 's.position')}, {either(text, 's.text')}, {either('least(f.page_start, s.page_start)', 's.page_start')}, {either('greatest(f.page_end, s.page_end)', 's.page_end')},
+    {either("f.source_ids || ',' || s.source_ids", 's.source_ids')}, {either(f"concat_ws(',', nullif(f.reasons, ''), nullif(s.reasons, ''), {reason})", 's.reasons')}
+  FROM {name}_f f JOIN {name}_s s ON s.leaf_id = f.leaf_id AND s.k = f.k + 1),
+{name} AS (SELECT {_UNIT_COLUMNS} FROM {name}_f QUALIFY k = max(k) OVER (PARTITION BY leaf_id, position))"""
+
+
+_NESTED = "regexp_matches({0}, '^[◦▪]')"
+_PARENT = "regexp_matches({0}, '^[•●*-]\\s+')"
+_LOWER = "(NOT " + _BULLET + " AND regexp_matches(regexp_extract({0}, '\\p{{L}}'), '\\p{{Ll}}'))"
+
+
+def _bullets(name: str, source: str) -> str:
+    return _folded(name, source, f"{_NESTED.format('s.text')} OR ({_PARENT.format('s.text')} AND {_PARENT.format('f.text')})", f"CASE WHEN {_NESTED.format('s.text')} THEN 'nested_bullet_backward' ELSE 'adjacent_bullets' END")
 
 
-def _pairs(opens: str, reason: str) -> str:
-    return f"WITH {_PARAGRAPHS}" + _merged(
-        f""", a AS (SELECT *, CAST({opens} AS INT) AS opens FROM units),
-b AS (SELECT *, sum(1 - opens) OVER (PARTITION BY leaf_id ORDER BY position) AS run FROM a),
-c AS (SELECT *, opens = 1 AND sum(opens) OVER (PARTITION BY leaf_id, run ORDER BY position) % 2 = 1 AS takes FROM b),
-j AS (SELECT *, coalesce(lag(takes) OVER (PARTITION BY leaf_id ORDER BY position), false) AS joins FROM c)""",
-        reason,
-    )
+def _continuations(name: str, source: str) -> str:
+    return _folded(name, source, f"regexp_full_match(s.text, '\\(.*\\)\\.?') OR {_LOWER.format('s.text')}", "'artifact_continuation_backward'")
+
+
+def _completed(name: str, source: str) -> str:
+    return _folded(name, source, f"contains(f.reasons, 'short_label_forward') AND NOT regexp_matches(f.text, '[•●◦▪]') AND NOT {_ENDS.format('f.text')}", "'label_sentence_completion'")
+
+
+def _units_after(*steps: str) -> str:
+    return f"WITH RECURSIVE {_PARAGRAPHS}," + ",".join(steps)
 
 
 _LABEL = f"(lower(text) IN ('did you know…', 'months milestones') OR (length(text) <= 60 AND NOT {_BULLET.format('text')} AND NOT {_ENDS.format('text')}))"
+_BANDS, _LABELLED = (_BAND.format("text"), "age_band_forward"), (_LABEL, "short_label_forward")
 _REQUESTED = "CASE WHEN length(line) <= 100 THEN 2 WHEN length(line) <= 250 THEN 4 WHEN length(line) <= 500 THEN 6 WHEN length(line) <= 1000 THEN 8 ELSE 10 END"
 
 _UNITS = """units AS (SELECT CAST(o_orderkey AS VARCHAR) AS unit_id, CAST(o_custkey AS VARCHAR) AS leaf_id, CAST(o_orderkey % 7 + 1 AS BIGINT) AS n_questions,
@@ -107,6 +153,41 @@ _PAIRED = """paired AS (SELECT CAST(doc_id AS VARCHAR) AS id, source AS gold_lea
 strata AS (SELECT gold_leaf_id, count(*) AS n, avg(correct_a::INT) AS recall_a, avg(correct_b::INT) AS recall_b, avg((correct_a OR correct_b)::INT) AS recall_either FROM paired GROUP BY 1),
 results AS (SELECT gold_leaf_id AS method, CASE WHEN length(gold_leaf_id) > 4 THEN recall_a END AS a, recall_b AS b, recall_either AS e FROM strata)"""
 
+
+
+def _prompt(n: str, text: str) -> str:
+    """The prompt with its two counts and the passage put in."""
+    parts = [p.replace("'", "''") for p in re.split("%[ds]", PROMPT)]
+    return " || ".join(f"'{p}'" + (f" || {v}" if v else "") for p, v in zip(parts, (n, n, text, "")))
+
+
+def _order_free(rows: str) -> str:
+    """CTEs l1 to l3: the hash of hashes h in `rows`, by their first four and first two digits."""
+    joined = "sha256(string_agg(h, chr(0) ORDER BY h) || chr(0))"
+    return f"l1 AS (SELECT substr(h, 1, 4) AS b, {joined} AS h FROM {rows} GROUP BY 1), l2 AS (SELECT substr(b, 1, 2) AS b, {joined} AS h FROM l1 GROUP BY 1), l3 AS (SELECT {joined} AS h FROM l2)"
+
+
+_NORMAL = "trim(regexp_replace({0}, '\\s+', ' ', 'g'))"
+_TITLE = _NORMAL.format("CASE WHEN nr % 5 = 4 THEN substr(line, 1, 24) ELSE line END")
+
+_BEAMS = "b AS (SELECT doc_id AS id, 'src' || (doc_id % 20) AS gold_leaf_id, i, (doc_id * 7 + i * 5) % 23 AS t FROM documents, unnest(range(0, 5)) AS u(i) WHERE doc_id % 9 <> 0 OR i < 4)"
+
+# Quotes and backslashes go from a line before it becomes a question; documents with number 3 of 5 have no array.
+_G4 = f"""q AS (SELECT doc_id, nr, {_NORMAL.format("replace(replace(line, '\"', ''), chr(92), '') || '?'")} AS q FROM lines), k AS (SELECT *, replace(lower(q), 'ß', 'ss') AS key FROM q),
+f AS (SELECT doc_id, arg_min(q, nr) AS q, min(nr) AS nr FROM k GROUP BY doc_id, key), t AS (SELECT doc_id, array_to_string(list(q ORDER BY nr)[1:6], '|') AS questions, count(*) AS n FROM f GROUP BY doc_id)
+SELECT doc_id AS unit_id, CASE WHEN doc_id % 5 <> 3 AND n > 1 THEN questions END AS questions, CASE WHEN doc_id % 5 = 3 THEN 'no array' WHEN n < 2 THEN 'too few valid questions' END AS error FROM t"""
+
+_P3 = f"""b AS (SELECT doc_id, nr, {_TITLE} AS title, CASE nr % 5 WHEN 1 THEN 'x' || chr(10) || line || chr(10) || 'y' WHEN 2 THEN '7 ' || upper({_TITLE}) WHEN 3 THEN {_TITLE} || ' | 12' ELSE line END AS block, line FROM lines WHERE trim(line) <> ''),
+n AS (SELECT *, {_NORMAL.format('block')} AS t, replace(lower(title), 'ß', 'ss') AS wanted FROM b), k AS (SELECT *, replace(lower(t), 'ß', 'ss') AS key FROM n), f AS (SELECT *, starts_with(key, wanted) AND contains(t, '|') AS footer FROM k)
+SELECT doc_id, nr AS block_no, CAST(CASE WHEN key = wanted THEN 0 WHEN nr % 5 = 1 THEN 1 WHEN contains(t, upper(title)) AND NOT footer THEN 2 WHEN footer THEN 3 END AS INT) AS priority FROM f"""
+
+_P9 = f"""b AS (SELECT doc_id, nr, nr // 12 AS segment, CAST(nr // 30 + 1 AS INT) AS page, {_NORMAL.format('line')} AS t, CASE WHEN nr % 5 = 3 THEN 70.0 ELSE 57.0 END AS x0, CASE WHEN nr % 4 = 1 THEN 400.0 ELSE 555.0 END AS x1, 30.0 + nr % 30 * 25.0 AS y0, 30.0 + nr % 30 * 25.0 + CASE WHEN nr % 7 = 0 THEN 10.0 ELSE 22.0 END AS y1 FROM lines),
+r AS (SELECT * FROM b WHERE nr % 12 <> 0 AND segment % 3 <> 2 AND t <> '' AND y1 > 40 AND y0 < 792 - 45),
+m AS (SELECT *, CASE WHEN x0 > 56.7 + 5 OR (lag(x1) OVER w < 557.7 - 20 AND regexp_matches(lag(t) OVER w, '[.!?][”"''’)\\]]*$')) OR y0 - lag(y1) OVER w > 6 OR regexp_matches(t, '^([•●▪◦*-]|\\d+[.)]|[A-Za-z][.)])\\s+') THEN 1 ELSE 0 END AS starts FROM r WINDOW w AS (PARTITION BY doc_id, segment ORDER BY nr)),
+g AS (SELECT *, sum(starts) OVER (PARTITION BY doc_id, segment ORDER BY nr) AS run FROM m),
+p AS (SELECT doc_id, segment, run, min(page) AS page_start, max(page) AS page_end, trim(string_agg(t || CASE WHEN ends_with(t, '-') THEN '' ELSE ' ' END, '' ORDER BY nr)) AS text FROM g GROUP BY ALL)
+SELECT doc_id, doc_id || '-' || segment AS leaf_id, doc_id || '-' || segment || '-p' || printf('%03d', row_number() OVER (PARTITION BY doc_id, segment ORDER BY run)) AS id, page_start, page_end, text, CAST(length(text) AS INT) AS character_count FROM p"""
+
 _PAGES = "texts AS (SELECT page_id AS page, regexp_replace(html, '<[^>]*>', chr(10), 'g') AS text, regexp_extract(html, '<h1>([^<]*)</h1>', 1) AS title FROM pages)"
 _KEY = "replace(lower(trim(regexp_replace({0}, '\\s+', ' ', 'g'))), 'ß', 'ss')"
 
@@ -118,6 +199,17 @@ def oracle_sql() -> dict[str, str]:
     lines = f"WITH {_LINES}"
     return {
         "t1_outline_nodes": _NODES + "SELECT book, position, level, title, parent_position, id, parent_id, canonical_path, depth, is_leaf, is_retrieval_leaf FROM nodes",
+        "s1_json_array": "SELECT n_nationkey, n_name, n_regionkey FROM nation",
+        "s2_jsonl": "SELECT c_custkey, c_name, c_nationkey, CASE WHEN c_custkey % 3 <> 0 THEN c_mktsegment END AS c_mktsegment FROM customer",
+        "s3_missing": "SELECT c_custkey, c_name FROM customer WHERE false",
+        "s4_first_record": "SELECT r_regionkey, r_name FROM region ORDER BY r_regionkey LIMIT 1",
+        "s7_text_blocks": f"WITH {_PAGES}, l AS (SELECT page, string_split(text, chr(10)) AS l FROM texts) SELECT page, CAST(i - 1 AS INT) AS block_no, l[i] AS text FROM l, unnest(range(1, len(l) + 1)) AS u(i)",
+        "s9_vectors": "SELECT CAST(vec_id AS VARCHAR) AS id, len(embedding)::INT AS n, round(CAST(embedding[1] AS DOUBLE), 6) AS first FROM embeddings",
+        "k4_batches": "SELECT CAST(r_regionkey % 2 AS INT) AS batch, r_name AS name FROM region",
+        "k5_quarantine": "SELECT o_orderkey AS unit_id, CASE WHEN o_orderkey % 7 = 0 THEN 'no array' END AS error, o_orderkey % 7 <> 0 AS accepted FROM orders",
+        "k6_manifest": f"""WITH r AS (SELECT sha256(to_json({{'n_name': n_name, 'n_nationkey': n_nationkey, 'n_regionkey': n_regionkey}})::VARCHAR) AS h FROM nation), {_order_free('r')}
+SELECT 'nation' AS name, (SELECT count(*) FROM nation) AS n_rows, h AS sha256 FROM l3""",
+        "k7_replace": "SELECT s_suppkey, s_name FROM supplier WHERE s_suppkey % 2 = 0",
         "t8_profile": f"SELECT count(*) AS n_nodes, max(level) AS max_level FROM ({_OUTLINE}) AS x",
         "t9_repeated_titles": _NODES + "SELECT title, count(*) AS n, string_agg(book || '/' || id, ',' ORDER BY book || '/' || id) AS ids FROM nodes WHERE is_leaf GROUP BY title HAVING count(*) > 1",
         "t10_heading_coverage": f"WITH {_PAGES} SELECT page, title, contains({_KEY.format('CASE WHEN page % 3 <> 0 THEN text ELSE ' + chr(39) * 2 + ' END')}, {_KEY.format('title')}) AS covered FROM texts",
@@ -133,20 +225,26 @@ heads AS (SELECT l.doc_id, CAST(nr // 10 + 1 AS INT) AS page FROM lines l WHERE
 nxt AS (SELECT *, lead(page) OVER (PARTITION BY doc_id ORDER BY page) AS end_page FROM heads),
 s AS (SELECT n.doc_id, n.page AS position, n.page, trim(string_agg(p.text, chr(10) ORDER BY p.page)) AS text FROM nxt n JOIN pg p ON p.doc_id = n.doc_id AND p.page >= n.page AND p.page < coalesce(n.end_page, 1000000) GROUP BY ALL)
 SELECT doc_id, position, page, trim(text, ' ' || chr(10)) AS text, CAST(length(trim(text, ' ' || chr(10))) AS INT) AS character_count FROM s""",
+        "p3_heading_priority": f"{lines}, {_P3}",
+        "p9_paragraphs": f"{lines}, {_P9}",
         "p10_length_stats": f"{lines} SELECT count(*) AS n, median(length(line)) AS median_length, CAST(min(length(line)) AS INT) AS min_length, CAST(max(length(line)) AS INT) AS max_length FROM lines",
         "p11_extremes": """SELECT * FROM (SELECT doc_id AS id, CAST(length(text) AS INT) AS character_count, 'shortest' AS "end" FROM documents ORDER BY length(text), doc_id LIMIT 5) x
 UNION ALL SELECT * FROM (SELECT doc_id, CAST(length(text) AS INT), 'longest' FROM documents ORDER BY length(text) DESC, doc_id LIMIT 5) y""",
         "u5_removals": f"WITH {_PARAGRAPHS} SELECT id, leaf_id, reason FROM marked",
-        "u6_backward_fragments": f"WITH {_PARAGRAPHS}" + _merged(
-            f""", i AS (SELECT *, lag(text) OVER (PARTITION BY leaf_id ORDER BY position) AS before FROM units),
-j AS (SELECT *, coalesce(before IS NOT NULL AND length(text) <= 40 AND NOT {_BULLET.format('text')} AND NOT {_BAND.format('text')} AND NOT {_ENDS.format('before')}, false) AS joins FROM i)""",
-            "short_continuation_backward",
-        ),
-        "u7_age_bands": _pairs(_BAND.format("text"), "age_band_forward"),
-        "u8_labels": _pairs(_LABEL, "short_label_forward"),
+        "u6_backward_fragments": _units_after(_backward("a", "units")) + f" SELECT {_UNIT_COLUMNS} FROM a",
+        "u7_age_bands": _units_after(_pairs("a", "units", *_BANDS)) + f" SELECT {_UNIT_COLUMNS} FROM a",
+        "u8_labels": _units_after(_pairs("a", "units", *_LABELLED)) + f" SELECT {_UNIT_COLUMNS} FROM a",
+        "u9_bullets": _units_after(_bullets("a", "units")) + f" SELECT {_UNIT_COLUMNS} FROM a",
+        "u10_continuations": _units_after(_continuations("a", "units")) + f" SELECT {_UNIT_COLUMNS} FROM a",
+        "u11_label_sentences": _units_after(_pairs("a", "units", *_LABELLED), _completed("b", "a")) + f" SELECT {_UNIT_COLUMNS} FROM b",
+        "u12_foreign_sources": "SELECT '' AS id, 0::BIGINT AS leaf_id WHERE false",
+        "u13_units": _units_after(_backward("a", "units"), _pairs("b", "a", *_BANDS), _pairs("c", "b", *_LABELLED), _bullets("d", "c"), _continuations("e", "d"), _completed("f_", "e"))
+        + " SELECT leaf_id || '-g' || printf('%03d', row_number() OVER (PARTITION BY leaf_id ORDER BY position)) AS id, leaf_id, text, page_start, page_end, source_ids, reasons, CAST(length(text) AS INT) AS character_count FROM f_",
         "u14_provenance": "SELECT '' AS id, '' AS problem WHERE false",
-        "u15_reason_histogram": f"WITH {_PARAGRAPHS}, merged AS ({_pairs(_BAND.format('text'), 'age_band_forward')}) SELECT 'removal' AS kind, reason, count(*) AS n FROM marked WHERE reason IS NOT NULL GROUP BY reason UNION ALL SELECT 'merge', r, count(*) FROM (SELECT unnest(string_split(reasons, ',')) AS r FROM merged WHERE reasons <> '') x GROUP BY r",
+        "u15_reason_histogram": _units_after(_pairs("merged", "units", *_BANDS)) + " SELECT 'removal' AS kind, reason, count(*) AS n FROM marked WHERE reason IS NOT NULL GROUP BY reason UNION ALL SELECT 'merge', r, count(*) FROM (SELECT unnest(string_split(reasons, ',')) AS r FROM merged WHERE reasons <> '') x GROUP BY r",
         "g1_counts": f"{lines} SELECT {_REQUESTED} AS requested, count(*) AS n FROM lines GROUP BY 1",
+        "g2_prompts": f"{lines} SELECT doc_id || '-' || nr AS id, sha256({_prompt(f'({_REQUESTED})', 'line')}) AS prompt_sha256 FROM lines",
+        "g4_clean_questions": f"{lines}, {_G4}",
         "g5_pending": f"{lines} SELECT doc_id || '-' || nr AS id FROM lines WHERE nr % 3 <> 0",
         "g6_first_pending": f"{lines} SELECT doc_id || '-' || nr AS id, CAST(length(line) AS INT) AS character_count FROM lines ORDER BY 1 LIMIT 10",
         "g7_planned_totals": f"{lines} SELECT count(*) AS n_units, CAST(sum({_REQUESTED}) AS BIGINT) AS n_questions FROM lines",
@@ -161,12 +259,14 @@ SELECT leaf_id, split, CAST(base + CAST(row_number() OVER (PARTITION BY leaf_id
         "d10_split_counts": f"WITH {_UNITS} SELECT split, count(*) AS n_units, CAST(sum(n_questions) AS BIGINT) AS n_questions, count(DISTINCT leaf_id) AS n_leaves FROM covered WHERE split IS NOT NULL GROUP BY split",
         "r1_label_violations": _LABELS + "SELECT a.id, gold_leaf_id, CASE WHEN l.leaf_id IS NULL THEN 'unknown leaf' ELSE 'other path' END AS problem FROM asked a LEFT JOIN (SELECT * FROM labels_ WHERE leaf_id NOT LIKE '%7') l ON l.leaf_id = gold_leaf_id WHERE l.leaf_id IS NULL OR l.canonical_path <> gold_path",
         "r2_method_rows": _LABELS + "SELECT id, query, gold_leaf_id, method, target FROM made",
-        "r3_prompts": _LABELS + "SELECT id, method, 'Outline of ' || method || chr(10) || 'Question: ' || query || chr(10) || 'Answer: ' AS prompt FROM made",
+        "r3_prompts": _LABELS + f""", toc AS (SELECT book, string_agg(repeat('  ', level - 1) || '- ' || title, chr(10) ORDER BY position) AS toc, max(CASE WHEN level = 1 THEN title END) AS root FROM o GROUP BY book)
+SELECT id, method, sha256(CASE WHEN method = 'id' THEN replace('{ID_PROMPT}', '{{query}}', query) ELSE replace(replace('{PATH_PROMPT}', '{{toc}}', toc), '{{query}}', query) END) AS prompt_sha256 FROM made JOIN toc ON root = string_split(gold_leaf_id, '/')[1]""",
         "r4_catalog": _LABELS + "SELECT DISTINCT method, target, gold_leaf_id AS leaf_id FROM made",
         "r5_trie": _TRIE + "SELECT book, prefix, next_tokens FROM trie",
         "r6_allowed_next": _TRIE + ", w AS (SELECT DISTINCT book, array_to_string(list_filter(t, lambda x: x <> '<eos>')[1:2], ' ') AS prefix FROM t), v AS (SELECT * FROM w UNION ALL SELECT book, prefix || ' nowhere' FROM w) SELECT v.book, v.prefix, coalesce(next_tokens, '<eos>') AS next_tokens FROM v LEFT JOIN trie ON trie.book = v.book AND trie.prefix = v.prefix",
-        "r7_beams": """WITH b AS (SELECT doc_id AS id, 'src' || (doc_id % 20) AS gold_leaf_id, i, (doc_id * 7 + i * 5) % 23 AS t FROM documents, unnest(range(0, 5)) AS u(i))
-SELECT id, gold_leaf_id, CAST(min(CASE WHEN t < 20 AND 'src' || t = gold_leaf_id THEN i + 1 END) AS INT) AS gold_rank_at_k, count(*) FILTER (WHERE t >= 20) AS n_unknown FROM b GROUP BY ALL""",
+        "r7_beams": f"WITH {_BEAMS} SELECT id, gold_leaf_id, CAST(min(CASE WHEN t < 20 AND 'src' || t = gold_leaf_id THEN i + 1 END) AS INT) AS gold_rank_at_k, count(*) FILTER (WHERE t >= 20) AS n_unknown FROM b GROUP BY ALL",
+        "r7_ranked_targets": f"WITH {_BEAMS} SELECT id, CAST(i + 1 AS INT) AS rank, 't' || t AS target, CASE WHEN t < 20 THEN 'src' || t END AS leaf_id, -0.5 * i AS sequence_score FROM b",
+        "r7_beam_violations": f"WITH {_BEAMS} SELECT DISTINCT id, NULL::VARCHAR AS target, 'beam count' AS problem FROM b WHERE id % 9 = 0 UNION ALL SELECT id, 't' || t, 'unknown target' FROM b WHERE t >= 20",
         "r8_examples": f"WITH {_EXAMPLES} SELECT id, array_to_string(x, ' ') AS input_ids, array_to_string(y, ' ') AS labels, len(x) > 13 AS too_long FROM examples",
         "r9_padded": f"""WITH {_EXAMPLES}, w AS (SELECT *, CAST(ceil(max(len(x)) OVER (PARTITION BY id // 16) / 8) * 8 AS INT) - len(x) AS gap FROM examples WHERE len(x) <= 13)
 SELECT id, array_to_string(list_concat(x, list_transform(range(0, gap), lambda i: 1)), ' ') AS input_ids, array_to_string(list_concat(y, list_transform(range(0, gap), lambda i: -100)), ' ') AS labels,
@@ -183,7 +283,10 @@ SELECT run, epoch, improved, best, CAST(since AS INT) AS since, since >= 2 AS st
         "q4_top_k": f"""WITH {_BM25}, every AS (SELECT item_id AS query_id, d.doc_id AS leaf_id, coalesce(score, 0) AS score, row_number() OVER (PARTITION BY item_id ORDER BY coalesce(score, 0) DESC, d.doc_id) AS rank
   FROM benchmark b CROSS JOIN documents d LEFT JOIN scored s ON s.query_id = b.item_id AND s.leaf_id = d.doc_id)
 SELECT query_id, leaf_id, round(score, 6) AS score, CAST(rank AS INT) AS rank FROM every WHERE rank <= 5""",
+        "q4_ranking": f"WITH {_BM25} SELECT query_id, leaf_id, round(score, 6) AS score, CAST(rank AS INT) AS rank FROM ranked",
         "q5_gold_ranks": f"WITH {_BM25} SELECT query_id, gold_leaf_id, gold_rank FROM ranks",
+        "q13_report": f"WITH {_BM25} SELECT r.query_id, CAST(rank AS INT) AS rank, r.leaf_id, round(score, 6) AS score, r.leaf_id = g.gold_leaf_id AS is_gold, gold_rank FROM ranked r JOIN ranks g USING (query_id) WHERE rank <= 5",
+        "q14_fingerprint": f"WITH h AS (SELECT sha256(doc_id || chr(0) || coalesce(text, '') || chr(0)) AS h FROM documents), {_order_free('h')} SELECT (SELECT count(*) FROM h) AS n_rows, h AS fingerprint FROM l3",
         "q10_dense": """WITH e AS (SELECT label, i, avg(CAST(embedding[i] AS DOUBLE)) AS x FROM embeddings, unnest(range(1, len(embedding) + 1)) AS u(i) GROUP BY ALL),
 c AS (SELECT label, list(x ORDER BY i) AS v FROM e GROUP BY label), m AS (SELECT label, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS v FROM c),
 q AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
@@ -195,7 +298,8 @@ SELECT q.vec_id AS query_id, round(list_dot_product(q.v, a.v), 6) AS gold_score,
         "m1_micro": f"WITH {_BM25}, m AS (SELECT count(*) AS n_queries, {_means()}, list_sort(list(gold_rank))[count(*) // 2 + 1] AS median_rank FROM ranks) SELECT n_queries, {_ROUNDED}, CAST(median_rank AS BIGINT) AS median_rank FROM m",
         "m5_leaf": f"WITH {_BM25}, m AS (SELECT lang, count(*) AS n_queries, {_means()} FROM ranks GROUP BY lang) SELECT lang, n_queries, {_ROUNDED} FROM m",
         "m6_macro": f"WITH {_BM25}, m AS (SELECT lang, {_means()} FROM ranks GROUP BY lang) SELECT count(*) AS n_leaves, " + ", ".join(f"round(avg({m}), 6) AS {m}" for m in _MEASURES) + " FROM m",
-        "m7_truncated": f"WITH {_BM25}, t AS (SELECT CASE WHEN gold_rank <= 3 THEN gold_rank END AS gold_rank FROM ranks), m AS (SELECT count(*) AS n_queries, {_means()} FROM t) SELECT n_queries, " + ", ".join(f"round({m}, 6) AS {m}" for m in _MEASURES[:-1]) + " FROM m",
+        "m7_truncated": f"WITH {_BM25}, t AS (SELECT CASE WHEN gold_rank <= 5 THEN gold_rank END AS gold_rank FROM ranks), m AS (SELECT count(*) AS n_queries, {_means()} FROM t) SELECT n_queries, " + ", ".join(f"round({m}, 6) AS {m}" for m in _MEASURES[:-1]) + " FROM m",
+        "m9_latency": "SELECT c_custkey AS run, round(CASE WHEN c_custkey % 7 <> 0 THEN CAST(c_acctbal AS DOUBLE) * 1000 / (c_custkey % 7) END, 6) AS ms_per_query FROM customer",
         "c1_pairing": "SELECT CAST(doc_id AS VARCHAR) AS id, CASE doc_id % 10 WHEN 4 THEN 'only in second' WHEN 3 THEN 'only in first' ELSE 'fields differ' END AS problem FROM documents WHERE doc_id % 10 IN (3, 4, 5)",
         "c3_outcomes": f"WITH {_PAIRED} SELECT outcome, (SELECT count(*) FROM paired WHERE CASE WHEN correct_a AND correct_b THEN 'both_correct' WHEN correct_a THEN 'first_only' WHEN correct_b THEN 'second_only' ELSE 'both_wrong' END = outcome) AS n FROM (VALUES ('both_correct'), ('first_only'), ('second_only'), ('both_wrong')) AS o(outcome)",
         "c4_mcnemar": """WITH p AS (SELECT DISTINCT c_custkey % 60 AS b, c_custkey % 47 AS c FROM customer)
@@ -214,7 +318,9 @@ SELECT CAST(doc_id AS VARCHAR) AS id, 'missing' AS problem FROM documents WHERE
 UNION ALL SELECT DISTINCT id, 'extra' FROM o WHERE id NOT IN (SELECT CAST(doc_id AS VARCHAR) FROM documents)
 UNION ALL SELECT id, 'duplicate' FROM o GROUP BY id HAVING count(*) > 1 UNION ALL SELECT id, 'empty' FROM o WHERE id = ''""",
         "v2_counts": "SELECT coalesce(w.lang, g.lang) AS lang, expected, n FROM (VALUES ('en', 620::BIGINT), ('fr', 1), ('xx', 3)) AS w(lang, expected) FULL JOIN (SELECT lang, count(*) AS n FROM documents GROUP BY lang) g ON g.lang = w.lang WHERE expected IS DISTINCT FROM n",
-        "v3_consistency": "SELECT doc_id AS id, CASE WHEN doc_id % 50 = 0 THEN 'character_count' ELSE 'page range' END AS problem FROM documents WHERE doc_id % 50 = 0 OR doc_id % 5 > doc_id % 7",
+        "v3_consistency": """WITH d AS (SELECT *, doc_id % 50 = 0 AS off, doc_id % 5 > doc_id % 7 AS turned, doc_id % 13 = 0 AS renamed, doc_id % 17 = 0 AS moved FROM documents)
+SELECT doc_id AS id, problem FROM d, (VALUES ('empty'), ('character_count'), ('page range'), ('leaf title'), ('path')) AS p(problem)
+WHERE CASE problem WHEN 'empty' THEN trim(text) = '' WHEN 'character_count' THEN length(text) <> n_chars + CASE WHEN off THEN 1 ELSE 0 END WHEN 'page range' THEN turned WHEN 'leaf title' THEN renamed ELSE moved END""",
         "v4_numbering": f"{lines} SELECT * FROM (SELECT doc_id || '-' || nr AS id, doc_id AS leaf_id, CAST(nr + 1 AS INT) AS number, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY nr) AS INT) AS expected FROM lines WHERE nr % 9 <> 4) x WHERE number <> expected",
         "v5_patterns": f"{lines} SELECT doc_id || '-' || nr AS id, problem FROM lines, (VALUES ('licence', '(?i)licen[cs]ed under'), ('mail', '@'), ('capitals', '[A-Z]{{6}}')) AS p(problem, pattern) WHERE regexp_matches(line, pattern)",
         "v6_questions": f"""{lines}, q AS (SELECT doc_id AS unit_id, line || CASE WHEN nr % 6 = 5 THEN '.' ELSE '?' END AS question FROM lines), k AS (SELECT *, {_KEY.format('question')} AS key FROM q)
@@ -223,6 +329,9 @@ UNION ALL SELECT unit_id, key, 'repeated in unit' FROM k GROUP BY ALL HAVING cou
 UNION ALL SELECT min(unit_id), key, 'repeated across units' FROM k GROUP BY key HAVING count(DISTINCT unit_id) > 1""",
         "v7_unresolved": "SELECT doc_id AS unit_id FROM documents WHERE doc_id % 3 = 0 AND doc_id % 4 <> 1 AND doc_id % 6 <> 0",
         "v9_leakage": "SELECT doc_id AS source_unit_id, 2::BIGINT AS n_splits FROM documents WHERE doc_id % 40 = 7",
+        "v10_coverage": f"""WITH {_UNITS}, bad AS (SELECT leaf_id, CASE WHEN leaf_id LIKE '%3' THEN 'train' WHEN leaf_id LIKE '%5' AND split = 'train' THEN 'test' ELSE coalesce(split, 'train') END AS split FROM covered),
+h AS (SELECT leaf_id, count(*) AS n_units, count(*) FILTER (WHERE split = 'train') AS a, count(*) FILTER (WHERE split = 'test') AS b, count(*) FILTER (WHERE split = 'dev') AS c FROM bad GROUP BY 1)
+SELECT leaf_id, n_units, split FROM h, (VALUES ('train'), ('test'), ('dev')) AS s(split) WHERE CASE split WHEN 'train' THEN a = 0 WHEN 'test' THEN (n_units >= 2) <> (b > 0) ELSE (n_units >= 3) <> (c > 0) END""",
         "v11_constraints": f"WITH {_UNITS} SELECT unit_id, 'dev' AS split FROM covered WHERE split_constraint = 'train_only' AND length(unit_id) = 4",
         "v12_difference": """SELECT doc_id, lang, sha256(text) AS text_sha256, 'first' AS side FROM documents WHERE doc_id % 21 = 0 OR doc_id % 25 = 1
 UNION ALL SELECT doc_id, 'zz', sha256(text), 'second' FROM documents WHERE doc_id % 21 <> 0 AND doc_id % 25 = 1""",

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.text import order_free_hash
+
 VECTORS = T.StructType([T.StructField("id", T.StringType()), T.StructField("embedding", T.ArrayType(T.FloatType()))])
 
 
@@ -70,12 +75,22 @@ def write_jsonl(rows: DataFrame, path: str) -> None:
 
 
 def write_json_array(rows: DataFrame, path: str, order: str) -> None:
-    """K1: the rows in order as one indented JSON array; the table is a book's, so one task writes it."""
+    """K1: the rows in order as one indented JSON array, streamed by the one task that one file needs."""
     text = F.to_json(F.struct(*rows.columns), {"pretty": "true", "ignoreNullFields": "false"})
-    last = F.lead(F.lit(1)).over(Window.orderBy(order)).isNull()
-    first = F.row_number().over(Window.orderBy(order)) == 1
-    line = F.concat(F.when(first, "[\n").otherwise(""), text, F.when(last, "\n]").otherwise(","))
-    rows.select(line.alias("value"), F.col(order).alias("o")).coalesce(1).sortWithinPartitions("o").select("value").write.mode("overwrite").text(path)
+    ordered = rows.select(text.alias("value"), F.col(order).alias("o")).repartition(1).sortWithinPartitions("o").select("value")
+
+    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = lambda x: pa.RecordBatch.from_arrays([pa.array(x, pa.string())], names=["value"])
+        before = None
+        for batch in batches:
+            out = []
+            for text in batch.column("value").to_pylist():
+                out.append("[" if before is None else before + ",")
+                before = text
+            yield made(out)
+        yield made(["[", "]"] if before is None else [before, "]"])
+
+    ordered.mapInArrow(lines, "value string").write.mode("overwrite").text(path)
 
 
 def append_batch(rows: DataFrame, path: str, batch: int) -> None:
@@ -89,13 +104,11 @@ def write_quarantine(accepted: DataFrame, failed: DataFrame, accepted_path: str,
     failed.write.mode("append").json(failed_path)
 
 
-def manifest(tables: dict[str, DataFrame], key: str = "id") -> DataFrame:
+def manifest(tables: dict[str, DataFrame]) -> DataFrame:
     """K6: name, rows and a content hash of each table, independent of row order."""
     out = None
     for name, df in tables.items():
-        h = F.sha2(F.to_json(F.struct(*sorted(df.columns))), 256)
-        buckets = df.select(h.alias("h")).groupBy(F.substring("h", 1, 2).alias("b")).agg(F.count("*").alias("n"), F.sha2(F.array_join(F.sort_array(F.collect_list("h")), ""), 256).alias("h"))
-        one = buckets.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"), F.sha2(F.array_join(F.sort_array(F.collect_list("h")), ""), 256).alias("sha256")).select(F.lit(name).alias("name"), "n_rows", "sha256")
+        one = order_free_hash(df.select(F.sha2(F.to_json(F.struct(*sorted(df.columns))), 256).alias("h"))).select(F.lit(name).alias("name"), "n_rows", F.col("h").alias("sha256"))
         out = one if out is None else out.unionByName(one)
     return out
 
