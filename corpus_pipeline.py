@@ -2,16 +2,23 @@
 benchmark passages, and what is left is packed into windows of tokens.
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; run() writes each result as
-Parquet into the shared folder and reads it again for the next stage.
+Parquet into the folder that all executors share, reads it again for the next stage, and removes it when the stage
+after that is written. The input of the last stage stays, since the result reads it.
+
+Defined cases: a null text counts as empty and passes the first four stages; a row without doc_id is judged by
+quality and benchmark like others, neither holds nor loses lines, and is nobody's copy; rows that repeat stay or go
+together; texts may have any length; columns beside doc_id and text are carried along under any name, but n_chars,
+which is counted anew where lines go; an empty table gives an empty result. Which copy of a group stays does not
+depend on the order of rows: it is the smallest doc_id.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from treatise.functions.settled import shared_folder
 from treatise.llm import decontamination, line_dedup, minhash, packing, quality
 from treatise.llm._store import table
 from treatise.plans.ship import ship
@@ -62,12 +69,18 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pieces that the last stage makes of documents."""
     ship(spark)
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="pipeline")
+    base = f"{shared_folder(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
     for number, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if number < len(STAGES) - 1:
-            path = f"{shared.rstrip('/')}/pipeline-{uuid.uuid4().hex}-{number}"
-            docs.write.parquet(path)
-            docs = spark.read.parquet(path)
+            docs.write.parquet(f"{base}-{number}")
+            docs = spark.read.parquet(f"{base}-{number}")
+            _remove(spark, f"{base}-{number - 1}")
     return docs
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder on whatever file system it is; none is no error."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
