@@ -81,6 +81,13 @@ def bm25_scores(corpus: DataFrame | Index, queries: DataFrame) -> DataFrame:
     return hits.groupBy("query_id", "leaf_id").agg(F.round(F.sum("part"), DIGITS).alias("score")).where("score <> 0")
 
 
+def overlap_scores(corpus: Index, queries: DataFrame) -> DataFrame:
+    """(query_id, leaf_id, score): the number of distinct terms that a query and a document share, a plain retriever to compare with."""
+    asked = settle(with_term_counts(queries.select("query_id", "query"), "query").select("query_id", F.explode("terms").alias("term")))
+    held = corpus.counted.select("leaf_id", F.explode("terms").alias("term"))
+    return held.join(_bounded(asked), "term").groupBy("query_id", "leaf_id").agg(F.count("*").cast("double").alias("score"))
+
+
 def verbatim_golds(corpus: Index, queries: DataFrame) -> DataFrame:
     """(query_id, gold_leaf_id): the smallest document that holds a query's text as it stands.
 

@@ -141,6 +141,12 @@ ranked AS (SELECT g.query_id, d.doc_id AS leaf_id, d.lang, coalesce(score, 0) AS
 ranks AS (SELECT r.query_id, leaf_id AS gold_leaf_id, lang, CAST(rank AS INT) AS gold_rank FROM ranked r JOIN golds g ON g.query_id = r.query_id AND g.gold_leaf_id = r.leaf_id)"""
 
 
+_RETRIEVERS = f"""{_BM25},
+shared AS (SELECT query_id, leaf_id, CAST(count(*) AS DOUBLE) AS score FROM times JOIN posted USING (term) GROUP BY ALL),
+ranked_b AS (SELECT g.query_id, d.doc_id AS leaf_id, row_number() OVER (PARTITION BY g.query_id ORDER BY coalesce(score, 0) DESC, d.doc_id) AS rank FROM golds g CROSS JOIN documents d LEFT JOIN shared s ON s.query_id = g.query_id AND s.leaf_id = d.doc_id),
+both_ AS (SELECT a.query_id, a.lang, a.gold_rank AS ra, b.rank AS rb FROM ranks a JOIN ranked_b b ON b.query_id = a.query_id AND b.leaf_id = a.gold_leaf_id)"""
+
+
 def _means(rank: str = "gold_rank") -> str:
     recall = ", ".join(f"avg(CASE WHEN {rank} <= {k} THEN 1.0 ELSE 0.0 END) AS recall_at_{k}" for k in (1, 3, 5))
     return f"{recall}, avg(coalesce(1.0 / {rank}, 0.0)) AS mrr, avg(CASE WHEN {rank} <= 3 THEN 1.0 / log2({rank} + 1) ELSE 0.0 END) AS ndcg_at_3, avg({rank}) AS mean_rank"
@@ -302,6 +308,11 @@ SELECT q.vec_id AS query_id, round(list_dot_product(q.v, a.v), 6) AS gold_score,
         "m9_latency": "SELECT c_custkey AS run, round(CASE WHEN c_custkey % 7 <> 0 THEN CAST(c_acctbal AS DOUBLE) * 1000 / (c_custkey % 7) END, 6) AS ms_per_query FROM customer",
         "c1_pairing": "SELECT CAST(doc_id AS VARCHAR) AS id, CASE doc_id % 10 WHEN 4 THEN 'only in second' WHEN 3 THEN 'only in first' ELSE 'fields differ' END AS problem FROM documents WHERE doc_id % 10 IN (3, 4, 5)",
         "c3_outcomes": f"WITH {_PAIRED} SELECT outcome, (SELECT count(*) FROM paired WHERE CASE WHEN correct_a AND correct_b THEN 'both_correct' WHEN correct_a THEN 'first_only' WHEN correct_b THEN 'second_only' ELSE 'both_wrong' END = outcome) AS n FROM (VALUES ('both_correct'), ('first_only'), ('second_only'), ('both_wrong')) AS o(outcome)",
+        "c2_retrievers": f"WITH {_RETRIEVERS} SELECT CAST(query_id AS VARCHAR) AS id, lang AS gold_leaf_id, ra = 1 AS correct_a, rb = 1 AS correct_b, CASE WHEN ra = 1 AND rb = 1 THEN 'both_correct' WHEN ra = 1 THEN 'first_only' WHEN rb = 1 THEN 'second_only' ELSE 'both_wrong' END AS outcome, 2 AS depth FROM both_",
+        "c6_retrievers": f"WITH {_RETRIEVERS}, s AS (SELECT lang, count(*) AS n, avg((ra = 1)::INT) AS a, avg((rb = 1)::INT) AS b, avg((ra = 1 OR rb = 1)::INT) AS e FROM both_ GROUP BY lang) SELECT lang AS gold_leaf_id, n, round(a, 6) AS recall_a, round(b, 6) AS recall_b, round(e, 6) AS recall_either, round(b - a, 6) AS delta FROM s",
+        "k8_retrievers": f"""WITH {_RETRIEVERS}, r AS (SELECT 'BM25' AS method, ra AS r FROM both_ UNION ALL SELECT 'Shared terms', rb FROM both_),
+s AS (SELECT method, avg((r <= 1)::INT) AS a, avg((r <= 3)::INT) AS b, avg((r <= 5)::INT) AS c, avg(1.0 / r) AS m FROM r GROUP BY method)
+SELECT '| Method | R@1 | R@3 | R@5 | MRR |' || chr(10) || '| --- | ---: | ---: | ---: | ---: |' || chr(10) || string_agg(printf('| %s | %.4f | %.4f | %.4f | %.4f |', method, a, b, c, m), chr(10) ORDER BY a DESC, method) AS markdown FROM s""",
         "c4_mcnemar": """WITH p AS (SELECT DISTINCT c_custkey % 60 AS b, c_custkey % 47 AS c FROM customer)
 SELECT b, c, round(least(1.0, 2 * (SELECT sum(exp(lgamma(b + c + 1) - lgamma(i + 1) - lgamma(b + c - i + 1) - (b + c) * ln(2))) FROM unnest(range(0, least(b, c) + 1)) AS u(i))), 9) AS p_value FROM p""",
         "c7_strata": f"WITH {_PAIRED} SELECT depth, gold_leaf_id, n, round(recall_a, 6) AS recall_a, round(recall_b, 6) AS recall_b, round(recall_either, 6) AS recall_either, round(recall_b - recall_a, 6) AS delta FROM strata, (SELECT 3 AS depth) x",

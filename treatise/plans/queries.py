@@ -572,6 +572,34 @@ def c3_outcomes(spark, d):
     return metrics.outcome_histogram(_paired(spark, d))
 
 
+def _retrievers(spark, d):
+    """Gold ranks of the same items by BM25 and by shared terms: two tables (id, gold_leaf_id, canonical_path, gold_rank)."""
+    docs, items = _corpus(spark, d)
+    corpus = ranking.index(docs)
+    golds = settle(ranking.verbatim_golds(corpus, items))
+    asked = items.join(golds, "query_id", "left_semi")
+    facts = _table(spark, d, "documents").select(F.col("doc_id").alias("gold_leaf_id"), F.col("lang"), F.concat_ws(" > ", "lang", "source").alias("canonical_path"))
+    for scores in (ranking.bm25_scores(corpus, asked), ranking.overlap_scores(corpus, asked)):
+        ranks = ranking.gold_ranks(settle(scores), golds, docs).join(facts, "gold_leaf_id")
+        yield ranks.select(F.col("query_id").cast("string").alias("id"), F.col("lang").alias("gold_leaf_id"), "canonical_path", "gold_rank")
+
+
+def c2_retrievers(spark, d):
+    """C2 on real rankings."""
+    return metrics.pair(*_retrievers(spark, d)).select("id", "gold_leaf_id", "correct_a", "correct_b", "outcome", "depth")
+
+
+def c6_retrievers(spark, d):
+    """C6, C7 on real rankings, by language."""
+    return _rounded(metrics.stratum_metrics(metrics.pair(*_retrievers(spark, d)), ["gold_leaf_id"]), "gold_leaf_id")
+
+
+def k8_retrievers(spark, d):
+    """K8 of the same two retrievers."""
+    rows = [metrics.micro_metrics(ranks).select(F.lit(name).alias("method"), "recall_at_1", "recall_at_3", "recall_at_5", "mrr") for name, ranks in zip(("BM25", "Shared terms"), _retrievers(spark, d))]
+    return metrics.leaderboard(rows[0].unionByName(rows[1]))
+
+
 def c4_mcnemar(spark, d):
     rows = _table(spark, d, "customer").select((F.col("c_custkey") % 60).alias("b"), (F.col("c_custkey") % 47).alias("c")).distinct()
     return metrics.mcnemar(rows).select("b", "c", F.round("p_value", 9).alias("p_value"))
