@@ -147,3 +147,17 @@ def test_golds_and_report(spark):
     full = {(r.query_id, r.leaf_id): r["rank"] for r in ranking.rank_all(scores, queries, docs).collect()}
     assert all(full[r.query_id, r.leaf_id] == r["rank"] and r.is_gold == (r.leaf_id == want[r.query_id]) and r.gold_rank == full[r.query_id, want[r.query_id]] for r in rows)
     assert len(rows) == 5 * golds.count()
+
+
+def test_dense_search_equals_the_whole_ranking(spark, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(ranking, "BLOCK_VECTORS", 7)
+    rng = np.random.default_rng(3)
+    vectors = rng.integers(-2, 3, (60, 4)).astype(float).tolist()  # with ties and, perhaps, zeros
+    vectors[5] = [0.0] * 4
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(vectors)], "id bigint, vector array<double>").repartition(3)
+    queries, candidates = rows.where("id % 20 < 2").withColumnRenamed("id", "query_id"), rows.withColumnRenamed("id", "leaf_id")
+    for k in (1, 5, 100):
+        found = {tuple(r) for r in ranking.dense_search(queries, candidates, k).select("query_id", "leaf_id", "rank", F.round("score", 5)).collect()}
+        assert found == {tuple(r) for r in ranking.dense_ranking(queries, candidates, k).select("query_id", "leaf_id", "rank", F.round("score", 5)).collect()}

@@ -5,8 +5,11 @@ Scores are rounded to 9 digits before they are ranked: sums arrive in any order,
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +22,8 @@ DIGITS = 9
 TOP = 5
 #: Rows of queries, their terms or golds up to this number are broadcast (about 60 bytes each, or a query's text).
 BROADCAST_ROWS = 200_000
+#: Vectors of one block of a dense search; a product of two blocks has 32 MB.
+BLOCK_VECTORS = 2048
 
 
 def postings(docs: DataFrame) -> DataFrame:
@@ -205,10 +210,9 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def dense_ranking(queries: DataFrame, candidates: DataFrame, k: int | None = TOP) -> DataFrame:
-    """Q9, Q10: (query_id, leaf_id, score, rank) by dot product of normalised vectors, in percent.
+    """Q9, Q10: (query_id, leaf_id, score, rank) by dot product of normalised vectors, in percent, over all pairs.
 
-    The candidates are one vector a leaf and are broadcast only by Spark's own size check; each query's rows meet
-    in one window, cut to the k best in each partition first.
+    For candidate sets of a book's size, which may be asked for whole rankings; dense_search() is for many.
     """
     left = queries.select("query_id", l2_normalize(F.col("vector")).alias("q"))
     right = candidates.select("leaf_id", l2_normalize(F.col("vector")).alias("c"))
@@ -217,6 +221,49 @@ def dense_ranking(queries: DataFrame, candidates: DataFrame, k: int | None = TOP
     return ranked if k is None else ranked.where(F.col("rank") <= k)
 
 
+def _vector_blocks(rows: DataFrame, name: str) -> DataFrame:
+    """One row (ids, vectors, n) for up to BLOCK_VECTORS vectors; bytes of numbers and of unit vectors."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, BLOCK_VECTORS):
+                part = batch.slice(at, BLOCK_VECTORS)
+                vectors = np.array(part.column("vector").to_pylist(), np.float64)
+                size = np.sqrt((vectors * vectors).sum(1, keepdims=True))
+                unit = np.divide(vectors, size, out=vectors, where=size > 0)
+                ids = part.column(name).to_numpy().astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()]) for x in (ids, unit)] + [pa.array([len(ids)], pa.int32())], names=["ids", "vectors", "n"])
+
+    return rows.select(F.col(name).cast("bigint").alias(name), "vector").mapInArrow(run, "ids binary, vectors binary, n int")
+
+
+def dense_search(queries: DataFrame, candidates: DataFrame, k: int = TOP) -> DataFrame:
+    """Q10: (query_id, leaf_id, score, rank): the k first candidates of dense_ranking() for bigint ids and many vectors.
+
+    Blocks of queries meet blocks of candidates, one matrix product each; a pair of blocks gives k rows a query, so
+    what is ranked in the end is k rows for each query and block of candidates.
+    """
+    left = _vector_blocks(queries, "query_id").select(F.col("ids").alias("q_ids"), F.col("vectors").alias("q"), F.col("n").alias("q_n"))
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for q_ids, q, q_n, ids, c, n in zip(*(batch.column(x).to_pylist() for x in ("q_ids", "q", "q_n", "ids", "vectors", "n"))):
+                q_ids, ids = np.frombuffer(q_ids, np.int64), np.frombuffer(ids, np.int64)
+                scores = np.round(100 * np.frombuffer(q).reshape(q_n, -1) @ np.frombuffer(c).reshape(n, -1).T, 6)
+                # Ties with the k-th score stay until ids decide.
+                least = np.partition(scores, max(0, n - k), 1)[:, max(0, n - k)]
+                row, column = np.nonzero(scores >= least[:, None])
+                order = np.lexsort((ids[column], -scores[row, column], row))
+                row, column = row[order], column[order]
+                keep = np.arange(len(row)) - np.searchsorted(row, row) < k
+                row, column = row[keep], column[keep]
+                yield pa.RecordBatch.from_arrays([pa.array(q_ids[row]), pa.array(ids[column]), pa.array(scores[row, column])], names=["query_id", "leaf_id", "score"])
+
+    found = left.crossJoin(_vector_blocks(candidates, "leaf_id")).mapInArrow(best, "query_id bigint, leaf_id bigint, score double")
+    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "leaf_id")))
+    return ranked.where(F.col("rank") <= k)
+
+
 def corpus_fingerprint(docs: DataFrame) -> DataFrame:
     """Q14, V8: one row (n_rows, fingerprint), a hash of the bytes of all ids and texts that does not depend on their order."""
     rows = docs.select(F.sha2(F.concat(F.col("leaf_id").cast("string"), F.lit("\0"), F.coalesce("text", F.lit("")), F.lit("\0")), 256).alias("h"))

@@ -293,10 +293,8 @@ SELECT query_id, leaf_id, round(score, 6) AS score, CAST(rank AS INT) AS rank FR
         "q5_gold_ranks": f"WITH {_BM25} SELECT query_id, gold_leaf_id, gold_rank FROM ranks",
         "q13_report": f"WITH {_BM25} SELECT r.query_id, CAST(rank AS INT) AS rank, r.leaf_id, round(score, 6) AS score, r.leaf_id = g.gold_leaf_id AS is_gold, gold_rank FROM ranked r JOIN ranks g USING (query_id) WHERE rank <= 5",
         "q14_fingerprint": f"WITH h AS (SELECT sha256(doc_id || chr(0) || coalesce(text, '') || chr(0)) AS h FROM documents), {_order_free('h')} SELECT (SELECT count(*) FROM h) AS n_rows, h AS fingerprint FROM l3",
-        "q10_dense": """WITH e AS (SELECT label, i, avg(CAST(embedding[i] AS DOUBLE)) AS x FROM embeddings, unnest(range(1, len(embedding) + 1)) AS u(i) GROUP BY ALL),
-c AS (SELECT label, list(x ORDER BY i) AS v FROM e GROUP BY label), m AS (SELECT label, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS v FROM c),
-q AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
-s AS (SELECT vec_id AS query_id, label AS leaf_id, round(100 * list_dot_product(list_transform(q.v, lambda x: x / sqrt(list_dot_product(q.v, q.v))), m.v), 6) AS score FROM q, m)
+        "q10_dense": """WITH e AS (SELECT vec_id, list_transform(CAST(embedding AS DOUBLE[]), lambda x: x / sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])))) AS v FROM embeddings),
+s AS (SELECT q.vec_id AS query_id, c.vec_id AS leaf_id, round(100 * list_dot_product(q.v, c.v), 6) AS score FROM e q, e c WHERE q.vec_id % 20 = 0)
 SELECT query_id, leaf_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, leaf_id) AS INT) AS rank FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, leaf_id) <= 5""",
         "q12_pairwise": """WITH q AS (SELECT vec_id, label, list_transform(CAST(embedding AS DOUBLE[]), lambda x: x / sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])))) AS v FROM embeddings),
 f AS (SELECT label, arg_min(v, vec_id) AS v FROM q GROUP BY label)

@@ -512,12 +512,10 @@ def q5_gold_ranks(spark, d):
 
 
 def q10_dense(spark, d):
-    """Every vector asks for its label among the labels' centroids."""
-    rows = _table(spark, d, "embeddings")
-    each = rows.select("label", F.posexplode("embedding").alias("i", "x")).groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("x"))
-    centroids = each.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("v")).select(F.col("label").alias("leaf_id"), F.transform("v", lambda e: e["x"]).alias("vector"))
-    ids = rows.columns[0]
-    return ranking.dense_ranking(rows.select(F.col(ids).alias("query_id"), F.col("embedding").alias("vector")), centroids, 5).select("query_id", "leaf_id", "score", F.col("rank").cast("int").alias("rank"))
+    """The vectors whose id is divisible by 20 ask all vectors."""
+    rows = _table(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
+    found = ranking.dense_search(rows.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id"), rows.withColumnRenamed("vec_id", "leaf_id"))
+    return found.select("query_id", "leaf_id", "score", F.col("rank").cast("int").alias("rank"))
 
 
 def q12_pairwise(spark, d):
