@@ -1,36 +1,53 @@
-"""Plain sequential versions of the cleaning passes, written from the rules, to test the column versions against."""
+"""Plain sequential versions of the cleaning passes, written from the rules, to test the column versions against.
+
+Patterns are the library's fixed values, in Python's spelling.
+"""
 
 import re
 
-BULLET = re.compile(r"^(?:[•●*-]\s+|[◦▪])")
-PARENT = re.compile(r"^[•●*-]\s+")
-NESTED = re.compile(r"^[◦▪]")
+from treatise.functions import text as fixed
+
+
+def _pattern(value):
+    return re.compile(value.removeprefix("(?d)").replace(r"\z", r"\Z"))
+
 
+PARENT, NESTED, END, BAND, CITATION = map(_pattern, (fixed.PARENT_BULLET, fixed.NESTED_BULLET, fixed.SENTENCE_END, fixed.AGE_BAND, fixed.CITATION_ONLY))
+LINK_TAIL = _pattern(fixed.URL_TAIL)
+#: Reasons that a text gives by itself, the first that holds.
+ALONE = {"interactive_element_placeholder": _pattern(fixed.PLACEHOLDER), "url_only": _pattern(fixed.URL_ONLY)}
 
-def ends(t):
-    return re.search(r"""[.!?…][”"'’)\]]*$""", t.strip()) is not None
 
+def holds(pattern, text):
+    return pattern.search(text.strip()) is not None
 
-def band(t):
-    return re.fullmatch(r"\d+\s*[–—-]\s*\d+(\s+months?)?", t.strip(), re.I) is not None
 
+def ends(text):
+    return holds(END, text)
 
-def bullet(t):
-    return BULLET.match(t.strip()) is not None
 
+def band(text):
+    return holds(BAND, text)
 
-def label(t):
-    s = t.strip()
-    return s.casefold() in {"did you know…", "months milestones"} or (len(s) <= 60 and not bullet(s) and not ends(s))
 
+def bullet(text):
+    return holds(PARENT, text) or holds(NESTED, text)
 
-def lower_prose(t):
-    letters = [c for c in t.strip() if c.isalpha()]
-    return not bullet(t) and bool(letters) and letters[0].islower()
 
+def label(text):
+    known = text.strip().casefold() in ("did you know…", "months milestones")
+    return known or not (len(text.strip()) > 60 or bullet(text) or ends(text))
 
-def glue(a, b, why):
-    return (a[0].rstrip() + ("\n" if bullet(b[0]) else " ") + b[0].lstrip(), a[1] + b[1], a[2] + b[2] + [why])
+
+def lower_prose(text):
+    first = next(filter(str.isalpha, text), "")
+    return first.islower() and not bullet(text)
+
+
+def glue(left, right, why):
+    """Units are (text, sources, reasons)."""
+    between = "\n" if bullet(right[0]) else " "
+    return between.join((left[0].rstrip(), right[0].lstrip())), left[1] + right[1], [*left[2], *right[2], why]
 
 
 def backward(units, test):
@@ -54,13 +71,12 @@ def fits(a, b):
     return len(a[0]) + 1 + len(b[0]) <= 3000
 
 
-def bullets(a, u):
-    if fits(a, u):
-        if NESTED.match(u[0].strip()):
-            return "nested_bullet_backward"
-        if PARENT.match(u[0].strip()) and PARENT.match(a[0].strip()):
-            return "adjacent_bullets"
-    return None
+def bullets(last, unit):
+    if not fits(last, unit):
+        return None
+    if holds(NESTED, unit[0]):
+        return "nested_bullet_backward"
+    return "adjacent_bullets" if holds(PARENT, unit[0]) and holds(PARENT, last[0]) else None
 
 
 def passes(texts):
@@ -69,25 +85,22 @@ def passes(texts):
     units = forward(units, band, "age_band_forward")
     units = forward(units, label, "short_label_forward")
     units = backward(units, bullets)
-    units = backward(units, lambda a, u: "artifact_continuation_backward" if fits(a, u) and (re.fullmatch(r"\(.*\)\.?", u[0].strip()) or lower_prose(u[0])) else None)
+    units = backward(units, lambda a, u: "artifact_continuation_backward" if fits(a, u) and (holds(CITATION, u[0]) or lower_prose(u[0])) else None)
     units = backward(units, lambda a, u: "label_sentence_completion" if "short_label_forward" in a[2] and not re.search("[•●◦▪]", a[0]) and not ends(a[0]) and fits(a, u) else None)
     return units
 
 
 def noise(texts):
-    tail, url, out = False, False, []
-    for t in texts:
-        s = t.strip()
-        tail = tail or s.casefold() == "media attributions"
-        why = None
-        if tail:
-            why = "media_attribution_tail"
-        elif re.match(r"(?:an|one or more)\s+interactive(?:\s+H5P)?\s+elements?\s+has\s+been\s+excluded\s+from\s+this\s+version\s+of\s+the\s+text\.", s, re.I):
-            why = "interactive_element_placeholder"
-        elif re.fullmatch(r"\s*(?:[•◦*-]\s*)?(?:(?:online\s+here|url)\s*:\s*)?\(?https?://\S+\)?\s*", s, re.I):
-            why = "url_only"
-        elif url and len(s) <= 40 and "/" in s and re.fullmatch(r"[A-Za-z0-9._~:/?#\[\]@!$&'()*+,;=%-]+", s):
-            why = "orphan_url_tail"
-        url = why in ("url_only", "orphan_url_tail")
-        out.append(why)
+    """The reason why each text goes, None for those that stay."""
+    out = []
+    for at, text in enumerate(texts):
+        alone = [why for why, pattern in ALONE.items() if holds(pattern, text)]
+        if any(t.strip().casefold() == "media attributions" for t in texts[: at + 1]):
+            out.append("media_attribution_tail")
+        elif alone:
+            out.append(alone[0])
+        else:
+            # What is left of a link that was cut: short, with a slash, right after a link or another such rest.
+            rest = len(text.strip()) <= 40 and "/" in text and holds(LINK_TAIL, text)
+            out.append("orphan_url_tail" if rest and out and out[-1] in ("url_only", "orphan_url_tail") else None)
     return out

@@ -18,7 +18,6 @@ from ..functions.settled import settle, shared_folder
 from ..operators import checks, cleaning, metrics, outline, questions, ranking, retriever, sections, split
 from ..sources import io
 from ..sources.io import read_table
-from ..streaming import resume  # noqa: F401  (part of the library's surface)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
