@@ -4,7 +4,9 @@ import random
 
 from pyspark.sql import types as T
 
-SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("lang", T.StringType()), T.StructField("source", T.StringType()), T.StructField("n_chars", T.LongType()), T.StructField("key", T.StringType()), T.StructField("shard", T.StringType()), T.StructField("rep", T.StringType()), T.StructField("token", T.StringType())])
+#: Columns that a table may have besides; operators use some of these names inside.
+MORE = ["key", "shard", "rep", "token", "row", "doc", "slot", "bitmap", "score", "spans", "text_hash", "component_id", "quality", "draw", "bucket", "kept", "words", "media", "task", "k1", "signature"]
+SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("lang", T.StringType()), T.StructField("source", T.StringType()), T.StructField("n_chars", T.LongType()), *(T.StructField(c, T.StringType()) for c in MORE)])
 
 
 def texts(seed=5, n=60):
@@ -33,7 +35,7 @@ def texts(seed=5, n=60):
 
 def frame(spark, rows):
     """documents with extra columns whose names the operators use inside."""
-    return spark.createDataFrame([(i, t, "en", None, len(t) if t is not None else None, "k", "s", "r", "t") for i, t in rows], SCHEMA).repartition(3)
+    return spark.createDataFrame([(i, t, "en", None, len(t) if t is not None else None, *MORE) for i, t in rows], SCHEMA).repartition(3)
 
 
 def documents(seed=5):

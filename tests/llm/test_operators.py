@@ -99,13 +99,14 @@ def test_personal_data(spark):
 
 
 def test_disclosing_terms(spark):
-    told = [f"Report {c} by Zanzibarov at zan@x.org said {c}{c}." for c in "abcdef"]
-    rows = list(enumerate(told + ["Zanzibarov is here.", "nobody is here."] + [f"said report by at {i}" for i in range(40)]))
+    # A word that begins with a digit is no term, and no part of it is taken for another word.
+    told = [f"Report {c} by Zanzibarov at zan@x.org said {c}{c}. 3zorb" for c in "abcdef"]
+    rows = list(enumerate(told + ["Zanzibarov is here.", "nobody is here but zorb."] + [f"said report by at {i}" for i in range(40)]))
     found = {r.doc_id: r.spans for r in pii.find_personal_data(frame(spark, rows)).collect()}
     terms = lambda i: [s["value"] for s in found[i] if s["kind"] == "term"]
     assert terms(0) == ["Zanzibarov"] and terms(6) == ["Zanzibarov"] and terms(7) == []
     clean = {r.doc_id: r.text for r in pii.sanitise(frame(spark, rows)).collect()}
-    assert clean[0] == "Report a by  at [EMAIL] said aa." and clean[7] == "nobody is here."
+    assert clean[0] == "Report a by  at [EMAIL] said aa. 3zorb" and clean[7] == "nobody is here but zorb."
 
 
 def _told(rng, count, shape):
@@ -257,6 +258,19 @@ def test_media_bytes_of_every_kind():
     assert media.read_features([b"no image", None, media.encode([b" " * 192])[0]])[2] is not None
 
 
+def test_media_against_a_plain_decoder(spark, docs, table):
+    """Dimensions, thumbnail, stored form and payload of real texts, by a decoder that shares no code."""
+    found = {r.doc_id: r for r in media.media_digests(table).collect()}
+    for d, t in [x for x in docs if len(x[1] or "") < 1500][:25]:
+        body = media.payload((t or "").encode())
+        file = media.encode([body])[0]
+        width, height, blocks = brute.jpeg(file)
+        assert bytes(v + 128 for _, block in blocks for v in block)[: len(body)] == body
+        small = bytes(max(0, min(255, (block[0] + 4) // 8 + 128)) for c, block in blocks if c == 0)
+        r = found[d]
+        assert (r.media_bytes, r.media_sha256, r.width, r.height, r.thumbnail_sha256) == (len(file), brute.sha(file), width, height, brute.sha(small))
+
+
 def test_thumbnail_is_the_mean_luminance():
     """The DC coefficient alone gives the mean of a flat block."""
     values = np.zeros((4, 3, 64), np.int64)
@@ -301,9 +315,9 @@ def test_sharding(spark, docs, table):
     rows = sharding.shard_rows(table, 7, bucket_rows=4).collect()
     slots = {}
     for r in rows:
-        slots.setdefault(r.shard_, []).append(r.slot)
-    # The table has a column shard already, which stays.
-    assert rows[0].__fields__ == [*table.columns, "shard_", "slot"] and {r.shard for r in rows} == {"s"}
+        slots.setdefault(r.shard_, []).append(r.slot_)
+    # The table has columns shard and slot already, which stay.
+    assert rows[0].__fields__ == [*table.columns, "shard_", "slot_"] and {(r.shard, r.slot) for r in rows} == {("shard", "slot")}
     assert sum(map(len, slots.values())) == len(docs) and max(map(len, slots.values())) - min(map(len, slots.values())) <= 1
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
     got = by_id(sharding.shard_digests(table), "size", "text_crc32", "law", "grown_shard")
@@ -348,12 +362,102 @@ def test_chats(spark):
     assert "\n".join(got[5][p].rendered for p in range(3)).count("<|user|>") == 300
 
 
-OPERATORS = [minhash.near_duplicate_digests, pii.personal_data_digests, packing.pack_documents, sharding.shard_digests, media.media_digests, line_dedup.dedup_digests, suffix.repeat_digests]
-
-
-@pytest.mark.parametrize("operator", OPERATORS, ids=lambda f: f.__name__)
-def test_odd_rows_and_empty_tables(spark, docs, operator):
-    odd = _odd(spark, docs)
-    out = operator(odd)
-    assert out.select("doc_id").distinct().count() == 21 and out.count() >= odd.count()
-    assert operator(odd.where("false")).count() == 0
+def test_quality_against_the_plain_rule(spark):
+    """Few features and many slots, so that no two share one; rows that repeat count once, labels too."""
+    import struct
+
+    import xxhash
+
+    rng = np.random.default_rng(5)
+    vocabulary = ["the", "The", "fox", "FOX!", "a1", "b-2", "über", "so", "so", "!!"]
+    rows = [(i, " ".join(rng.choice(vocabulary, int(rng.integers(1, 30))).tolist())) for i in range(90)] + [(90, None), (91, ""), (92, "unseen Words")]
+    labels = {i: int(("FOX!" in t) != (i % 11 == 0)) if i % 13 else None for i, t in rows[:90]}
+    settings = quality.Settings(bits=22, max_labelled=50, epochs=3)
+    given = spark.createDataFrame([(i, q, 0) for i, q in labels.items()] + [(5, labels[5], 1), (200, 1, 0), (None, 1, 0)], "doc_id bigint, quality int, toxic int")
+    place = lambda d: (struct.unpack("<q", xxhash.xxh64(struct.pack("<q", d), seed=42).intdigest().to_bytes(8, "little"))[0], d)
+    want = brute.quality_scores(rows, labels | {200: 1}, place, 50, 3, settings.alpha, settings.beta, settings.l1, settings.l2)
+    got = by_id(quality.quality_scores(frame(spark, [*rows, rows[3], rows[3]]), given, settings), "held_out", "score", "predicted")
+    assert all(abs(got[d][1] - want[d]) < 1e-5 and got[d][2] == (want[d] >= 0.3) for d in want) and len(set(want.values())) > 50
+    assert all(got[d][0] == (zlib.crc32(str(d).encode()) % 5 == 0) for d in want)
+
+
+def _benchmark(spark, docs):
+    return spark.createDataFrame([("a", " ".join(docs[20][1].split()[2:30])), ("b", "Two words"), (None, "one"), ("c", None)], "item_id string, text string")
+
+
+def _labels(spark):
+    return spark.createDataFrame([(i, i % 2, 0) for i in range(40)] + [(3, None, 0), (None, 1, 0)], "doc_id bigint, quality int, toxic int")
+
+
+def _alike(spark, docs):
+    """Operators whose rows follow from the text alone, and the columns that do."""
+    return {
+        "op2": (pii.personal_data_digests, "n_email", "n_ip", "n_card", "n_phone", "base_sha256"),
+        "op4": (lambda t: quality.quality_scores(t, _labels(spark), quality.Settings(max_labelled=0)), "score", "predicted"),
+        "op5": (lambda t: packing.pack_documents(t).groupBy("doc_id").agg(F.sum("length").alias("n"), F.first("doc_tokens").alias("whole"), F.sort_array(F.collect_list("ids_crc32")).cast("string").alias("ids")), "n", "whole", "ids"),
+        "op6": (sharding.shard_digests, "size", "text_crc32"),
+        "op7": (media.media_digests, "n_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"),
+        "op10": (lambda t: decontamination.contamination_digests(t, _benchmark(spark, docs)), "n_words", "n_hit", "n_items", "items_sha256", "contaminated"),
+    }
+
+
+@pytest.mark.parametrize("name", ["op2", "op4", "op5", "op6", "op7", "op10"])
+def test_odd_rows_of_operators_on_single_texts(spark, docs, table, name):
+    """A null id, rows that repeat and one id with two texts have the values that their texts have elsewhere."""
+    operator, *columns = _alike(spark, docs)[name]
+    of = by_id(operator(table), *columns)
+    odd = [*docs[:20], (None, docs[12][1]), docs[8], docs[8], (9, docs[13][1])]
+    if name == "op5":  # pieces are told apart by document only
+        odd = [*docs[:20], (None, docs[12][1])]
+    number = {t: d for d, t in docs}
+    got = sorted(((r.doc_id, *(r[c] for c in columns)) for r in operator(frame(spark, odd)).collect()), key=repr)
+    assert got == sorted(((d, *of[number[t]]) for d, t in odd), key=repr)
+    assert operator(frame(spark, odd).where("false")).count() == 0
+
+
+def test_odd_rows_of_operators_on_pairs(spark, docs):
+    odd = [*docs[:20], (None, docs[12][1]), docs[8], docs[8], (9, docs[13][1]), (None, docs[12][1]), (None, None)]
+    table = frame(spark, odd)
+    hashes = {r.text: r.h for r in table.select("text", F.xxhash64("text").bitwiseAND(0xFFFFFFFF).alias("h")).distinct().collect()}
+    lines, repeated = brute.odd_rows(odd, hashes.__getitem__)
+    rows = lambda df, *columns: sorted((tuple(r[c] for c in ("doc_id", *columns)) for r in df.collect()), key=repr)
+    assert rows(line_dedup.dedup_digests(table), "n_lines", "n_dropped", "kept_sha256") == sorted(lines, key=repr)
+    assert rows(suffix.repeat_digests(table), "n_bytes", "n_removed", "n_spans", "kept_sha256") == sorted(repeated, key=repr)
+    near = minhash.near_duplicate_digests(table).collect()
+    plain = brute.near_duplicates([*docs[:20], (13, docs[13][1])])
+    assert len(near) == len(odd) and all(r.kept and r.component_id is None for r in near if r.doc_id is None)
+    assert {(r.doc_id, r.n_shingles, r.component_id) for r in near if r.doc_id not in (None, 9)} >= {(d, plain[d][0], plain[d][1]) for d in range(9)}
+    for operator in (line_dedup.dedup_digests, suffix.repeat_digests, minhash.near_duplicate_digests):
+        assert operator(table.where("false")).count() == 0
+
+
+def test_very_long_texts(spark):
+    """20,000 words, a near copy of them, and one word of 200,000 letters, through all operators."""
+    rng = np.random.default_rng(12)
+    words = ["w" + str(x) for x in rng.integers(0, 4000, 20_000)]
+    near = [*words[:7000], "changed", *words[7001:]]
+    secret = " mail a.b@c.de and 4111 1111 1111 1111 "
+    rows = [(0, " ".join(words) + secret), (1, " ".join(near)), (2, "x" * 200_000), (3, "\n".join(words)), (4, "y" * 99 + "\n" + "x" * 200_000)]
+    table = frame(spark, rows)
+    assert by_id(minhash.near_duplicate_digests(table), "n_shingles", "component_id", "kept") == brute.near_duplicates(rows)
+    assert by_id(line_dedup.dedup_digests(table), "n_lines", "n_dropped", "kept_sha256") == brute.line_dedup(rows)
+    assert by_id(suffix.repeat_digests(table), "n_bytes", "n_removed", "n_spans", "kept_sha256") == brute.repeats(rows)
+    items = [("a", " ".join(words[100:125])), ("b", "x" * 200_000), ("c", " ".join(words[-4:]) + " mail a")]
+    found = by_id(decontamination.contamination_digests(table, spark.createDataFrame(items, "item_id string, text string")), "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    assert found == brute.contamination(rows, items) and found[0][2] == 2
+    personal = by_id(pii.personal_data_digests(table), "n_email", "n_ip", "n_card", "n_phone", "spans")
+    assert all(personal[d] == (*counts, spans) for d, t in rows for counts, spans in [brute.personal(t)])
+    assert {r.doc_id for r in quality.quality_scores(table, _labels(spark)).collect()} == set(range(5))
+    assert {r.doc_id: r.n for r in packing.pack_documents(table).groupBy("doc_id").agg(F.sum("length").alias("n")).collect()} == {d: len(_ids(t)) for d, t in rows}
+    assert by_id(media.media_digests(table), "payload_sha256") == {d: (brute.sha(media.payload(t.encode())),) for d, t in rows}
+    chat_rows = spark.createDataFrame([(1, 0, "user", rows[0][1]), (2, 0, "user", rows[0][1]), (2, 1, "bot", rows[2][1])], "conv_id bigint, turn bigint, role string, text string")
+    assert [r.rendered for r in chat.format_chats(chat_rows).collect()] == [f"<|user|>\n{rows[0][1]}\n<|bot|>\n{rows[2][1]}"]
+
+
+def test_odd_chats(spark):
+    """Null turns come first, rows that repeat count once, ties go by role and text; other columns are not read."""
+    rows = [(1, 5, "b", "x", "z"), (1, 5, "a", "y", "z"), (1, None, None, None, "z"), (1, 5, "a", "y", "z"), (None, 1, "a", "b", "z"), (2, -3, "u", "", "z")]
+    table = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string, rank string")
+    got = {(r.conv_id, r.part): r.rendered for r in chat.format_chats(table).collect()}
+    assert "\n".join(got[k] for k in sorted(got) if k[0] == 1) == "<||>\n\n<|a|>\ny\n<|b|>\nx" and got[2, 0] == "<|u|>\n"
+    assert chat.format_chats(table.where("false")).count() == 0

@@ -29,3 +29,41 @@ def test_stages_against_plain_versions(spark, tmp_path):
     packed = corpus_pipeline.run(spark, d).collect()
     assert {r.doc_id for r in packed} == {r.doc_id for r in clean.collect()}
     assert len(corpus_pipeline.STAGES) == 5
+
+
+def _written(spark, folder, docs, labels=((1, 1, 0), (2, 0, 0)), items=((0, "some words of an item that nobody else has in it"),)):
+    frame(spark, docs).select("doc_id", "text", "lang", "source", "n_chars").coalesce(1).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(list(labels), "doc_id bigint, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame(list(items), "item_id bigint, text string").write.parquet(f"{folder}/benchmark.parquet")
+    return spark.read.parquet(f"{folder}/documents.parquet"), str(folder)
+
+
+def test_stages_on_empty_tables(spark, tmp_path):
+    table, d = _written(spark, tmp_path, [], [], [])
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, table, d)
+        assert out.count() == 0, name
+        assert name == "packing" or out.columns == table.columns
+    assert corpus_pipeline.run(spark, d).count() == 0
+
+
+def test_stages_on_odd_rows(spark, tmp_path):
+    """Null ids and texts, rows that repeat, two texts under one id: each stage keeps what is clean."""
+    text = "one clean text of a few words more than the windows of the benchmark have, and it goes on"
+    rows = [(1, text), (1, text), (None, text + " here"), (None, None), (2, None), (3, ""), (4, text + " there"), (4, "another text under the same number that shares no line and no shingle with it")]
+    table, d = _written(spark, tmp_path, rows, labels=[])
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        out = sorted(((r.doc_id, r.text) for r in stage(spark, table, d).collect()), key=repr)
+        # Without labels every score is 0.5; repeated rows agree in all, so either both or none of them stay.
+        gone = {(4, text + " there")} if name == "near dedup" else set()
+        assert out == sorted((r for r in rows if r not in gone), key=repr), name
+    packed = corpus_pipeline.run(spark, d)
+    assert packed.count() == len(rows) - 1 and {r.doc_id for r in packed.collect()} == {None, 1, 2, 3, 4}
+
+
+def test_stage_folders_are_removed(spark, tmp_path, monkeypatch):
+    """Only the last stage's input stays, which the result reads."""
+    _, d = _written(spark, tmp_path / "in", [(i, f"text number {i} with words of its own {i * 7}") for i in range(12)], labels=[])
+    monkeypatch.setattr(corpus_pipeline, "shared_folder", lambda spark: str(tmp_path / "shared"))
+    assert corpus_pipeline.run(spark, d).count() == 12
+    assert [p.name.rsplit("-", 1)[1] for p in (tmp_path / "shared").iterdir()] == ["3"]

@@ -9,7 +9,9 @@ Ranks and prefixes are computed in blocks of `BLOCK` turns (by turn number) with
 and a conversation is rendered in parts of at most one block; no task needs a whole conversation.
 
 Defined cases: null role or text is empty; a null turn comes first; rows that repeat (conv_id, turn, role, text)
-count once; rows without conv_id are left out; an empty table gives an empty result; other columns are not read.
+count once; rows without conv_id are left out; turns with one number are ordered by role and text, and are one block
+however many they are; of equal conversations the smallest conv_id stays; texts may have any length; an empty table
+gives an empty result; other columns are not read, so these may have any name.
 """
 
 from __future__ import annotations

@@ -15,7 +15,9 @@ the texts, which are shuffled once, and take the words around them from there.
 
 Defined cases: null or empty text has no words; items without words have no windows; items with equal texts are
 each reported; a null item_id or doc_id never matches a benchmark item by that id but keeps its row; rows that
-repeat a doc_id are separate rows; empty tables give zeros or no rows; no other columns are read.
+repeat a doc_id are separate rows; empty tables give zeros or no rows; texts and items may have any length; of
+shingles that are equally rare the first in the window is the prefix, which changes no result; no other columns are
+read, so these may have any name.
 """
 
 from __future__ import annotations

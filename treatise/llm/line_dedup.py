@@ -9,8 +9,9 @@ document that loses lines, never text. Bitmaps go to the texts: up to BROADCAST_
 in all as a broadcast, so texts don't move; beyond that both meet in a shuffle.
 
 Defined cases: null text is one empty line; a row without doc_id neither holds nor loses lines; rows that
-repeat a doc_id are judged as parts of one document; an empty table gives an empty result; only the id and
-text columns are read, so other columns may have any name.
+repeat a doc_id are judged as parts of one document, and a line keeps all its places in the smallest doc_id that
+holds it; texts and lines may have any length; an empty table gives an empty result; only the id and text columns
+are read, so other columns may have any name.
 """
 
 from __future__ import annotations

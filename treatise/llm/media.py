@@ -11,7 +11,8 @@ Features: width, height, and a thumbnail from the DC coefficients of the luminan
 its SHA-256 and a 64-bit difference hash of its 9x8 reduction.
 
 Defined cases: null text is empty; an empty text is one MCU of spaces; a file that is not baseline JPEG raises
-ValueError in parse() and yields null columns in the DataFrame operator; equal texts give equal files.
+ValueError in parse() and yields null columns in the DataFrame operator; equal texts give equal files, whichever
+rows they stand in; texts may have any length up to the 12 GB that a near-square file holds; an empty table gives an empty result; only doc_id and text are read, so other columns may have any name.
 """
 
 from __future__ import annotations

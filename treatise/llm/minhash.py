@@ -27,7 +27,9 @@ the distributed edges until nothing changes, checkpointed each round.
 
 Defined cases: null or empty text has no words, an empty set and no links; fewer words than a shingle make the
 whole sequence one shingle; a null doc_id is linked with nothing and kept; rows that repeat a doc_id share their
-component if their sets do; an empty table gives an empty result; only doc_id and text are read.
+component if their sets do, and are documents of their own if they differ; texts may have any length, sets are held
+whole; of equals the smallest doc_id leads; an empty table gives an empty result; only doc_id and text are read, and
+other columns may have any name.
 """
 
 from __future__ import annotations
@@ -48,7 +50,7 @@ VALUES = CHUNKS * PER_CHUNK
 LIMIT = 2 * CHUNKS - 1
 PERCENT = 80
 #: Documents and shingles of one block of a large open key; a task holds two blocks, about 100 MB.
-BLOCK_ROWS, BLOCK_SHINGLES = 4096, 1_000_000
+BLOCK_ROWS, BLOCK_SHINGLES = 1024, 1_000_000
 #: Open keys up to this number are broadcast (about 40 bytes each); more are joined by a shuffle.
 BROADCAST_KEYS = 200_000
 #: Rounds with drawn pivots, and the documents of an open key up to which its pairs are listed.
@@ -269,10 +271,15 @@ def _unlinkable(reps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return own.join(alone, "rep").where(100 * (size - F.col("alone")) < percent * size).select("rep")
 
 
+def _ids_of(reps: DataFrame, classes: DataFrame) -> DataFrame:
+    """(rep, doc_id, text_hash) of reps(rep): where their texts are found."""
+    return settle(reps.distinct().join(classes.select("rep", "doc_id", "text_hash"), "rep"))
+
+
 def _sets_of(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
-    """rep, shingles, signature of the representatives in ids(rep, text_hash)."""
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("rep"), F.xxhash64("text").alias("text_hash"), "text")
-    rows = rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, ["rep", "text_hash"])
+    """rep, shingles, signature of the representatives in ids(rep, doc_id, text_hash)."""
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
+    rows = rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, ["doc_id", "text_hash"])
     packed = rows.select("rep", "text").mapInArrow(_pack_sets(size), "rep bigint, shingles binary, signature binary")
     return packed.dropDuplicates(["rep"])  # rows that repeat
 
@@ -389,8 +396,7 @@ def _more_edges(members: DataFrame, edges: DataFrame, labels: DataFrame, docs: D
     rows = settle(_still_open(_place(members, labels)))
     if rows.isEmpty():
         return None
-    ids = settle(rows.select("rep").distinct().join(classes.select("rep", "text_hash"), "rep"))
-    sets = settle(_sets_of(docs, ids, size))
+    sets = settle(_sets_of(docs, _ids_of(rows.select("rep"), classes), size))
     for turn in range(ROUNDS + 1):
         if turn < ROUNDS:
             pivots = rows.groupBy("key").agg(F.min(F.struct(F.xxhash64("rep", "key", F.lit(turn)).alias("h"), "rep", "component")).alias("p"))
@@ -415,16 +421,25 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = PERCENT) -> D
     """doc_id, text_hash, n_shingles, component_id, kept of each document."""
     found = settle(sketch(docs, size))
     some = found.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = settle(some.groupBy("f1", "f2").agg(F.min(F.struct("doc_id", "text_hash", "signature")).alias("least")).select("f1", "f2", F.col("least.doc_id").alias("rep"), F.col("least.text_hash").alias("text_hash"), F.col("least.signature").alias("signature")))
+    least = F.min(F.struct("doc_id", "text_hash", "signature")).alias("least")
+    classes = settle(some.groupBy("f1", "f2").agg(least).select("f1", "f2", "least.*").withColumn("rep", F.col("doc_id")))
+    # Where one doc_id stands for several sets, classes are told apart by a hash of their fingerprint instead.
+    shared = not classes.groupBy("rep").count().where("count > 1").isEmpty()
+    if shared:
+        classes = classes.withColumn("rep", F.xxhash64("f1", "f2"))
     index = classes.select("rep", "signature").mapInArrow(_index, "key bigint, rep bigint")
     firsts = index.groupBy("key").agg(F.min("rep").alias("first"), F.max("rep").alias("last")).where("first < last").select("key", "first")
     members = settle(index.join(firsts, "key"))
     pairs = _near_pairs(_pairs_of(members, "first", "rep"), classes)
-    ids = settle(pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct().join(classes.select("rep", "text_hash"), "rep"))
+    ids = _ids_of(pairs.select(F.explode(F.array("a", "b")).alias("rep")), classes)
     edges = _confirmed(pairs, _sets_of(docs, ids, size), percent)
     labels = settle(components(edges))
     labels = _more_edges(members.select("key", "rep"), edges, labels, docs, classes, size, percent) or labels
-    placed = classes.select("f1", "f2", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("f1", "f2", F.coalesce("component", "rep").alias("component"))
+    labels = labels.withColumnRenamed("node", "rep")
+    if shared:
+        smallest = labels.join(classes.select("rep", "doc_id"), "rep").groupBy("component").agg(F.min("doc_id").alias("doc_id"))
+        labels = labels.join(smallest, "component").select("rep", F.col("doc_id").alias("component"))
+    placed = classes.select("f1", "f2", "rep", "doc_id").join(labels, "rep", "left").select("f1", "f2", F.coalesce("component", "doc_id").alias("component"))
     linkable = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
     out = found.join(placed, ["f1", "f2"], "left").withColumn("component_id", F.when(linkable, F.col("component")).otherwise(F.col("doc_id")))
     return out.select("doc_id", "text_hash", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))

@@ -11,7 +11,9 @@ its words end in any case, and a worker remembers the ids of the pieces it has m
 spell a special token, and all texts for other tokenizers, are encoded whole. Then id 1 ends the document.
 
 Defined cases: null text is empty (the document is id 1 alone); repeated rows are packed each for itself; an empty
-table gives an empty result; a null doc_id is carried as it is.
+table gives an empty result; a null doc_id is carried as it is; a text of any length gives as many pieces as it
+needs; of windows with equal room the one opened first is taken, and of equally full ones the one opened first is
+emitted; only doc_id and text are read, so other columns may have any name.
 """
 
 from __future__ import annotations

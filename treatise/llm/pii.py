@@ -24,7 +24,9 @@ Patterns have no repeated groups (Java's matcher recurses on these): a separator
 match is first replaced by a private-use character of the same length, so that a match is one character run.
 
 Defined cases: null text is empty; rows without doc_id are judged like others; rows that repeat a doc_id are
-separate rows; an empty table gives an empty result; columns other than doc_id and text are not read.
+separate rows; an empty table gives an empty result; texts and runs of signs may have any length; a base span beats
+a term that overlaps it, and base kinds are found each for itself; columns other than doc_id and text are not read,
+so these may have any name.
 """
 
 from __future__ import annotations

@@ -11,7 +11,9 @@ updates (per-coordinate rates, L1 and L2 terms). Scoring reads every whole text
 
 Defined cases: null or empty text is scored by the bias alone; without labelled rows every score is 0.5; labels
 with null quality are not learned from; a doc_id labelled more than once counts with its smallest label; only the
-columns doc_id and text are read, so other columns may have any name.
+columns doc_id and text are read, so other columns may have any name; rows with one doc_id and text are learned
+from once; texts may have any length, and the sample's reach the fitting task whole; an empty table gives an empty
+result. A score of exactly the threshold counts as good.
 """
 
 from __future__ import annotations

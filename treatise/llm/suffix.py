@@ -27,7 +27,8 @@ shares one 32-byte gram in different surroundings is held together, at about 400
 
 Defined cases: null text is empty; texts under LENGTH bytes keep all bytes; documents are ordered by doc_id, those
 without one last; rows that repeat a doc_id are ordered by a 32-bit hash of the text; rows that repeat doc_id and text are
-one document and stay alike; an empty table gives an empty result; only doc_id and text are read.
+one document and stay alike; texts may have any length; an empty table gives an empty result; only doc_id and text
+are read, so other columns may have any name.
 """
 
 from __future__ import annotations
