@@ -271,7 +271,7 @@ SELECT id, method, sha256(CASE WHEN method = 'id' THEN replace('{ID_PROMPT}', '{
         "r5_trie": _TRIE + "SELECT book, prefix, next_tokens FROM trie",
         "r6_allowed_next": _TRIE + ", w AS (SELECT DISTINCT book, array_to_string(list_filter(t, lambda x: x <> '<eos>')[1:2], ' ') AS prefix FROM t), v AS (SELECT * FROM w UNION ALL SELECT book, prefix || ' nowhere' FROM w) SELECT v.book, v.prefix, coalesce(next_tokens, '<eos>') AS next_tokens FROM v LEFT JOIN trie ON trie.book = v.book AND trie.prefix = v.prefix",
         "r7_beams": f"WITH {_BEAMS} SELECT id, gold_leaf_id, CAST(min(CASE WHEN t < 20 AND 'src' || t = gold_leaf_id THEN i + 1 END) AS INT) AS gold_rank_at_k, count(*) FILTER (WHERE t >= 20) AS n_unknown FROM b GROUP BY ALL",
-        "r7_ranked_targets": f"WITH {_BEAMS} SELECT id, CAST(i + 1 AS INT) AS rank, 't' || t AS target, CASE WHEN t < 20 THEN 'src' || t END AS leaf_id, -0.5 * i AS sequence_score FROM b",
+        "r7_ranked_targets": f"WITH {_BEAMS} SELECT id, CAST(i + 1 AS INT) AS rank, 't' || t AS target, CASE WHEN t < 20 THEN 'src' || t END AS leaf_id, CAST(-0.5 * i AS DOUBLE) AS sequence_score FROM b",
         "r7_beam_violations": f"WITH {_BEAMS} SELECT DISTINCT id, NULL::VARCHAR AS target, 'beam count' AS problem FROM b WHERE id % 9 = 0 UNION ALL SELECT id, 't' || t, 'unknown target' FROM b WHERE t >= 20",
         "r8_examples": f"WITH {_EXAMPLES} SELECT id, array_to_string(x, ' ') AS input_ids, array_to_string(y, ' ') AS labels, len(x) > 13 AS too_long FROM examples",
         "r9_padded": f"""WITH {_EXAMPLES}, w AS (SELECT *, CAST(ceil(max(len(x)) OVER (PARTITION BY id // 16) / 8) * 8 AS INT) - len(x) AS gap FROM examples WHERE len(x) <= 13)
