@@ -39,18 +39,21 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._bytes import PrefixHash, bounds, lower_ascii, mix, pieces, utf8, words
+from ._bytes import PrefixHash, bounds, give_back, lower_ascii, mix, pieces, utf8, words
 from ._store import settle
 
 CHUNKS, PER_CHUNK = 10, 4
 VALUES = CHUNKS * PER_CHUNK
 LIMIT = 2 * CHUNKS - 1
 PERCENT = 80
-#: Documents and shingles of one block of a large open key; a task holds two blocks, about 100 MB.
-BLOCK_ROWS, BLOCK_SHINGLES = 1024, 1_000_000
+#: Documents and shingles of one block of a large open key; a task holds two blocks, about 50 MB.
+BLOCK_ROWS, BLOCK_SHINGLES = 1024, 300_000
+#: Bytes of packed sets that are spread into rows at once.
+SPREAD_BYTES = 2 << 20
 #: Open keys up to this number are broadcast (about 40 bytes each); more are joined by a shuffle.
 BROADCAST_KEYS = 200_000
 #: Rounds with drawn pivots, and the documents of an open key up to which its pairs are listed.
@@ -245,6 +248,9 @@ def _compare_block(percent: int):
                 if a != b:
                     root[b] = a
                     edges.append((reps[i], reps[j]))
+        if len(reps) > BLOCK_ROWS // 2:
+            del sets, ids, distinct
+            give_back()
         return pd.DataFrame(edges, columns=["a", "b"], dtype="int64")
 
     return run
@@ -253,8 +259,11 @@ def _compare_block(percent: int):
 def _spread_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(shingle, rep) of each shingle; those that a batch holds more than once come once, without rep."""
     for batch in batches:
-        for at in range(0, batch.num_rows, 1000):
-            part = batch.slice(at, 1000)
+        at = 0
+        ends = np.cumsum(pc.binary_length(batch.column("shingles")).to_numpy())
+        while at < batch.num_rows:
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SPREAD_BYTES, "right")))
+            part, at = batch.slice(at, to - at), to
             sets = [_full(packed) for packed in part.column("shingles").to_pylist()]
             all_, owner = np.concatenate(sets), np.repeat(part.column("rep").to_numpy(), [len(x) for x in sets])
             distinct, first, counts = np.unique(all_, return_index=True, return_counts=True)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._bytes import PrefixHash, bounds, lower_ascii, mix, pieces, utf8, words
+from ._bytes import PrefixHash, bounds, give_back, lower_ascii, mix, pieces, utf8, words
 
 SCALE = 8.0
 THRESHOLD = 0.3
@@ -87,11 +87,11 @@ def fit(texts: list[str], labels: list[int], settings: Settings) -> np.ndarray:
         data = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
         slot, _, count = features(data, np.array([0, len(data)]), settings.bits)
         slots, often = np.unique(slot, return_counts=True)
-        examples.append((np.append(slots, size - 1), np.append(often * (SCALE / max(1, count[0])), 1.0), label))
+        examples.append((np.append(slots, size - 1).astype(np.int32), often.astype(np.int32), SCALE / max(1, count[0]), label))
     weight = lambda i: np.where(np.abs(z[i]) <= settings.l1, 0.0, -(z[i] - np.sign(z[i]) * settings.l1) / ((settings.beta + np.sqrt(n[i])) / settings.alpha + settings.l2))
     for _ in range(settings.epochs):
-        for i, x, label in examples:
-            w = weight(i)
+        for i, often, scale, label in examples:
+            w, x = weight(i), np.append(often * scale, 1.0)
             g = (1 / (1 + np.exp(-np.clip(w @ x, -30, 30))) - label) * x
             after = n[i] + g * g
             z[i] += g - (np.sqrt(after) - np.sqrt(n[i])) / settings.alpha * w
@@ -112,6 +112,8 @@ def _fit_all(settings: Settings):
         if rows:
             weights = fit([r[2] for r in rows], [r[3] for r in rows], settings).astype(np.float32)
             yield pa.RecordBatch.from_arrays([pa.array([base64.b64encode(zlib.compress(weights.tobytes())).decode()])], names=["weights"])
+        del rows
+        give_back()
 
     return run
 
