@@ -1,6 +1,7 @@
 """Lexical and dense retrieval with a deterministic order of all candidates.
 
-Scores are rounded to 9 digits before they are ranked: sums arrive in any order, and equal documents must tie.
+Scores are rounded to 9 digits before they are ranked. Sums and means don't depend on the order in which rows
+arrive, so equal documents tie and a run repeats the last one.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.numbers import rounded, steady_sum
 from ..functions.settled import settle
 from ..functions.text import order_free_hash, tokens, with_term_counts, with_tokens
 
@@ -64,7 +66,7 @@ def index(docs: DataFrame) -> Index:
     counted = settle(with_term_counts(docs.select("leaf_id", "text"), "text"))
     n, total = counted.agg(F.count("*"), F.sum("dl")).first()
     vocabulary = settle(counted.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df")))
-    mean = vocabulary.agg(F.coalesce(F.avg(_raw_weight(n)), F.lit(0.0))).first()[0]
+    mean = vocabulary.agg(F.coalesce(steady_sum(_raw_weight(n)) / F.count("*"), F.lit(0.0))).first()[0]
     return Index(docs, counted, vocabulary, n, total / n if n else 0.0, mean)
 
 
@@ -80,10 +82,10 @@ def bm25_scores(corpus: DataFrame | Index, queries: DataFrame) -> DataFrame:
     weighted = settle(asked.join(known.weights(), "term").select("query_id", "term", (F.col("times") * F.col("idf")).alias("weight")))
     posted = known.counted.select("leaf_id", "dl", F.explode(F.arrays_zip("terms", "tfs")).alias("e")).select("leaf_id", "dl", F.col("e.terms").alias("term"), F.col("e.tfs").alias("tf"))
     tf = F.col("tf")
-    part = (tf * (K1 + 1)) / (tf + K1 * (1 - B + B * F.col("dl") / known.avgdl))
-    hits = posted.join(_bounded(weighted), "term").select("query_id", "leaf_id", (F.col("weight") * part).alias("part"))
+    part = F.col("weight") * (tf * (K1 + 1)) / (tf + K1 * (1 - B + B * F.col("dl") / known.avgdl))
+    hits = posted.join(_bounded(weighted), "term").select("query_id", "leaf_id", part.alias("part"))
     # A sum of 0 ranks like no shared term at all.
-    return hits.groupBy("query_id", "leaf_id").agg(F.round(F.sum("part"), DIGITS).alias("score")).where("score <> 0")
+    return hits.groupBy("query_id", "leaf_id").agg(rounded(steady_sum(F.col("part")), DIGITS).alias("score")).where("score <> 0")
 
 
 def overlap_scores(corpus: Index, queries: DataFrame) -> DataFrame:

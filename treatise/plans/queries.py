@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.numbers import rounded
 from ..functions.settled import settle, shared_folder
 from ..operators import checks, cleaning, metrics, outline, questions, ranking, retriever, sections, split
 from ..sources import io
@@ -484,7 +485,7 @@ def q2_postings(spark, d):
 
 def q4_top_k(spark, d):
     docs, items = _corpus(spark, d)
-    return ranking.top_k(settle(ranking.bm25_scores(docs, items)), items, docs).select("query_id", "leaf_id", F.round("score", 6).alias("score"), F.col("rank").cast("int").alias("rank"))
+    return ranking.top_k(settle(ranking.bm25_scores(docs, items)), items, docs).select("query_id", "leaf_id", rounded(F.col("score"), 6).alias("score"), F.col("rank").cast("int").alias("rank"))
 
 
 def _searched(spark, d):
@@ -498,12 +499,12 @@ def _searched(spark, d):
 def q4_ranking(spark, d):
     """Every candidate for every item with a gold, as many rows as both have together."""
     scores, golds, docs = _searched(spark, d)
-    return ranking.rank_all(scores, golds, docs).select("query_id", "leaf_id", F.round("score", 6).alias("score"), F.col("rank").cast("int").alias("rank"))
+    return ranking.rank_all(scores, golds, docs).select("query_id", "leaf_id", rounded(F.col("score"), 6).alias("score"), F.col("rank").cast("int").alias("rank"))
 
 
 def q13_report(spark, d):
     rows = ranking.query_report(*_searched(spark, d))
-    return rows.select("query_id", F.col("rank").cast("int").alias("rank"), "leaf_id", F.round("score", 6).alias("score"), "is_gold", "gold_rank")
+    return rows.select("query_id", F.col("rank").cast("int").alias("rank"), "leaf_id", rounded(F.col("score"), 6).alias("score"), "is_gold", "gold_rank")
 
 
 def q5_gold_ranks(spark, d):
