@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -324,6 +325,30 @@ def test_sharding(spark, docs, table):
     assert got == {d: (len((t or "").encode()) + 1, zlib.crc32((t or "").encode()), "rows", None) for d, t in docs}
 
 
+def test_whole_rows_are_sharded(spark, docs, table, monkeypatch):
+    """The digests come from the texts in the shards, where all columns of the documents arrive."""
+    given, operator = [], sharding.shard_rows
+
+    def marked(rows, *more):
+        given.append(rows.columns)
+        return operator(rows, *more).withColumn("text", F.concat(F.coalesce("text", F.lit("")), F.lit("!")))
+
+    monkeypatch.setattr(sharding, "BUCKET_BYTES", 300)
+    placed = operator(table, 7).collect()
+    assert sorted((r.shard_, r.slot_) for r in placed) == sorted((s, i) for s in range(7) for i in range(sum(r.shard_ == s for r in placed)))
+    assert sorted((r[: len(table.columns)] for r in placed), key=repr) == sorted(map(tuple, table.collect()), key=repr)
+    monkeypatch.setattr(sharding, "shard_rows", marked)
+    got = by_id(sharding.shard_digests(table), "text_crc32")
+    assert given == [table.columns] and got == {d: (zlib.crc32(((t or "") + "!").encode()),) for d, t in docs}
+
+
+def test_blocks_of_rows():
+    batch = pa.RecordBatch.from_pylist([{"row": {"a": i, "t": None if i % 7 == 0 else "é" * (i % 5 * 50_000)}} for i in range(60)])
+    blocks = [r for b in sharding._packed(iter([batch])) for r in b.to_pylist()]
+    assert len(blocks) > 1 and max(b["size"] for b in blocks) < 2 * sharding.BLOCK_BYTES and sum(b["n"] for b in blocks) == 60
+    assert [r for b in blocks for x in pa.ipc.open_stream(b["block"]) for r in x.to_pylist()] == batch.to_pylist()
+
+
 def test_communication_matrix():
     counts = [5, 0, 17, 100, 1]
     drawn = np.array([sharding.communication_matrix(counts, 4, seed) for seed in range(400)])

@@ -7,13 +7,15 @@ sizes is equally likely. Each task permutes its own row of the matrix over its r
 rows are exchanged, and a second permutation inside the shard gives the slots. The matrix has one row for a
 partition and one column for a shard; nothing that grows with the rows is gathered.
 
-A shard is permuted in buckets of a random key, so it needs no task that holds all of it.
+A shard is permuted in buckets of a random key, so it needs no task that holds all of it. Whole rows travel: they
+are checkpointed in compressed blocks, since their partitions must not change between count and draw, and exchanged
+once. How many rows each bucket gets follows from the counts and the draws alone, so no second reading of the rows
+is needed for it.
 
 Defined cases: null text has size 1 and the checksum of no bytes; equal rows are separate rows; an empty table
 gives an empty result; the length of a text changes nothing but its size; ties between equal draws are ordered by
 a hash of the row; columns may have any name, and where one is called
-like a new one, the new one gets an underscore behind its name. The input is
-checkpointed first: its partitions must not change between count and draw.
+like a new one, the new one gets an underscore behind its name.
 """
 
 from __future__ import annotations
@@ -28,8 +30,10 @@ from pyspark.sql import types as T
 
 from ._store import settle
 
-#: Rows of one bucket of a shard's second permutation, on average.
-BUCKET_ROWS = 200_000
+#: Rows and bytes of one bucket of a shard's second permutation, on average: whichever makes more buckets.
+BUCKET_ROWS, BUCKET_BYTES = 200_000, 8 << 20
+#: Bytes of rows in one compressed block of the checkpoint.
+BLOCK_BYTES = 4 << 20
 
 
 def communication_matrix(counts: list[int], shards: int, seed: int) -> np.ndarray:
@@ -88,18 +92,52 @@ def _split_draw(rng: np.random.Generator, total: int, draws: int, good: int) ->
     return mode
 
 
-def _permute(matrix: dict[int, list[int]], seed: int):
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows as compressed blocks, with their numbers of rows and of bytes."""
+    options = pa.ipc.IpcWriteOptions(compression="zstd")
+    for batch in batches:
+        step = max(1, batch.num_rows * BLOCK_BYTES // max(1, batch.nbytes))
+        for at in range(0, batch.num_rows, step):
+            part, sink = batch.slice(at, step), pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, part.schema, options=options) as out:
+                out.write_batch(part)
+            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (part.num_rows, part.nbytes, sink.getvalue().to_pybytes())], names=["n", "size", "block"])
+
+
+def _draws(matrix: dict[int, list[int]], seed: int, part: int) -> tuple[np.ndarray, np.ndarray]:
+    """The shard of each row of a partition, and the random key of its place there."""
+    rng = np.random.default_rng([seed, part])
+    shard = rng.permutation(np.repeat(np.arange(len(matrix[part]), dtype=np.int32), matrix[part]))
+    return shard, rng.random(len(shard))
+
+
+def _buckets(draw: np.ndarray, buckets: int) -> np.ndarray:
+    return (draw * buckets).astype(np.int32)
+
+
+def _permute(matrix: dict[int, list[int]], seed: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         part, at = TaskContext.get().partitionId(), 0
-        rng = np.random.default_rng([seed, part])
-        shard = rng.permutation(np.repeat(np.arange(len(matrix[part]), dtype=np.int32), matrix[part])) if part in matrix else None
+        shard, draw = _draws(matrix, seed, part) if part in matrix else (None, None)
+        for batch in batches:
+            for block in batch.column("block"):
+                for rows in pa.ipc.open_stream(block.as_buffer()):
+                    here = slice(at, at + rows.num_rows)
+                    yield pa.RecordBatch.from_arrays([*rows.columns, *map(pa.array, (shard[here], draw[here], _buckets(draw[here], buckets)))], names=[*rows.schema.names, "shard", "draw", "bucket"])
+                    at += rows.num_rows
+
+    return run
+
+
+def _bucket_sizes(matrix: dict[int, list[int]], seed: int, buckets: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n = batch.num_rows
-            if n:
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(shard[at : at + n]), pa.array(rng.random(n))], names=[*batch.schema.names, "shard", "draw"])
-            at += n
+            for part in batch.column("part").to_pylist():
+                shard, draw = _draws(matrix, seed, part)
+                keys, n = np.unique(shard.astype(np.int64) * buckets + _buckets(draw, buckets), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array((keys // buckets).astype(np.int32)), pa.array((keys % buckets).astype(np.int32)), pa.array(n.astype(np.int64))], names=["shard", "bucket", "n"])
 
     return run
 
@@ -114,23 +152,28 @@ def shard_rows(rows: DataFrame, shards: int = 16, seed: int = 42, bucket_rows: i
         while name in {c.lower() for c in rows.columns}:
             name += "_"
         names.append(name)
-    held = settle(rows.select(F.struct("*").alias("row")))
-    sizes = {r["part"]: r["n"] for r in held.groupBy(F.spark_partition_id().alias("part")).agg(F.count("*").alias("n")).collect()}
+    whole = rows.select(F.struct("*").alias("row"))
+    held = settle(whole.mapInArrow(_packed, "n bigint, size bigint, block binary"))
+    found = held.groupBy(F.spark_partition_id().alias("part")).agg(F.sum("n").alias("n"), F.sum("size").alias("size")).collect()
+    sizes = {r["part"]: r["n"] for r in found}
     parts = sorted(sizes)
     drawn = communication_matrix([sizes[p] for p in parts], shards, seed)
     matrix = {p: drawn[i].tolist() for i, p in enumerate(parts)}
-    buckets = max(1, round(sum(sizes.values()) / shards / bucket_rows))
-    schema = T.StructType([*held.schema.fields, T.StructField("shard", T.IntegerType()), T.StructField("draw", T.DoubleType())])
-    dealt = held.mapInArrow(_permute(matrix, seed), schema).withColumn("bucket", F.floor(F.col("draw") * buckets).cast("int"))
+    buckets = max(1, round(sum(sizes.values()) / shards / bucket_rows), round(sum(r["size"] for r in found) / shards / BUCKET_BYTES))
+    added = [T.StructField("shard", T.IntegerType()), T.StructField("draw", T.DoubleType()), T.StructField("bucket", T.IntegerType())]
+    dealt = held.mapInArrow(_permute(matrix, seed, buckets), T.StructType([*whole.schema.fields, *added]))
+    counted = rows.sparkSession.createDataFrame([(p,) for p in parts], "part int").mapInArrow(_bucket_sizes(matrix, seed, buckets), "shard int, bucket int, n bigint")
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = dealt.groupBy("shard", "bucket").agg(F.count("*").alias("n")).select("shard", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    starts = counted.groupBy("shard", "bucket").agg(F.sum("n").alias("n")).select("shard", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
     within = Window.partitionBy("shard", "bucket").orderBy("draw", F.hash("row"))
     placed = dealt.withColumn("nth", F.row_number().over(within) - 1).join(F.broadcast(starts) if shards * buckets <= 100_000 else starts, ["shard", "bucket"])
     return placed.select(*(F.col("row").getField(c).alias(c) for c in rows.columns), F.col("shard").alias(names[0]), (F.col("start") + F.col("nth")).alias(names[1]))
 
 
 def shard_digests(docs: DataFrame, shards: int = 16, seed: int = 42) -> DataFrame:
-    """doc_id, size, text_crc32, law, shard, slot, grown_shard; only digests travel, never text."""
+    """doc_id, size, text_crc32, law, shard, slot, grown_shard of whole documents in their shards: digests of the texts that arrived there."""
+    placed = shard_rows(docs, shards, seed)
+    shard, slot = placed.columns[-2:]
     text = F.coalesce("text", F.lit("")).cast("binary")
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), (F.octet_length(text).cast("bigint") + 1).alias("size"), F.crc32(text).alias("text_crc32"))
-    return shard_rows(rows, shards, seed).select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    digests = (F.col("doc_id").cast("bigint").alias("doc_id"), (F.octet_length(text).cast("bigint") + 1).alias("size"), F.crc32(text).alias("text_crc32"))
+    return placed.select(*digests, F.lit("rows").alias("law"), F.col(shard).alias("shard"), F.col(slot).alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
