@@ -488,18 +488,22 @@ def q4_top_k(spark, d):
     return ranking.top_k(settle(ranking.bm25_scores(docs, items)), items, docs).select("query_id", "leaf_id", rounded(F.col("score"), 6).alias("score"), F.col("rank").cast("int").alias("rank"))
 
 
-def _searched(spark, d):
-    """(scores, golds, docs) of the items with a gold."""
+def _scored(spark, d):
+    """(scores, golds, docs) of the items with a gold; the scores are settled by those who read them twice."""
     docs, items = _corpus(spark, d)
     corpus = ranking.index(docs)
     golds = settle(ranking.verbatim_golds(corpus, items))
-    return settle(ranking.bm25_scores(corpus, items.join(golds, "query_id", "left_semi"))), golds, docs
+    return ranking.bm25_scores(corpus, items.join(golds, "query_id", "left_semi")), golds, docs
+
+
+def _searched(spark, d):
+    scores, golds, docs = _scored(spark, d)
+    return settle(scores), golds, docs
 
 
 def q4_ranking(spark, d):
-    """Every candidate for every item with a gold, as many rows as both have together."""
-    scores, golds, docs = _searched(spark, d)
-    return ranking.rank_all(scores, golds, docs).select("query_id", "leaf_id", rounded(F.col("score"), 6).alias("score"), F.col("rank").cast("int").alias("rank"))
+    """Every candidate for every item with a gold, as many rows as the product of both has."""
+    return ranking.rank_all(*_scored(spark, d)).select("query_id", "leaf_id", rounded(F.col("score"), 6).alias("score"), F.col("rank").cast("int").alias("rank"))
 
 
 def q13_report(spark, d):
